@@ -29,8 +29,8 @@ def plan_features(df: DataFrame, plans: str, n_modes: int = N_MODES, ties: str =
     mode 0, flag 0, and the text ``word_null``.
     """
     items = df.withColumn("_p", numeric_plans(parse_plans(F.col(plans))))
-    lists = {f: F.transform("_p", lambda p, f=f: p[f]) for f in ("distance", "price", "eta", "mode")}
-    items = items.withColumns({f"_{f}": e for f, e in lists.items()})
+    # a field of an array of structs is the array of the field
+    items = items.withColumns({f"_{f}": F.col("_p")[f] for f in ("distance", "price", "eta", "mode")})
     empty = F.size("_p") == 0
     missing = F.lit(-1.0)
     out = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # fixed values: WGS-84 ellipsoid and the mean earth radius, in metres
 WGS84_A = 6378137.0
@@ -70,7 +70,7 @@ def ellipsoid_metres(lat1, lng1, lat2, lng2) -> np.ndarray:
     return np.where(missing, np.nan, np.where(ok, metres, sphere))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _geodesic(lat1: pd.Series, lng1: pd.Series, lat2: pd.Series, lng2: pd.Series) -> pd.Series:
     return pd.Series(ellipsoid_metres(lat1, lng1, lat2, lng2))
 
