@@ -222,13 +222,12 @@ def profiles(spark, sf_dir) -> DataFrame:
 BATCH_DAYS = 3
 
 
-def batches(spark, sf_dir) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    start = events.agg(F.min("ts").alias("_t0"))  # one row
-    days = F.datediff("ts", "_t0")
+def batch_columns(events: DataFrame, start) -> DataFrame:
+    """Batch number, inputs and label of every event, counted from the day ``start``."""
+    days = F.datediff("ts", start)
     k = F.get_json_object("props", "$.k").cast("int")
     text = lambda c: c.cast("string")
-    return events.join(F.broadcast(start), F.lit(True), "left").select(
+    return events.select(
         F.col("event_id").alias("id"),
         F.floor(days / BATCH_DAYS).cast("int").alias("batch_no"),
         F.when(k % 13 != 0, F.col("value")).alias("num1"),
@@ -239,6 +238,12 @@ def batches(spark, sf_dir) -> DataFrame:
     )
 
 
+def batches(spark, sf_dir) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    start = events.agg(F.min("ts").alias("_t0"))  # one row
+    return batch_columns(events.join(F.broadcast(start), F.lit(True), "left"), F.col("_t0"))
+
+
 BATCHES = f"""ev AS (
   SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, (SELECT min(ts) FROM events) AS t0 FROM events),
 batches AS (

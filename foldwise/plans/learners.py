@@ -93,10 +93,37 @@ class MedianRegression(QuantileRegression):
     """The median form."""
 
 
-def ridge(n_rows: int, alpha: float = 1.0, **kw) -> LinearRegression:
-    """Ridge with penalty ``alpha`` on the sum of squared errors and a free intercept."""
-    # the library minimises half the mean squared error, so the penalty is divided by the rows
-    return LinearRegression(regParam=alpha / n_rows, elasticNetParam=0.0, standardization=False, solver="normal", **kw)
+class Ridge:
+    """Linear regression with penalty ``alpha`` on the sum of squared errors and a free intercept.
+
+    The library's solver minimises the mean squared error of the label divided
+    by its standard deviation; its parameter is scaled so that ``alpha`` means
+    the same whatever the rows and the label.
+    """
+
+    def __init__(self, alpha: float = 1.0, features: str = "features", label: str = "label"):
+        self.alpha, self.features, self.label = alpha, features, label
+
+    def copy(self, extra=None) -> "Ridge":
+        return Ridge(self.alpha, self.features, self.label)
+
+    def hasParam(self, name: str) -> bool:  # noqa: N802
+        return False
+
+    def fit(self, df: DataFrame):
+        rows, std = df.agg(F.count(self.label), F.stddev_pop(self.label)).first()
+        return LinearRegression(
+            featuresCol=self.features,
+            labelCol=self.label,
+            regParam=self.alpha * (std or 1.0) / rows,
+            elasticNetParam=0.0,
+            standardization=False,
+            solver="normal",
+        ).fit(df)
+
+
+def ridge(alpha: float = 1.0, **kw) -> Ridge:
+    return Ridge(alpha, **kw)
 
 
 def softmax_regression(reg: float = 0.0, **kw) -> LogisticRegression:

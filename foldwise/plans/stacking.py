@@ -230,7 +230,8 @@ def fold_encode(df: DataFrame, encoder: TargetMean, fold: str = "fold") -> DataF
     parts = rows.groupBy(fold).agg(F.sum("_t").alias("s"), F.count("_t").alias("n")).collect()  # one row per fold
     total = own.groupBy("feature", "value").agg(F.sum("target_sum").alias("_s"), F.sum("cnt").alias("_n"))
     folds = [r[fold] for r in parts]
-    every = total.withColumn(fold, F.explode(F.array(*[F.lit(f) for f in folds])).cast(df.schema[fold].dataType))
+    numbers = F.array(*[F.lit(f).cast(df.schema[fold].dataType) for f in folds])
+    every = total.withColumn(fold, F.explode(numbers))
     table = every.join(own, [fold, "feature", "value"], "left").select(
         fold,
         "feature",
