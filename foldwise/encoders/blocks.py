@@ -10,12 +10,13 @@ from foldwise.encoders.categorical import label_encode
 from foldwise.encoders.projection import TfidfNgrams, TruncatedSvd
 from foldwise.functions.calendar import date_parts, hour_bucket, seconds_between, weekday_flag
 from foldwise.functions.geo import geodesic_m, haversine_m, split_pair
-from foldwise.functions.plans_json import list_extreme, list_mean, list_std, list_text, numeric_plans, parse_plans
+from foldwise.functions.plans_json import list_extreme, list_sum, list_text, numeric_plans, parse_plans, std_of
 from foldwise.operators.aggregates import grouped_median
 from foldwise.operators.clean import equal_flags, fill_by_class, with_sentinel_row
 from foldwise.operators.joins import role_join
 from foldwise.operators.skew import HEAVY_ROWS, OrderedGroups, lookup
 from foldwise.operators.windows import history_share, most_frequent, with_time_since
+from foldwise.session import settle
 
 N_MODES = 12
 # fixed values: profile columns kept beside the components
@@ -28,28 +29,32 @@ def plan_features(df: DataFrame, plans: str, n_modes: int = N_MODES, ties: str =
     An empty, missing or malformed list gives -1 for numbers and modes, first
     mode 0, flag 0, and the text ``word_null``.
     """
+    fields = ("distance", "price", "eta")
+    # one projection per step: what several outputs need is computed once per row
     items = df.withColumn("_p", numeric_plans(parse_plans(F.col(plans))))
     # a field of an array of structs is the array of the field
-    items = items.withColumns({f"_{f}": F.col("_p")[f] for f in ("distance", "price", "eta", "mode")})
-    empty = F.size("_p") == 0
-    missing = F.lit(-1.0)
+    items = items.withColumns({f"_{f}": F.col("_p")[f] for f in (*fields, "mode")}).withColumn("_n", F.size("_p"))
+    items = items.withColumns({f"_s_{f}": list_sum(F.col(f"_{f}")) for f in fields})
+    items = items.withColumns({f"_q_{f}": list_sum(F.col(f"_{f}"), squared=True) for f in fields})
+    empty = F.col("_n") == 0
+    missing, modes = F.lit(-1.0), F.col("_mode")
     out = {}
     for i in range(n_modes):
-        hit = F.array_contains("_mode", i).cast("int")
+        hit = F.array_contains(modes, i).cast("int")
         out[f"cat_mode_feas_{i}"] = F.when(empty, 1).otherwise(hit) if i == 0 else hit
-    for field, name in (("distance", "dist"), ("price", "price"), ("eta", "eta")):
-        values = F.col(f"_{field}")
+    for f, name in zip(fields, ("dist", "price", "eta")):
+        values = F.col(f"_{f}")
         out[f"num_max_{name}"] = F.when(empty, missing).otherwise(F.array_max(values).cast("double"))
         out[f"num_min_{name}"] = F.when(empty, missing).otherwise(F.array_min(values).cast("double"))
-        out[f"num_mean_{name}"] = F.when(empty, missing).otherwise(list_mean(values))
-        out[f"num_std_{name}"] = F.when(empty, missing).otherwise(list_std(values))
-    for field, name in (("distance", "dist"), ("price", "price"), ("eta", "eta")):
+        out[f"num_mean_{name}"] = F.when(empty, missing).otherwise(F.col(f"_s_{f}") / F.col("_n"))
+        std = std_of(F.col(f"_s_{f}"), F.col(f"_q_{f}"), F.col("_n"))
+        out[f"num_std_{name}"] = F.when(empty, missing).otherwise(std)
         for word, largest in (("max", True), ("min", False)):
-            mode = list_extreme(F.col("_p"), field, largest, ties)
-            out[f"num_{word}_{name}_mode"] = F.when(empty, F.lit(-1)).otherwise(mode)
-    out["cat_first_mode"] = F.when(empty, F.lit(0)).otherwise(F.get("_mode", F.lit(0)))
-    out["mode_text"] = list_text(F.col("_mode"))
-    return items.withColumns(out).drop("_p", "_distance", "_price", "_eta", "_mode")
+            best = list_extreme(values, modes, largest, ties)
+            out[f"num_{word}_{name}_mode"] = F.when(empty, F.lit(-1)).otherwise(best)
+    out["cat_first_mode"] = F.when(empty, F.lit(0)).otherwise(F.get(modes, F.lit(0)))
+    out["mode_text"] = list_text(modes)
+    return items.withColumns(out).drop("_p", "_n", "_mode", *[f"{p}_{f}" for p in ("", "_s", "_q") for f in fields])
 
 
 def plan_text_components(features: DataFrame, k: int = 10, prefix: str = "svd_plan_mode_") -> DataFrame:
@@ -71,7 +76,8 @@ def repaired_plans(items: DataFrame, plan_time: str, minutes: int = 30) -> DataF
     rows = fill_by_class(items, "price", "mode", free_modes, 0)
     slot = F.floor((F.hour(plan_time) * 60 + F.minute(plan_time)) / F.lit(minutes)).cast("int")
     unit = F.col("price") * 100 / F.nullif(F.col("distance"), F.lit(0))
-    rows = rows.withColumn("slot", slot).withColumn("unit_price", unit)
+    # read by the cut points, the medians and the join: computed once
+    rows = settle(rows.withColumn("slot", slot).withColumn("unit_price", unit))
     rows = lookup(rows, grouped_median(rows, ["mode", "slot"], "unit_price", "slot_median"), ["mode", "slot"])
     lost = F.col("price").isNull()
     near = (F.col("mode") == taxi) & (F.col("distance") < short)

@@ -178,7 +178,7 @@ class RankGauss:
         self.cols, self.lim, self.key, self.suffix = list(cols), lim, key, suffix
 
     def fit(self, df: DataFrame) -> RankGaussModel:
-        ranks = settle(average_rank_of(ordered_counts_many(df, self.cols)).select("feature", "value", "cnt", "rank"))
+        ranks = average_rank_of(ordered_counts_many(df, self.cols)).select("feature", "value", "cnt", "rank").persist()
         ends = ranks.groupBy("feature").agg(F.min("rank").alias("_lo"), F.max("rank").alias("_hi"))  # one row per column
         span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
         unit = (F.col("rank") - F.col("_lo")) / span * F.lit(2 * self.lim) - F.lit(self.lim)
@@ -189,5 +189,7 @@ class RankGauss:
         std = F.when(F.col("_std") > 0, F.col("_std")).otherwise(F.lit(1.0))
         score = (F.col("_g") - F.col("_mean")) / std
         table = raw.join(F.broadcast(facts), "feature").select("feature", "value", score.alias("score"))
+        table = settle(table)
+        ranks.unpersist()
         params = {"cols": self.cols, "outs": [c + self.suffix for c in self.cols], "key": self.key}
-        return RankGaussModel(params, settle(table))
+        return RankGaussModel(params, table)

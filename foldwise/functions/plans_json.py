@@ -47,38 +47,43 @@ def numeric_plans(plans: Column, empty_price=0) -> Column:
 
 def explode_plans(df: DataFrame, plans: str, keep: Sequence[str], outer: bool = False, empty_price=None) -> DataFrame:
     """One row per plan with ``pos`` (1-based) and distance, price, eta, mode."""
-    explode = F.posexplode_outer if outer else F.posexplode
     items = df.select(*keep, numeric_plans(parse_plans(F.col(plans)), empty_price).alias("_plans"))
-    rows = items.select(*keep, explode("_plans").alias("_pos", "_plan"))
+    # the inner form would make the optimizer test the list first, which parses the text once more per test
+    rows = items.select(*keep, F.posexplode_outer("_plans").alias("_pos", "_plan"))
+    if not outer:
+        rows = rows.filter(F.col("_pos").isNotNull())
     return rows.select(*keep, (F.col("_pos") + 1).alias("pos"), "_plan.distance", "_plan.price", "_plan.eta", "_plan.mode")
 
 
 def list_text(modes: Column, prefix: str = "word_", empty: str = "word_null") -> Column:
     """``word_7 word_2``; the empty list gives ``word_null``."""
-    words = F.array_join(F.transform(modes, lambda m: F.concat(F.lit(prefix), m.cast("string"))), " ")
+    words = F.concat(F.lit(prefix), F.array_join(modes.cast("array<string>"), f" {prefix}"))
     return F.when(F.size(modes) == 0, F.lit(empty)).otherwise(words)
 
 
-def list_mean(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    return F.when(F.size(values) > 0, total / F.size(values))
+def list_sum(values: Column, squared: bool = False) -> Column:
+    def add(acc, x):
+        x = x.cast("double")
+        return acc + (x * x if squared else x)
 
+    return F.aggregate(values, F.lit(0.0), add)
 
-def list_std(values: Column) -> Column:
-    """Population standard deviation of a list."""
-    squares = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    mean = list_mean(values)
-    return F.when(F.size(values) > 0, F.sqrt(F.greatest(squares / F.size(values) - mean * mean, F.lit(0.0))))
 
+def std_of(total: Column, squares: Column, n: Column) -> Column:
+    """Population standard deviation from a sum, a sum of squares and a count."""
+    mean = total / n
+    return F.sqrt(F.greatest(squares / n - mean * mean, F.lit(0.0)))
 
-def list_extreme(plans: Column, field: str, largest: bool, ties: str = "edge") -> Column:
-    """Mode of the plan with the smallest or largest ``field``.
 
-    ``edge``: ties go to the first plan for the smallest and to the last plan
-    for the largest. ``first``: to the first plan for both.
+def list_extreme(values: Column, out: Column, largest: bool, ties: str = "edge") -> Column:
+    """Element of ``out`` where ``values`` is smallest or largest.
+
+    ``edge``: ties go to the first place for the smallest and to the last place
+    for the largest. ``first``: to the first place for both.
     """
-    sign = -1 if largest and ties == "first" else 1
-    ranked = F.transform(
-        plans, lambda p, i: F.struct(p[field].alias("v"), (i * F.lit(sign)).alias("i"), p["mode"].alias("mode"))
-    )
-    return (F.array_max(ranked) if largest else F.array_min(ranked))["mode"]
+    if not largest:
+        return F.element_at(out, F.array_position(values, F.array_min(values)).cast("int"))
+    best = F.array_max(values)
+    if ties == "first":
+        return F.element_at(out, F.array_position(values, best).cast("int"))
+    return F.element_at(F.reverse(out), F.array_position(F.reverse(values), best).cast("int"))

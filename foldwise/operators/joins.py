@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.operators.clean import with_sentinel_row
 from foldwise.operators.skew import lookup
-from foldwise.session import fits_broadcast
+from foldwise.session import fits_broadcast, settle
 
 
 def join_sessions(queries: DataFrame, clicks: DataFrame, plans: DataFrame, key: str = "sid", how: str = "left") -> DataFrame:
@@ -22,6 +22,7 @@ def join_sessions(queries: DataFrame, clicks: DataFrame, plans: DataFrame, key:
 
 def role_join(df: DataFrame, dim: DataFrame, dim_key: str, roles: Mapping[str, str], how: str = "inner") -> DataFrame:
     """Joins one dimension once per role; columns get the role as prefix."""
+    dim = settle(dim)
     small = fits_broadcast(dim)
     for role, key in roles.items():
         named = dim.withColumnsRenamed({c: role + c for c in dim.columns if c != dim_key})

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from foldwise.session import fits_broadcast, task_count
+from foldwise.session import fits_broadcast, settle, task_count
 
 # A group below this many rows is ordinary work for one task.
 HEAVY_ROWS = 1_000_000
@@ -30,14 +30,6 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HEAVY_ROWS, p
     return counts.filter(F.col("_n") > floor).collect()
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = None
-    for k in keys:
-        part = left[k].eqNullSafe(right[k])
-        condition = part if condition is None else condition & part
-    return condition
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join where null equals null; the keys of the left side stay."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -190,6 +182,8 @@ def lookup(
     """
     on = list(on)
     if small is None:
+        # read twice, once to measure it: computed once
+        dictionary = settle(dictionary)
         small = fits_broadcast(dictionary)
     if small:
         return join_null_safe(df, F.broadcast(dictionary), on)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldwise.functions.hashing import hash_int
+from foldwise.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ CLAIM_NUMS = ["cont1", "cont2", "cont3"]
 
 
 def claims(spark, sf_dir) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem")
+    items = spread(table(spark, sf_dir, "lineitem"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     joined = items.join(parts, items["l_partkey"] == parts["p_partkey"])
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -113,7 +114,7 @@ ADDRESSES = """addresses AS (
 # --- plan lists: one JSON list per lineitem row, l_linenumber items -------------
 
 def plan_lists(spark, sf_dir) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem")
+    items = spread(table(spark, sf_dir, "lineitem"))
     n = F.col("l_linenumber")
 
     def plan(j):

@@ -226,8 +226,11 @@ def fold_encode(df: DataFrame, encoder: TargetMean, fold: str = "fold") -> DataF
     see is taken off the totals. The table has one row per fold and value.
     """
     rows, cols = encoder.prepared(df)
-    own = settle(target_stats(rows, cols, "_t", [fold]).filter("value is not null"))
-    parts = rows.groupBy(fold).agg(F.sum("_t").alias("s"), F.count("_t").alias("n")).collect()  # one row per fold
+    stats = settle(target_stats(rows, cols, "_t", [fold]))
+    # the values of one column, null among them, add up to the fold
+    whole = stats.filter(F.col("feature") == cols[0]).groupBy(fold).agg(F.sum("target_sum").alias("s"), F.sum("cnt").alias("n"))
+    parts = whole.collect()  # one row per fold
+    own = stats.filter("value is not null")
     total = own.groupBy("feature", "value").agg(F.sum("target_sum").alias("_s"), F.sum("cnt").alias("_n"))
     folds = [r[fold] for r in parts]
     numbers = F.array(*[F.lit(f).cast(df.schema[fold].dataType) for f in folds])

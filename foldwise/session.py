@@ -29,9 +29,14 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage in the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once into a table in the shared folder and go on from there.
+
+    Cuts the lineage, survives executor loss, and gives the optimizer the real size.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame) -> bool:
@@ -53,3 +58,13 @@ def task_count(spark: SparkSession) -> int:
         int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
         spark.sparkContext.defaultParallelism,
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a scan of fewer splits than cores to all cores.
+
+    Fewer splits than cores means less than one split of data per core, so the
+    shuffle is small; a large table has more splits and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
