@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldwise.operators.aggregates import unpivot
-from foldwise.operators.skew import join_null_safe, lookup
+from foldwise.operators.skew import HEAVY_ROWS, fair_share, join_null_safe, lookup
 from foldwise.session import fits_broadcast
 
 
@@ -42,6 +42,19 @@ class Fitted:
         return fitted
 
 
+# more broadcast joins than this in one plan cost more than one shuffle
+WIDE_COLUMNS = 64
+
+
+def _counted(table: DataFrame, on: Sequence[str]) -> list | None:
+    """Heavy keys by the counts the dictionary already holds; None if it holds none."""
+    if "cnt" not in table.columns:
+        return None
+    total = table.agg(F.sum("cnt")).first()[0] or 0
+    floor = fair_share(table, total, HEAVY_ROWS, None)
+    return table.filter(F.col("cnt") > floor).select(*on).collect() if total > floor else []
+
+
 def map_columns(
     df: DataFrame,
     table: DataFrame,
@@ -54,11 +67,12 @@ def map_columns(
 ) -> DataFrame:
     """Adds ``<value>|<col>`` for every column from a table ``(extra, feature, value, values...)``.
 
-    A small table is broadcast once per column and the rows are not moved. A
-    large one costs the same few shuffles however many columns there are: the
-    columns are unpivoted, joined once, and put back by ``key``.
+    With a small table and not too many columns, it is broadcast once per column
+    and the rows are not moved. Otherwise the columns are unpivoted, joined
+    once, and put back by ``key``: a fixed number of shuffles however many
+    columns there are.
     """
-    if small:
+    if small and len(cols) <= WIDE_COLUMNS:
         for c in cols:
             part = table.filter(F.col("feature") == c).select(
                 *extra, F.col("value").alias("_lookup"), *[F.col(v).alias(f"{v}|{c}") for v in values]
@@ -69,7 +83,8 @@ def map_columns(
     if key is None:
         raise ValueError("a large dictionary needs the row key")
     long = unpivot(df, cols, [key, *extra], as_type)
-    found = lookup(long, table, [*extra, "feature", "value"], small=False, spread=[key])
+    on = [*extra, "feature", "value"]
+    found = lookup(long, table.select(*on, *values), on, small=small, spread=[key], heavy=None if small else _counted(table, on))
     wide = found.groupBy(key).agg(
         *[F.max(F.when(F.col("feature") == c, F.col(v))).alias(f"{v}|{c}") for c in cols for v in values]
     )
@@ -80,7 +95,3 @@ def with_combinations(df: DataFrame, combinations: Sequence[Sequence[str]]) -> t
     """Adds the concatenation of each column tuple under the joined names."""
     names = ["_".join(c) for c in combinations]
     return df.withColumns({n: F.concat(*c) for n, c in zip(names, combinations)}), names
-
-
-def hash_key(key: str | Column) -> Column:
-    return F.col(key) if isinstance(key, str) else key

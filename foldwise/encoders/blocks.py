@@ -11,7 +11,7 @@ from foldwise.encoders.projection import TfidfNgrams, TruncatedSvd
 from foldwise.functions.calendar import date_parts, hour_bucket, seconds_between, weekday_flag
 from foldwise.functions.geo import geodesic_m, haversine_m, split_pair
 from foldwise.functions.plans_json import list_extreme, list_sum, list_text, numeric_plans, parse_plans, std_of
-from foldwise.operators.aggregates import grouped_median
+from foldwise.operators.aggregates import extreme, grouped_median
 from foldwise.operators.clean import equal_flags, fill_by_class, with_sentinel_row
 from foldwise.operators.joins import role_join
 from foldwise.operators.skew import HEAVY_ROWS, OrderedGroups, lookup
@@ -178,22 +178,15 @@ def profile_features(
     return lookup(filled, block, [key])
 
 
-def session_plan_features(items: DataFrame, keys: Sequence[str], position: Sequence[str], tie: str = "first") -> DataFrame:
+def session_plan_features(items: DataFrame, keys: Sequence[str], position: Sequence[str], ties: str = "first") -> DataFrame:
     """The plan block from one row per plan: partial aggregates only, so a heavy session is no problem."""
-    from foldwise.operators.aggregates import extreme
-
     place = [F.col(p) for p in position]
+    forms = {"max": F.max, "min": F.min, "mean": F.avg, "std": F.stddev_pop}
     aggs = [F.min_by("mode", F.struct(*position)).alias("first_mode")]
     for c, n in (("distance1", "dist"), ("price1", "price"), ("eta", "eta")):
-        forms = {"max": F.max, "min": F.min, "mean": F.avg, "std": F.stddev_pop}
         aggs += [f(c).alias(f"{w}_{n}") for w, f in forms.items()]
-        # a missing value is never an extreme
-        known = F.when(F.col(c).isNotNull(), F.col(c))
-        high = F.max(F.when(known.isNotNull(), F.struct(known.alias("v"), *[(-p).alias(f"p{i}") for i, p in enumerate(place)], F.col("mode").alias("out"))))["out"]
-        if tie != "first":
-            high = extreme(known, place, F.col("mode"), True, tie)
-        low = F.min(F.when(known.isNotNull(), F.struct(known.alias("v"), *place, F.col("mode").alias("out"))))["out"]
-        aggs += [high.alias(f"max_{n}_mode"), low.alias(f"min_{n}_mode")]
+        for w, largest in (("max", True), ("min", False)):
+            aggs.append(extreme(F.col(c), place, F.col("mode"), largest, ties).alias(f"{w}_{n}_mode"))
     return items.groupBy(*keys).agg(*aggs)
 
 

@@ -36,11 +36,11 @@ class OrdinalEncode:
         self.cols, self.order, self.suffix, self.key, self.min_rows = list(cols), order, suffix, key, min_rows
 
     def fit(self, df: DataFrame) -> CodeModel:
-        pairs = unpivot(df, self.cols).filter("value is not null").groupBy("feature", "value").agg(F.length("value").alias("_len"))
-        levels = settle(pairs)
+        pairs = unpivot(df, self.cols).filter("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        levels = settle(pairs.withColumn("_len", F.length("value")))
         order = ["_len", "value"] if self.order == "len_lex" else ["value"]
         ranked = OrderedGroups(levels, ["feature"], order, self.min_rows).running_sum({"code": F.lit(1)}).result()
-        table = ranked.select("feature", "value", F.col("code").cast("int").alias("code"))
+        table = ranked.select("feature", "value", F.col("code").cast("int").alias("code"), "cnt")
         params = {
             "cols": self.cols,
             "outs": [c + self.suffix for c in self.cols],
@@ -85,6 +85,17 @@ class FrequencyEncode:
 class OneHotModel(Fitted):
     """Table (feature, value, flag, place): which flag a value sets."""
 
+    # names on the driver are for vectors of a width a learner can take
+    MAX_NAMES = 1 << 20
+
+    def feature_names(self) -> list[str]:
+        p = self.params
+        if sum(p["widths"].values()) > self.MAX_NAMES:
+            raise ValueError("too many flags for one list of names; use the long form")
+        order = {c: i for i, c in enumerate(p["cols"])}
+        flags = self.table.select("feature", "place", "flag").distinct().collect()
+        return [r["flag"] for r in sorted(flags, key=lambda r: (order[r["feature"]], r["place"]))]
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Long form (key, flag, value = 1); nothing for null, unseen and unwanted rare values."""
         p = self.params
@@ -145,11 +156,9 @@ class OneHotRare:
         placed = settle(placed.withColumn("flag", F.concat_ws("_", "feature", F.coalesce("level", F.lit("rare")))))
         same = [flags["feature"] == placed["feature"], flags["level"].eqNullSafe(placed["level"])]
         table = flags.join(placed, same).select(flags["feature"], "value", "flag", F.col("place").cast("int").alias("place"))
-        order = {c: i for i, c in enumerate(self.cols)}
-        # one name per flag: a manifest as wide as the feature vector itself
-        named = sorted(placed.collect(), key=lambda r: (order[r["feature"]], r["place"]))
-        widths = {c: sum(r["feature"] == c for r in named) for c in self.cols}
-        params = {"cols": self.cols, "outs": [r["flag"] for r in named], "widths": widths, "key": self.key}
+        found = dict(placed.groupBy("feature").agg(F.count(F.lit(1))).collect())  # one row per column
+        widths = {c: found.get(c, 0) for c in self.cols}
+        params = {"cols": self.cols, "widths": widths, "key": self.key}
         return OneHotModel(params, table, fits_broadcast(counts))
 
 

@@ -182,13 +182,13 @@ class RankGauss:
         ends = ranks.groupBy("feature").agg(F.min("rank").alias("_lo"), F.max("rank").alias("_hi"))  # one row per column
         span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
         unit = (F.col("rank") - F.col("_lo")) / span * F.lit(2 * self.lim) - F.lit(self.lim)
-        raw = ranks.join(F.broadcast(ends), "feature").withColumn("_g", erfinv(unit))
+        raw = ranks.join(F.broadcast(ends), "feature").withColumn("_u", unit).withColumn("_g", erfinv(F.col("_u")))
         # totals around the rank-symmetric zero, so the plain second moment is stable
         n, s1, s2 = F.sum("cnt"), F.sum(F.col("cnt") * F.col("_g")), F.sum(F.col("cnt") * F.col("_g") * F.col("_g"))
         facts = raw.groupBy("feature").agg((s1 / n).alias("_mean"), F.sqrt(s2 / n - (s1 / n) * (s1 / n)).alias("_std"))
         std = F.when(F.col("_std") > 0, F.col("_std")).otherwise(F.lit(1.0))
         score = (F.col("_g") - F.col("_mean")) / std
-        table = raw.join(F.broadcast(facts), "feature").select("feature", "value", score.alias("score"))
+        table = raw.join(F.broadcast(facts), "feature").select("feature", "value", score.alias("score"), "cnt")
         table = settle(table)
         ranks.unpersist()
         params = {"cols": self.cols, "outs": [c + self.suffix for c in self.cols], "key": self.key}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.operators.ordering import ordered_counts, ordered_counts_many, quantiles_of
 from foldwise.operators.skew import lookup
+from foldwise.session import settle
 
 
 def unpivot(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), as_type: str = "string") -> DataFrame:
@@ -65,17 +66,16 @@ def group_stats(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Data
 
 
 def extreme(value: Column, position: Sequence[Column], out: Column, largest: bool, ties: str = "edge") -> Column:
-    """Aggregate: ``out`` at the smallest or largest value.
+    """Aggregate: ``out`` at the smallest or largest value; a null value is never an extreme.
 
     Ties: ``edge`` takes the first position for the smallest and the last one
     for the largest; ``first`` takes the first position for both.
     """
-    if not largest:
-        return F.min(F.struct(value.alias("v"), *position, out.alias("out")))["out"]
-    if ties == "first":
+    if largest and ties == "first":
         position = [-p for p in position]
-    names = [p.alias(f"p{i}") for i, p in enumerate(position)]
-    return F.max(F.struct(value.alias("v"), *names, out.alias("out")))["out"]
+    fields = [value.alias("v"), *[p.alias(f"p{i}") for i, p in enumerate(position)], out.alias("out")]
+    known = F.when(value.isNotNull(), F.struct(*fields))
+    return (F.max(known) if largest else F.min(known))["out"]
 
 
 def arg_extreme(
@@ -85,9 +85,8 @@ def arg_extreme(
     place = [F.col(p) for p in position]
     aggs = []
     for v in values:
-        known = F.col(v)
-        aggs.append(extreme(known, place, F.col(out), True, ties).alias(f"max_{v}_{out}"))
-        aggs.append(extreme(known, place, F.col(out), False, ties).alias(f"min_{v}_{out}"))
+        aggs.append(extreme(F.col(v), place, F.col(out), True, ties).alias(f"max_{v}_{out}"))
+        aggs.append(extreme(F.col(v), place, F.col(out), False, ties).alias(f"min_{v}_{out}"))
     return df.groupBy(*keys).agg(*aggs)
 
 
@@ -125,9 +124,9 @@ def pivot_mean(df: DataFrame, key: str, col: str, val: str, values: Sequence) ->
 def share_of_total(df: DataFrame, keys: Sequence[str], within: str) -> DataFrame:
     """(keys, within, cnt, total, share): counts per value against the total of the group."""
     counts = df.groupBy(*keys, within).agg(F.count(F.lit(1)).alias("cnt"))
+    counts = settle(counts)
     totals = counts.groupBy(*keys).agg(F.sum("cnt").alias("total"))
-    joined = counts.join(totals.withColumnsRenamed({k: f"_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return joined.drop(*[f"_{k}" for k in keys]).withColumn("share", F.col("cnt") / F.col("total"))
+    return lookup(counts, totals, keys).withColumn("share", F.col("cnt") / F.col("total"))
 
 
 def repeat_counts(shares: DataFrame, thresholds: Sequence[int] = (3, 4, 5)) -> DataFrame:

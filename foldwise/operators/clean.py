@@ -28,10 +28,8 @@ def fill_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 
 def fill_with_minimum(df: DataFrame, col: str, source: str) -> DataFrame:
-    """Null to the smallest value of another column over the whole table (one row, broadcast)."""
-    low = df.agg(F.min(source).alias("_low"))
-    joined = df.join(F.broadcast(low), F.lit(True), "left")
-    return joined.withColumn(col, F.coalesce(F.col(col), F.col("_low"))).drop("_low")
+    """Null to the smallest value of another column over the whole table."""
+    return df.withColumn(col, F.coalesce(F.col(col), df.agg(F.min(source)).scalar()))
 
 
 def split_by_label(df: DataFrame, label: str, sentinel=-1, drop: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

@@ -37,7 +37,7 @@ def _range_of(df: DataFrame, cols: Sequence[str], outs: Sequence[str], cuts: lis
     return df
 
 
-def _accumulate(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _accumulate(counts: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """(keys, value, _range, cnt) -> adds ``before`` (count below the value) and ``total`` per key."""
     inside = Window.partitionBy(*keys, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     local = counts.withColumn("_below", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
@@ -54,7 +54,7 @@ def _accumulate(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     if not keys:
         shift = F.broadcast(shift)
     joined = local.join(shift, [*keys, "_range"])
-    return joined.select(*keys, "value", "cnt", (F.col("_below") + F.col("_shift")).alias("before"), "total")
+    return joined.select(*keys, "value", "cnt", (F.col("_below") + F.col("_shift")).alias("before"), "total", *extra)
 
 
 def ordered_counts(
@@ -63,15 +63,18 @@ def ordered_counts(
     keys: Sequence[str] = (),
     weight: Column | None = None,
     pieces: int | None = None,
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Per key: every distinct non-null value with its count (or weight), the count below it and the total."""
-    keys = list(keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias("value"), *([weight.alias("_w")] if weight is not None else []))
-    rows = rows.filter(F.col("value").isNotNull())
+    """Per key: every distinct non-null value with its count (or weight), the count below it and the total.
+
+    ``extra`` names further aggregates of the rows of one value.
+    """
+    keys, extra = list(keys), extra or {}
+    rows = df.withColumn("value", F.col(value).cast("double")).filter(F.col("value").isNotNull())
     cuts = _cut_points(rows, ["value"], pieces)
-    amount = F.sum("_w") if weight is not None else F.count(F.lit(1))
-    counts = rows.groupBy(*keys, "value").agg(amount.alias("cnt"))
-    return _accumulate(_range_of(counts, ["value"], ["_range"], cuts), keys)
+    amount = F.sum(weight) if weight is not None else F.count(F.lit(1))
+    counts = rows.groupBy(*keys, "value").agg(amount.alias("cnt"), *[e.alias(n) for n, e in extra.items()])
+    return _accumulate(_range_of(counts, ["value"], ["_range"], cuts), keys, list(extra))
 
 
 def ordered_counts_many(df: DataFrame, cols: Sequence[str], pieces: int | None = None) -> DataFrame:

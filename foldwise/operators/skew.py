@@ -6,6 +6,7 @@ segments, ``lookup`` joins a dictionary without sending them to one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -19,17 +20,21 @@ HEAVY_ROWS = 1_000_000
 def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HEAVY_ROWS, pieces: int | None = None) -> list:
     """Key rows (with ``_n``) that hold more than ``1/pieces`` of the rows and more than ``min_rows``.
 
-    At most ``pieces`` keys can do so; that bounds the list the driver receives.
+    Fewer than ``pieces`` keys can do so; that bounds the list the driver receives.
     """
-    pieces = pieces or 4 * task_count(df.sparkSession)
     total = df.count()
     if total <= min_rows:
         return []
-    floor = max(min_rows, total // pieces)
+    floor = fair_share(df, total, min_rows, pieces)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return counts.filter(F.col("_n") > floor).collect()
 
 
+def fair_share(df: DataFrame, total: int, min_rows: int, pieces: int | None) -> int:
+    """Rows one task should get."""
+    return max(min_rows, total // (pieces or task_count(df.sparkSession)))
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join where null equals null; the keys of the left side stay."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -43,13 +48,20 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 class OrderedGroups:
     """Rows ordered inside groups, with running sums and lags that also work for a heavy group.
 
-    Groups above ``min_rows`` are cut into contiguous segments. A segment is a
-    window partition of its own; what the earlier segments hand over is a table
-    of at most ``pieces`` rows per heavy key and at most ``pieces`` heavy keys,
-    so it can be broadcast whatever the data size. The cut points come from a
-    sample and only steer the balance; every result is exact.
+    A group above the fair share of one task is cut into contiguous segments. A
+    segment is a window partition of its own; what the earlier segments hand
+    over is a table with one row per segment. There are fewer heavy keys than
+    ``pieces`` and fewer segments than twice that, so this table can be
+    broadcast whatever the data size. The cut points come from a bounded sample
+    and only steer the balance; every result is exact.
+
+    ``base`` is the input with its segment, before any window: the tables handed
+    over are computed from it, so the work does not grow with the operators
+    chained.
     """
 
+    SAMPLE_PER_SEGMENT = 32
+
     def __init__(
         self,
         df: DataFrame,
@@ -59,70 +71,98 @@ class OrderedGroups:
         pieces: int | None = None,
     ):
         self.keys, self.order = list(keys), list(order)
-        pieces = pieces or task_count(df.sparkSession)
         heavy = heavy_keys(df, self.keys, min_rows, pieces)
         self.split = bool(heavy)
-        if not self.split:
-            self.df = df.withColumn("_seg", F.lit(0))
-            return
+        if self.split:
+            self.base = self._cut(df, heavy, fair_share(df, df.count(), min_rows, pieces))
+        else:
+            self.base = df.withColumn("_seg", F.lit(0))
+        self.df = self.base
+
+    def _cut(self, df: DataFrame, heavy: list, share: int) -> DataFrame:
         spark = df.sparkSession
-        key_schema = [T.StructField(k, df.schema[k].dataType) for k in self.keys]
-        wanted = spark.createDataFrame([tuple(r[k] for k in self.keys) for r in heavy], T.StructType(key_schema))
-        biggest = sum(r["_n"] for r in heavy)
-        fraction = min(1.0, 64.0 * pieces * len(heavy) / biggest)
-        points = join_null_safe(
-            df.select(*self.keys, *self.order), F.broadcast(wanted), self.keys, "left_semi"
-        ).sample(fraction=fraction, seed=7).collect()
-        by_key: dict = {}
+        key_fields = [T.StructField(k, df.schema[k].dataType) for k in self.keys]
+        keys = [tuple(r[k] for k in self.keys) for r in heavy]
+        wanted = spark.createDataFrame(keys, T.StructType(key_fields))
+        hot = join_null_safe(df.select(*self.keys, *self.order), F.broadcast(wanted), self.keys, "left_semi")
+        points = hot.sample(fraction=min(1.0, self.SAMPLE_PER_SEGMENT / share), seed=7).collect()
+        by_key: dict = {k: [] for k in keys}
         for p in points:
-            by_key.setdefault(tuple(p[k] for k in self.keys), []).append(tuple(p[c] for c in self.order))
+            by_key[tuple(p[k] for k in self.keys)].append(tuple(p[c] for c in self.order))
         rows = []
-        for key in (tuple(r[k] for k in self.keys) for r in heavy):
-            found = sorted(by_key.get(key, []), key=lambda t: tuple((v is not None, v) for v in t))
-            step = max(1, len(found) // pieces)
-            rows.append((*key, found[step::step][: pieces - 1]))
-        point = T.StructType([T.StructField(c, df.schema[c].dataType) for c in self.order])
-        schema = T.StructType([*key_schema, T.StructField("_cuts", T.ArrayType(point))])
-        cuts = spark.createDataFrame(rows, schema)
+        for r, key in zip(heavy, keys):
+            found = sorted(by_key[key], key=lambda t: tuple((v is not None, v) for v in t))
+            n = math.ceil(r["_n"] / share)
+            cuts = [found[i * len(found) // n] for i in range(1, n)] if found else []
+            # two levels, so a row is compared with about twice the root of the number of cuts
+            size = max(1, math.isqrt(len(cuts)))
+            rows.append((*key, cuts[::size], [cuts[i : i + size] for i in range(0, len(cuts), size)], size))
+        point = T.ArrayType(T.StructType([T.StructField(c, df.schema[c].dataType) for c in self.order]))
+        fields = [T.StructField("_coarse", point), T.StructField("_fine", T.ArrayType(point)), T.StructField("_size", T.IntegerType())]
+        table = spark.createDataFrame(rows, T.StructType([*key_fields, *fields]))
         here = F.struct(*self.order)
-        self.df = (
-            join_null_safe(df, F.broadcast(cuts), self.keys)
-            .withColumn("_seg", F.coalesce(F.size(F.filter("_cuts", lambda p: p <= here)), F.lit(0)))
-            .withColumn("_heavy", F.col("_cuts").isNotNull())
-            .drop("_cuts")
+        block = F.size(F.filter("_coarse", lambda p: p <= here))
+        inside = F.size(F.filter(F.get("_fine", F.col("_block") - 1), lambda p: p <= here))
+        return (
+            join_null_safe(df, F.broadcast(table), self.keys)
+            .withColumn("_heavy", F.col("_coarse").isNotNull())
+            .withColumn("_block", F.when(F.col("_heavy"), block).otherwise(F.lit(0)))
+            .withColumn("_seg", F.when(F.col("_block") > 0, (F.col("_block") - 1) * F.col("_size") + inside).otherwise(F.lit(0)))
+            .drop("_coarse", "_fine", "_size", "_block")
         )
-        # size(null) is -1 under the legacy setting: such rows are the ordinary groups
-        self.df = self.df.withColumn("_seg", F.greatest("_seg", F.lit(0)))
 
     @property
     def window(self):
         return Window.partitionBy(*self.keys, "_seg").orderBy(*self.order)
 
     def _with_carry(self, summary: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
-        parts = self.df.filter("_heavy").groupBy(*self.keys, "_seg").agg(*[e.alias(n) for n, e in summary.items()])
+        parts = self.base.filter("_heavy").groupBy(*self.keys, "_seg").agg(*[e.alias(n) for n, e in summary.items()])
         before = Window.partitionBy(*self.keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
         table = parts.select(*self.keys, "_seg", *[e.over(before).alias(n) for n, e in carry.items()])
         return join_null_safe(self.df, F.broadcast(table), [*self.keys, "_seg"])
 
     def running_sum(self, sums: dict[str, Column], inclusive: bool = False) -> "OrderedGroups":
-        """Adds, per output name, the sum of an expression over the earlier (or earlier and current) rows."""
-        inputs = {f"_in_{n}": F.coalesce(e.cast("long"), F.lit(0)) for n, e in sums.items()}
-        self.df = self.df.withColumns(inputs)
+        """Adds, per output name, the sum of an expression of input columns over the earlier (or earlier and current) rows."""
+        terms = {n: F.coalesce(e.cast("long"), F.lit(0)) for n, e in sums.items()}
         frame = self.window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         if self.split:
             self.df = self._with_carry(
-                {f"_c_{n}": F.sum(f"_in_{n}") for n in sums},
+                {f"_c_{n}": F.sum(e) for n, e in terms.items()},
                 {f"_c_{n}": F.sum(f"_c_{n}") for n in sums},
             )
         out = {}
-        for n in sums:
-            local = F.coalesce(F.sum(f"_in_{n}").over(frame), F.lit(0))
+        for n, e in terms.items():
+            local = F.coalesce(F.sum(e).over(frame), F.lit(0))
             out[n] = local + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) if self.split else local
-        self.df = self.df.withColumns(out).drop(*inputs, *[f"_c_{n}" for n in sums])
+        self.df = self.df.withColumns(out).drop(*[f"_c_{n}" for n in sums])
+        return self
+
+    def before_first(self, out: str, condition: Column) -> "OrderedGroups":
+        """Adds a flag: no row of the group up to and including this one meets the condition.
+
+        The flag of a heavy group compares with its first such row (one row per
+        heavy key), so it is an input column for later operators.
+        """
+        frame = self.window.rowsBetween(Window.unboundedPreceding, 0)
+        met = F.coalesce(condition, F.lit(False))
+        local = F.max(met.cast("int")).over(frame) == 0
+        if not self.split:
+            self.df = self.df.withColumn(out, local)
+            return self
+        here = F.struct(*self.order)
+        first = self.base.filter("_heavy").filter(met).groupBy(*self.keys).agg(F.min(here).alias("_first"))
+        open_ = F.col("_first").isNull() | (here < F.col("_first"))
+        flagged = join_null_safe(self.base, F.broadcast(first), self.keys)
+        self.base = flagged.withColumn(out, open_).drop("_first")
+        self.df = (
+            join_null_safe(self.df, F.broadcast(first), self.keys)
+            .withColumn(out, F.when(F.col("_heavy"), open_).otherwise(local))
+            .drop("_first")
+        )
         return self
 
     def lag(self, columns: dict[str, str]) -> "OrderedGroups":
-        """Adds, per output name, the value of a column in the previous row (null for the first)."""
+        """Adds, per output name, the value of an input column in the previous row (null for the first)."""
         if self.split:
             here = F.struct(*self.order)
             self.df = self._with_carry(
@@ -146,7 +186,7 @@ class OrderedGroups:
         if self.split:
             backwards = Window.partitionBy(*self.keys, "_seg").orderBy(*[F.desc(c) for c in self.order])
             tail = (
-                self.df.filter("_heavy")
+                self.base.filter("_heavy")
                 .withColumn("_place", F.row_number().over(backwards))
                 .filter(F.col("_place") <= max_len)
                 .groupBy(*self.keys, "_seg")

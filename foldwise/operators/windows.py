@@ -44,14 +44,13 @@ def history_share(
 ) -> OrderedGroups:
     """Share of each class among the earlier values, up to the first ``stop`` value; no history gives zeros."""
     groups = groups or OrderedGroups(df, keys, order, min_rows, pieces)
-    groups.running_sum({"_stops": (F.col(col) == stop)}, inclusive=True)
-    open_ = F.col("_stops") == 0
-    groups.running_sum({f"_n_{prefix}{i}": (F.col(col) == i) & open_ for i in range(n)})
+    groups.before_first("_open", F.col(col) == stop)
+    groups.running_sum({f"_n_{prefix}{i}": (F.col(col) == i) & F.col("_open") for i in range(n)})
     names = class_names(prefix, n)
     total = sum((F.col(f"_n_{c}") for c in names), F.lit(0))
     groups.df = groups.df.withColumn("_total", total)
     shares = {c: F.when(F.col("_total") > 0, F.col(f"_n_{c}") / F.col("_total")).otherwise(F.lit(0.0)) for c in names}
-    groups.df = groups.df.withColumns(shares).drop("_stops", "_total", *[f"_n_{c}" for c in names])
+    groups.df = groups.df.withColumns(shares).drop("_open", "_total", *[f"_n_{c}" for c in names])
     return groups
 
 
@@ -75,9 +74,7 @@ def since_previous(df, keys, ts, tie=(), min_rows=HEAVY_ROWS, pieces=None) -> Da
 
 
 def with_time_since(df: DataFrame, ts: str) -> DataFrame:
-    low = df.agg(F.min(ts).alias("_low"))  # one row
-    joined = df.join(F.broadcast(low), F.lit(True), "left")
-    filled = joined.withColumn("last_time", F.coalesce("last_time", "_low")).drop("_low")
+    filled = df.withColumn("last_time", F.coalesce("last_time", df.agg(F.min(ts)).scalar()))
     return filled.withColumns(
         {
             "since_last": F.unix_timestamp(ts) - F.unix_timestamp("last_time"),

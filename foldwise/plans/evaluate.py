@@ -60,21 +60,17 @@ def log_loss(df: DataFrame, y: str, probs: Sequence[str], eps: float = 1e-15) ->
     return df.agg(F.avg(-F.log(bounded)).alias("log_loss"))
 
 
-def auc(df: DataFrame, y: str, s: str) -> DataFrame:
-    """Exact area under the ROC curve from rank sums with ties averaged, and 2*AUC-1."""
-    rows = df.select(F.col(s).cast("double").alias("_s"), F.col(y).cast("long").alias("_y"))
-    positives = ordered_counts_with_hits(rows)
-    facts = positives.agg(F.sum("hits").alias("n1"), F.sum("cnt").alias("n"), F.sum(F.col("hits") * F.col("rank")).alias("r"))
+def auc(df: DataFrame, y: str, s: str, by: Sequence[str] = ()) -> DataFrame:
+    """Exact area under the ROC curve from rank sums with ties averaged, and 2*AUC-1; null with one class."""
+    by = list(by)
+    rows = df.select(*by, F.col(s).cast("double").alias("_s"), F.col(y).cast("long").alias("_y"))
+    ranks = average_rank_of(ordered_counts(rows, "_s", by, extra={"hits": F.sum("_y")}))
+    facts = ranks.groupBy(*by).agg(
+        F.sum("hits").alias("n1"), F.sum("cnt").alias("n"), F.sum(F.col("hits") * F.col("rank")).alias("r")
+    )
     n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
     area = (F.col("r") - n1 * (n1 + 1) / 2) / F.nullif((n1 * n0).cast("double"), F.lit(0.0))
-    return facts.select(area.alias("auc"), (2 * area - 1).alias("gini"))
-
-
-def ordered_counts_with_hits(rows: DataFrame) -> DataFrame:
-    """(value, cnt, rank, hits): distinct scores with their average rank and positive rows."""
-    ranks = average_rank_of(ordered_counts(rows, "_s"))
-    hits = rows.groupBy(F.col("_s").alias("value")).agg(F.sum("_y").alias("hits"))
-    return ranks.join(hits, "value")
+    return facts.select(*by, area.alias("auc"), (2 * area - 1).alias("gini"))
 
 
 def batch_f1(df: DataFrame, ys: Sequence[str], ps: Sequence[str], eps: float = 1e-7) -> DataFrame:
@@ -97,12 +93,11 @@ def batch_f1(df: DataFrame, ys: Sequence[str], ps: Sequence[str], eps: float = 1
 
 def bucket_mae(df: DataFrame, y: str, p: str, qs: Sequence[float] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
     """Error per bucket of the target: the first quantile edge not below the target, else the last bucket."""
-    edges = quantile_edges(df, y, qs)  # one row
-    rows = df.join(F.broadcast(edges), F.lit(True), "left")
+    edges = quantile_edges(df, y, qs).first()  # one row
     bucket = F.lit(len(qs))
     for i in reversed(range(len(qs))):
-        bucket = F.when(F.col(y) <= F.col(f"q{i}"), F.lit(i)).otherwise(bucket)
-    return rows.groupBy(bucket.alias("bucket")).agg(F.avg(F.abs(F.col(p) - F.col(y))).alias("mae"))
+        bucket = F.when(F.col(y) <= F.lit(edges[f"q{i}"]), F.lit(i)).otherwise(bucket)
+    return df.groupBy(bucket.alias("bucket")).agg(F.avg(F.abs(F.col(p) - F.col(y))).alias("mae"))
 
 
 # fixed values: first exponent, the steps, and how many steps to each side

@@ -241,8 +241,7 @@ def batch_columns(events: DataFrame, start) -> DataFrame:
 
 def batches(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    start = events.agg(F.min("ts").alias("_t0"))  # one row
-    return batch_columns(events.join(F.broadcast(start), F.lit(True), "left"), F.col("_t0"))
+    return batch_columns(events, events.agg(F.min("ts")).scalar())
 
 
 BATCHES = f"""ev AS (

@@ -151,6 +151,8 @@ def oof_predict(
     def sampled(rows, cols, seed):
         return bag(rows, cols, preset.key, preset.sample, preset.feature_sample, preset.svd, seed)
 
+    # every fold reads the training rows several times
+    train = settle(train)
     for split in range(n_splits):
         folded = assign(train, split)
         for fold in range(k):

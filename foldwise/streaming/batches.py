@@ -166,17 +166,9 @@ def prequential(
 
 def batch_auc(scores: DataFrame, labels: DataFrame, key: str = "id", label: str = "y") -> DataFrame:
     """(batch_no, auc, gini) from scores and labels that arrived later, joined on the key."""
-    from foldwise.operators.ordering import average_rank_of, ordered_counts
+    from foldwise.plans.evaluate import auc
 
-    rows = scores.join(labels.select(key, label), key).select("batch_no", F.col("score").cast("double").alias("value"), label)
-    ranks = average_rank_of(ordered_counts(rows, "value", ["batch_no"]))
-    hits = rows.groupBy("batch_no", "value").agg(F.sum(label).alias("hits"))
-    facts = ranks.join(hits, ["batch_no", "value"]).groupBy("batch_no").agg(
-        F.sum("hits").alias("n1"), F.sum("cnt").alias("n"), F.sum(F.col("hits") * F.col("rank")).alias("r")
-    )
-    n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
-    area = (F.col("r") - n1 * (n1 + 1) / 2) / F.nullif((n1 * n0).cast("double"), F.lit(0.0))
-    return facts.select("batch_no", area.alias("auc"), (2 * area - 1).alias("gini"))
+    return auc(scores.join(labels.select(key, label), key), label, "score", ["batch_no"])
 
 
 class RunningFrequencies:
