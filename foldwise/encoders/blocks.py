@@ -10,7 +10,7 @@ from foldwise.encoders.categorical import label_encode
 from foldwise.encoders.projection import TfidfNgrams, TruncatedSvd
 from foldwise.functions.calendar import date_parts, hour_bucket, seconds_between, weekday_flag
 from foldwise.functions.geo import geodesic_m, haversine_m, split_pair
-from foldwise.functions.plans_json import list_extreme, list_sum, list_text, numeric_plans, parse_plans, std_of
+from foldwise.functions.plans_json import element_at_value, list_sum, list_text, numeric_plans, parse_plans, std_of
 from foldwise.operators.aggregates import extreme, grouped_median
 from foldwise.operators.clean import equal_flags, fill_by_class, with_sentinel_row
 from foldwise.operators.joins import role_join
@@ -29,32 +29,36 @@ def plan_features(df: DataFrame, plans: str, n_modes: int = N_MODES, ties: str =
     An empty, missing or malformed list gives -1 for numbers and modes, first
     mode 0, flag 0, and the text ``word_null``.
     """
-    fields = ("distance", "price", "eta")
-    # one projection per step: what several outputs need is computed once per row
-    items = df.withColumn("_p", numeric_plans(parse_plans(F.col(plans))))
+    fields = {"distance": "dist", "price": "price", "eta": "eta"}
+    empty, modes = F.col("_n") == 0, F.col("_mode")
+
+    def filled(value, missing):
+        return F.when(empty, F.lit(missing)).otherwise(value)
+
+    # Each step is a projection that later ones read more than once, so they are
+    # not merged: nothing is computed twice per row, and the generated methods
+    # stay below the size the JVM compiles.
+    rows = df.withColumn("_p", numeric_plans(parse_plans(F.col(plans))))
     # a field of an array of structs is the array of the field
-    items = items.withColumns({f"_{f}": F.col("_p")[f] for f in (*fields, "mode")}).withColumn("_n", F.size("_p"))
-    items = items.withColumns({f"_s_{f}": list_sum(F.col(f"_{f}")) for f in fields})
-    items = items.withColumns({f"_q_{f}": list_sum(F.col(f"_{f}"), squared=True) for f in fields})
-    empty = F.col("_n") == 0
-    missing, modes = F.lit(-1.0), F.col("_mode")
+    rows = rows.withColumns({f"_{f}": F.col("_p")[f] for f in (*fields, "mode")}).withColumn("_n", F.size("_p"))
+    flags = {f"cat_mode_feas_{i}": F.array_contains(modes, i).cast("int") for i in range(n_modes)}
+    flags["cat_mode_feas_0"] = filled(flags["cat_mode_feas_0"], 1)
+    rows = rows.withColumns({f"_sum_{f}": list_sum(F.col(f"_{f}")) for f in fields} | flags)
+    ends = {f"_hi_{f}": F.array_max(f"_{f}") for f in fields} | {f"_lo_{f}": F.array_min(f"_{f}") for f in fields}
+    squares = {f"_sq_{f}": list_sum(F.col(f"_{f}"), squared=True) for f in fields}
+    text = {"mode_text": list_text(modes), "cat_first_mode": filled(F.get(modes, F.lit(0)), 0)}
+    rows = rows.withColumns(ends | squares | text)
     out = {}
-    for i in range(n_modes):
-        hit = F.array_contains(modes, i).cast("int")
-        out[f"cat_mode_feas_{i}"] = F.when(empty, 1).otherwise(hit) if i == 0 else hit
-    for f, name in zip(fields, ("dist", "price", "eta")):
-        values = F.col(f"_{f}")
-        out[f"num_max_{name}"] = F.when(empty, missing).otherwise(F.array_max(values).cast("double"))
-        out[f"num_min_{name}"] = F.when(empty, missing).otherwise(F.array_min(values).cast("double"))
-        out[f"num_mean_{name}"] = F.when(empty, missing).otherwise(F.col(f"_s_{f}") / F.col("_n"))
-        std = std_of(F.col(f"_s_{f}"), F.col(f"_q_{f}"), F.col("_n"))
-        out[f"num_std_{name}"] = F.when(empty, missing).otherwise(std)
-        for word, largest in (("max", True), ("min", False)):
-            best = list_extreme(values, modes, largest, ties)
-            out[f"num_{word}_{name}_mode"] = F.when(empty, F.lit(-1)).otherwise(best)
-    out["cat_first_mode"] = F.when(empty, F.lit(0)).otherwise(F.get(modes, F.lit(0)))
-    out["mode_text"] = list_text(modes)
-    return items.withColumns(out).drop("_p", "_n", "_mode", *[f"{p}_{f}" for p in ("", "_s", "_q") for f in fields])
+    for f, name in fields.items():
+        hi, lo, total = F.col(f"_hi_{f}"), F.col(f"_lo_{f}"), F.col(f"_sum_{f}")
+        out[f"num_max_{name}"] = filled(hi.cast("double"), -1.0)
+        out[f"num_min_{name}"] = filled(lo.cast("double"), -1.0)
+        out[f"num_mean_{name}"] = filled(total / F.col("_n"), -1.0)
+        out[f"num_std_{name}"] = filled(std_of(total, F.col(f"_sq_{f}"), F.col("_n")), -1.0)
+        out[f"num_max_{name}_mode"] = filled(element_at_value(F.col(f"_{f}"), hi, modes, last=ties != "first"), -1)
+        out[f"num_min_{name}_mode"] = filled(element_at_value(F.col(f"_{f}"), lo, modes), -1)
+    steps = [f"{p}_{f}" for p in ("", "_sum", "_hi", "_lo", "_sq") for f in fields]
+    return rows.withColumns(out).drop("_p", "_n", "_mode", *steps)
 
 
 def plan_text_components(features: DataFrame, k: int = 10, prefix: str = "svd_plan_mode_") -> DataFrame:

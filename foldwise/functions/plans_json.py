@@ -75,15 +75,8 @@ def std_of(total: Column, squares: Column, n: Column) -> Column:
     return F.sqrt(F.greatest(squares / n - mean * mean, F.lit(0.0)))
 
 
-def list_extreme(values: Column, out: Column, largest: bool, ties: str = "edge") -> Column:
-    """Element of ``out`` where ``values`` is smallest or largest.
-
-    ``edge``: ties go to the first place for the smallest and to the last place
-    for the largest. ``first``: to the first place for both.
-    """
-    if not largest:
-        return F.element_at(out, F.array_position(values, F.array_min(values)).cast("int"))
-    best = F.array_max(values)
-    if ties == "first":
-        return F.element_at(out, F.array_position(values, best).cast("int"))
-    return F.element_at(F.reverse(out), F.array_position(F.reverse(values), best).cast("int"))
+def element_at_value(values: Column, value: Column, out: Column, last: bool = False) -> Column:
+    """Element of ``out`` at the first (or last) place where ``values`` holds ``value``."""
+    if last:
+        return F.element_at(F.reverse(out), F.array_position(F.reverse(values), value).cast("int"))
+    return F.element_at(out, F.array_position(values, value).cast("int"))

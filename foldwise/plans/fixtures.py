@@ -16,6 +16,15 @@ def md5_sql(key: str, seed) -> str:
     return f"('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), 1, 8))::BIGINT"
 
 
+def line_key():
+    """Text key of a lineitem row; the price tells equal lines of one order apart."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents)
+
+
+LINE_KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT))"
+
+
 # --- claims: lineitem with part -------------------------------------------------
 
 CLAIM_CATS = ["cat1", "cat2", "cat3", "cat4"]
@@ -26,7 +35,7 @@ def claims(spark, sf_dir) -> DataFrame:
     items = spread(table(spark, sf_dir, "lineitem"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     joined = items.join(parts, items["l_partkey"] == parts["p_partkey"])
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    key = line_key()
     rows = joined.select(
         key.alias("id"),
         F.col("l_returnflag").alias("cat1"),
@@ -42,7 +51,7 @@ def claims(spark, sf_dir) -> DataFrame:
 
 
 CLAIMS = f"""claims0 AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
+  SELECT {LINE_KEY} AS id,
          l_returnflag AS cat1, l_linestatus AS cat2, p_brand AS cat3, p_type AS cat4,
          l_quantity AS cont1, l_discount AS cont2, l_tax AS cont3, l_extendedprice AS loss
   FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -66,8 +75,8 @@ def sessions(spark, sf_dir) -> DataFrame:
     return joined.select(
         F.col("o_orderkey").alias("sid"),
         F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey")).alias("pid"),
-        moment.alias("req_time"),
-        later.alias("plan_time"),
+        moment.cast("timestamp_ntz").alias("req_time"),
+        later.cast("timestamp_ntz").alias("plan_time"),
         _lnglat(F.col("c_nationkey")).alias("o"),
         _lnglat(target).alias("d"),
     )
@@ -129,12 +138,12 @@ def plan_lists(spark, sf_dir) -> DataFrame:
     text = F.to_json(F.transform(F.sequence(F.lit(1), n), plan))
     kind = F.col("l_orderkey") % 50
     plans = F.when(kind == 0, F.lit(None)).when(kind == 1, "bad").when(kind == 2, "[]").otherwise(text)
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    key = line_key()
     return items.select(key.alias("sid"), F.col("l_shipdate").alias("plan_time"), plans.alias("plans"))
 
 
-PLAN_ROWS = """plan_lists AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS sid, l_shipdate AS plan_time,
+PLAN_ROWS = f"""plan_lists AS (
+  SELECT {LINE_KEY} AS sid, l_shipdate AS plan_time,
          l_orderkey % 50 >= 3 AS good, l_linenumber AS n, l_partkey, l_suppkey, l_quantity
   FROM lineitem),
 plan_rows AS (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions import plans_json
 from foldwise.functions.calendar import hour_bucket
-from foldwise.operators import aggregates as A, clean as P, joins as J, rows as R
+from foldwise.operators import aggregates as A, clean as P, joins as J
 from foldwise.plans import fixtures as X
 from foldwise.plans.registry import query, r6
 from foldwise.session import shared_folder
@@ -447,7 +447,7 @@ def knn_rows(spark, sf):
     )
     query_rows, base = rows.filter("id % 5 = 0"), rows.filter("id % 5 <> 0")
     found = knn_join(query_rows, base, "id", "vec", 5)
-    return found.select("id", F.col("base_id").alias("bid"), "place", *r6("dist"))
+    return found.select("id", F.col("base_id").alias("bid"), F.col("place").cast("bigint").alias("place"), *r6("dist"))
 
 
 @query(
@@ -728,5 +728,3 @@ def target_stats(spark, sf):
     done = A.target_stats(X.claims(spark, sf), ["cat1", "cat3"], "loss")
     return done.select("feature", "value", F.round("target_sum", 2).alias("target_sum"), "cnt")
 
-
-__all__ = ["R"]
