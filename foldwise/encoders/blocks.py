@@ -13,7 +13,7 @@ from foldwise.functions.geo import geodesic_m, haversine_m, split_pair
 from foldwise.functions.plans_json import element_at_value, list_sum, list_text, numeric_plans, parse_plans, std_of
 from foldwise.operators.aggregates import extreme, grouped_median
 from foldwise.operators.clean import equal_flags, fill_by_class, with_sentinel_row
-from foldwise.operators.joins import role_join
+from foldwise.operators.joins import join_sessions, role_join
 from foldwise.operators.skew import HEAVY_ROWS, OrderedGroups, lookup
 from foldwise.operators.windows import history_share, most_frequent, with_time_since
 from foldwise.session import settle
@@ -182,6 +182,32 @@ def profile_features(
     return lookup(filled, block, [key])
 
 
+def session_features(
+    queries: DataFrame,
+    plans: DataFrame,
+    clicks: DataFrame,
+    profiles: DataFrame,
+    addresses: DataFrame,
+    dim_key: str = "lntlat",
+    components: int = 10,
+    raw_cols: Sequence[str] = RAW_PROFILE,
+    ellipsoid: bool = True,
+) -> DataFrame:
+    """The whole feature table of sessions: history, ends, profile, plans, time; one row per session.
+
+    Blocks are joined by the session id. A session without a click has label 0;
+    ends without an address keep their session with null attributes.
+    """
+    rows = join_sessions(queries, clicks, plans, "sid", "left")
+    rows = settle(history_features(rows, "pid", "req_time", "sid", "click_mode"))
+    rows = od_features(rows, addresses, dim_key, how="left", ellipsoid=ellipsoid)
+    rows = profile_features(rows, profiles, "pid", components, raw_cols)
+    rows = time_features(plan_features(rows, "plans"), "req_time", "plan_time")
+    text = settle(rows)
+    done = text.join(plan_text_components(text.select("sid", "mode_text"), components), "sid")
+    return done.drop("plans", "mode_text", "req_time", "plan_time", "last_time", "o", "d")
+
+
 def session_plan_features(items: DataFrame, keys: Sequence[str], position: Sequence[str], ties: str = "first") -> DataFrame:
     """The plan block from one row per plan: partial aggregates only, so a heavy session is no problem."""
     place = [F.col(p) for p in position]
@@ -201,6 +227,7 @@ __all__ = [
     "plan_text_components",
     "profile_features",
     "repaired_plans",
+    "session_features",
     "session_plan_features",
     "time_features",
 ]

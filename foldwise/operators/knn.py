@@ -15,8 +15,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from foldwise.session import settle
+
 BLOCK_ROWS = 20_000
-CHUNK_ROWS = 2_000
+CHUNK_ROWS = 100_000
+# queries compared at a time inside a task
+BATCH_ROWS = 500
 MAX_PIVOTS = 256
 
 
@@ -71,29 +75,36 @@ def knn_join(
     pivots: int | None = None,
 ) -> DataFrame:
     """(key, base_id, dist, place): the k nearest base rows of every query row, ties by base id."""
-    n_base, n_query = base.count(), query.count()
+    n_base = base.count()
     wanted = pivots or min(MAX_PIVOTS, max(1, math.isqrt(n_base) // 4))
     # any points serve as pivots; the sample is bounded
     sample = base.select(vec).orderBy(F.xxhash64(key)).limit(wanted).collect()
     points = np.array([r[0] for r in sample], dtype=float)
     placed = base.select(F.col(key).alias("base_id"), F.col(vec).alias("_vec"), _nearest_pivot(points)(F.col(vec)).alias("_p"))
-    placed = placed.select("base_id", "_vec", "_p.cell", "_p.away")
+    placed = settle(placed.select("base_id", "_vec", "_p.cell", "_p.away"))
     facts = {r["cell"]: r for r in placed.groupBy("cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
     radius = np.array([facts[i]["radius"] if i in facts else 0.0 for i in range(len(points))])
     counts = np.array([facts[i]["n"] if i in facts else 0 for i in range(len(points))])
 
-    blocks = [max(1, math.ceil(c / block_rows)) for c in counts.tolist()]
-    n_chunks = max(1, math.ceil(n_query / chunk_rows))
-    n_blocks = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("cell") + 1)
-    left = (
-        query.select(F.col(key).alias("_q"), F.col(vec).alias("_vec"))
-        .withColumn("cell", F.explode(_cells_to_visit(points, radius, counts, k)(F.col("_vec"))))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        .withColumn("chunk", F.pmod(F.xxhash64("_q"), F.lit(n_chunks)))
+    visits = settle(
+        query.select(F.col(key).alias("_q"), F.col(vec).alias("_vec"), _cells_to_visit(points, radius, counts, k)(F.col(vec)).alias("_cells"))
+    )
+    left = visits.select("_q", "_vec", F.explode("_cells").alias("cell"))
+    visitors = dict(left.groupBy("cell").agg(F.count(F.lit(1))).collect())  # one row per cell
+
+    def per_cell(sizes: list[int]):
+        return F.element_at(F.array(*[F.lit(n) for n in sizes]), F.col("cell") + 1)
+
+    # a cell is cut into blocks of base rows and chunks of its visitors; each block meets each chunk once
+    n_blocks = per_cell([max(1, math.ceil(c / block_rows)) for c in counts.tolist()])
+    n_chunks = per_cell([max(1, math.ceil(visitors.get(i, 0) / chunk_rows)) for i in range(len(points))])
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumn(
+        "chunk", F.pmod(F.xxhash64("_q"), n_chunks).cast("int")
     )
     right = (
-        placed.withColumn("block", F.pmod(F.xxhash64("base_id"), n_blocks).cast("int"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))))
+        placed.filter(F.col("cell").isin(list(visitors)))
+        .withColumn("block", F.pmod(F.xxhash64("base_id"), n_blocks).cast("int"))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
         .select("base_id", "_vec", "cell", "block", "chunk")
     )
     schema = T.StructType(
@@ -108,16 +119,23 @@ def knn_join(
         if q.empty or b.empty:
             return pd.DataFrame({"_q": q["_q"][:0], "base_id": b["base_id"][:0], "dist": pd.Series(dtype=float)})
         b = b.sort_values("base_id", kind="stable")
-        d = _distances(np.vstack(q["_vec"].to_numpy()), np.vstack(b["_vec"].to_numpy()))
-        take = min(k, d.shape[1])
-        order = np.argsort(d, axis=1, kind="stable")[:, :take]
-        return pd.DataFrame(
-            {
-                "_q": np.repeat(q["_q"].to_numpy(), take),
-                "base_id": b["base_id"].to_numpy()[order].ravel(),
-                "dist": np.take_along_axis(d, order, axis=1).ravel(),
-            }
-        )
+        ids, points_b = b["base_id"].to_numpy(), np.vstack(b["_vec"].to_numpy())
+        parts = []
+        for start in range(0, len(q), BATCH_ROWS):
+            some = q.iloc[start : start + BATCH_ROWS]
+            d = _distances(np.vstack(some["_vec"].to_numpy()), points_b)
+            take = min(k, d.shape[1])
+            order = np.argsort(d, axis=1, kind="stable")[:, :take]
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "_q": np.repeat(some["_q"].to_numpy(), take),
+                        "base_id": ids[order].ravel(),
+                        "dist": np.take_along_axis(d, order, axis=1).ravel(),
+                    }
+                )
+            )
+        return pd.concat(parts, ignore_index=True)
 
     cut = ["cell", "block", "chunk"]
     near = left.groupBy(*cut).cogroup(right.groupBy(*cut)).applyInPandas(best, schema)

@@ -10,6 +10,7 @@ from foldwise.encoders import blocks, categorical as C, numeric as N, projection
 from foldwise.plans import fixtures as X
 from foldwise.plans.history_queries import _BEST, _HAVERSINE, _SINCE, _STOPPED, erfinv_sql
 from foldwise.plans.registry import query, r6
+from foldwise.sources.tables import roles
 
 CATS = X.CLAIM_CATS
 _CLAIMS = f"WITH {X.CLAIMS}"
@@ -372,3 +373,16 @@ def profile_features(spark, sf):
     done = blocks.profile_features(X.sessions(spark, sf).select("sid", "pid"), X.profiles(spark, sf))
     return done.select("sid", "pid", *r6(*[c for c in done.columns if c not in ("sid", "pid")]))
 
+
+
+@query("e17_e21_session_table")
+def session_table(spark, sf):
+    """All blocks together, split into roles by the column prefix."""
+    sessions = X.sessions(spark, sf)
+    # one plan list per session: the list of the line whose number is smallest
+    lists = X.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sid"), F.col("l_linenumber"), X.line_key().alias("line"))
+    first = lists.groupBy("sid").agg(F.min_by("line", F.struct("l_linenumber", "line")).alias("line"))
+    plans = first.join(X.plan_lists(spark, sf).select(F.col("sid").alias("line"), "plans"), "line").select("sid", "plans")
+    done = blocks.session_features(sessions, plans, X.clicks(spark, sf), X.profiles(spark, sf), X.addresses(spark, sf), ellipsoid=False)
+    found = roles(done)
+    return done.select("sid", "click_mode", *found["cat"], *found["num"], *[F.round(c, 6).alias(c) for c in found["svd"]])

@@ -57,6 +57,33 @@ def out_of_fold(spark, sf):
     return _oof(spark, sf).select("part", "id", "fold", *r6("value"))
 
 
+@query(
+    "m1_train_run",
+    _OOF + " SELECT id, round(avg(greatest(exp(v) - 200, 1)), 4) AS value FROM p WHERE part = 'test-foldavg' GROUP BY id",
+)
+def train_run(spark, sf):
+    from foldwise.sources.predictions import load_prediction
+
+    rows = X.claims(spark, sf).select("id", "split", "cont1", "loss")
+    root = shared_folder(spark, "runs")
+    run, _ = S.train_run(rows.filter("split = 'train'"), rows.filter("split = 'test'"), _preset(), root, "20240101-0000", k=3)
+    return load_prediction(spark, root, run, "test", "foldavg").select("id", F.round("value", 4).alias("value"))
+
+
+@query(
+    "m1_holdout",
+    f"""{_CLAIMS}, h AS (SELECT *, ({X.md5_sql('id', 42)} + 0.5::DOUBLE) / 4294967296.0::DOUBLE < 0.22::DOUBLE AS held FROM claims WHERE split = 'train'),
+    f AS (SELECT regr_slope(ln(loss + 200), cont1) AS a, regr_intercept(ln(loss + 200), cont1) AS b FROM h WHERE NOT held)
+    SELECT id, round(a * cont1 + b, 6) AS value FROM h CROSS JOIN f WHERE held""",
+)
+def holdout(spark, sf):
+    from foldwise.operators.rows import holdout as hold
+
+    rows = hold(X.claims(spark, sf).filter("split = 'train'").drop("split"), "id", 0.22, 42)
+    found = S.holdout_predict(rows.filter("split = 'train'"), {"val": rows.filter("split = 'val'")}, _preset())
+    return found["val"].select("id", *r6("value"))
+
+
 @query("m1_stratified_classes")
 def out_of_fold_classes(spark, sf):
     """Out-of-fold class probabilities with stratified folds."""

@@ -17,6 +17,7 @@ from foldwise.functions.numeric import argmax, target_transform
 from foldwise.operators.aggregates import target_stats
 from foldwise.operators.rows import kfold, sample_columns, sample_exact
 from foldwise.session import settle
+from foldwise.sources.predictions import PARTS, save_predictions
 
 
 def assemble_inputs(
@@ -172,6 +173,47 @@ def oof_predict(
     return reduce(DataFrame.unionByName, pieces)
 
 
+def holdout_predict(train: DataFrame, tables: Mapping[str, DataFrame], preset: Preset, seed: int = 42) -> dict[str, DataFrame]:
+    """One fit on ``train``; predictions for a validation part and any other table."""
+    cols = list(preset.features)
+    rows, made = settle(train), dict(tables)
+    for encoder in preset.encoders:
+        model = encoder.fit(rows)
+        rows = model.transform_fitted(rows) if hasattr(model, "transform_fitted") else model.transform(rows)
+        made = {n: model.transform(d) for n, d in made.items()}
+        cols += model.feature_names()
+    sampled = bag(rows, cols, preset.key, preset.sample, preset.feature_sample, preset.svd, seed)
+    return fit_predict(preset, sampled, made, seed)
+
+
+def run_name(preset: Preset, score: float, moment: str) -> str:
+    """``<time>-<preset>-<score>``."""
+    return f"{moment}-{preset.name}-{score:.5f}"
+
+
+def train_run(
+    train: DataFrame, test: DataFrame, preset: Preset, root: str, moment: str, k: int = 5, n_splits: int = 1, n_bags: int = 1
+) -> tuple[str, dict]:
+    """Out-of-fold predictions, their error, and the three prediction parts saved under a name that carries it.
+
+    Regression presets: values through the inverse target transform, mean or
+    median over folds and bags, and the mean absolute error.
+    """
+    raw = settle(oof_predict(train, test, preset, k, n_splits, n_bags))
+    _, back = preset.transforms()
+    final = settle(aggregate_predictions(raw, preset.key, preset.agg, back, preset.order))
+    own = aggregate_predictions(raw.filter("part = 'train'"), preset.key, preset.agg, back, preset.order, ("fold", "split"))
+    truth = train.select(preset.key, preset.target)
+    error = F.abs(F.col("value") - F.col(preset.target))
+    folds = own.join(truth, preset.key).groupBy("split", "fold").agg(F.avg(error).alias("m"))
+    spread = folds.agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std")).first()
+    overall = final.filter("part = 'train'").join(truth, preset.key).agg(F.avg(error)).first()[0]
+    run = run_name(preset, overall, moment)
+    for part in PARTS:
+        save_predictions(final.filter(F.col("part") == part).select(preset.key, "value"), root, run, part)
+    return run, {"mae": overall, "mae_mean": spread["mean"], "mae_std": spread["std"]}
+
+
 def aggregate_predictions(
     p: DataFrame,
     key: str = "id",
