@@ -13,9 +13,9 @@ MEAN_RADIUS = 6371008.8
 
 
 def split_pair(text: Column) -> tuple[Column, Column]:
-    """``"lng,lat"`` to two doubles."""
+    """``"lng,lat"`` to two doubles; null where there is no number."""
     parts = F.split(text, ",")
-    return parts[0].cast("double"), parts[1].cast("double")
+    return F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")
 
 
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

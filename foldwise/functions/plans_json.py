@@ -33,14 +33,19 @@ def empty_to(col: Column, value=None) -> Column:
 
 
 def numeric_plans(plans: Column, empty_price=0) -> Column:
-    """Parsed plans with the numbers as long; an empty price becomes ``empty_price``."""
+    """Parsed plans with the numbers as long; an empty price becomes ``empty_price``, text that is no number null."""
+
+    def whole(text):
+        # fractions are cut off
+        return text.try_cast("double").cast("long")
+
     return F.transform(
         plans,
         lambda p: F.struct(
-            p["distance"].cast("long").alias("distance"),
-            empty_to(p["price"], empty_price).cast("long").alias("price"),
-            p["eta"].cast("long").alias("eta"),
-            p["transport_mode"].cast("int").alias("mode"),
+            whole(p["distance"]).alias("distance"),
+            F.when(p["price"] == "", F.lit(empty_price).cast("long")).otherwise(whole(p["price"])).alias("price"),
+            whole(p["eta"]).alias("eta"),
+            whole(p["transport_mode"]).cast("int").alias("mode"),
         ),
     )
 

@@ -375,6 +375,16 @@ def profile_features(spark, sf):
 
 
 
+@query(
+    "e21_profile_raw_columns",
+    f"""WITH {X.SESSIONS} SELECT sid, coalesce(pid, -1) AS pid, {', '.join(f"CASE WHEN pid IS NULL THEN 0 ELSE embedding[{int(c[1:]) + 1}]::DOUBLE END AS cat_{c}" for c in blocks.RAW_PROFILE)}
+    FROM sessions LEFT JOIN embeddings ON pid = vec_id""",
+)
+def profile_raw_columns(spark, sf):
+    done = blocks.profile_features(X.sessions(spark, sf).select("sid", "pid"), X.profiles(spark, sf))
+    return done.select("sid", "pid", *[f"cat_{c}" for c in blocks.RAW_PROFILE])
+
+
 @query("e17_e21_session_table")
 def session_table(spark, sf):
     """All blocks together, split into roles by the column prefix."""

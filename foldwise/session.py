@@ -19,6 +19,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="foldwise-"))
     return context.getCheckpointDir()
 

@@ -45,6 +45,17 @@ def test_plan_block_on_hand_rows(spark):
     assert first.filter("sid = 'ties'").first()["num_max_dist_mode"] == 2
 
 
+def test_numbers_that_are_none(spark):
+    rows = [("a", json.dumps([plan("12.7", "x", None, 3), plan(8, 5, 2, 4)])), ("b", '[{"distance": 4}]')]
+    df = spark.createDataFrame(rows, "sid string, plans string")
+    got = plans_json.explode_plans(df, "plans", ["sid"]).orderBy("sid", "pos").collect()
+    assert [tuple(r)[2:] for r in got] == [(12, None, None, 3), (8, 5, 2, 4), (4, None, None, None)]
+    done = {r["sid"]: r for r in blocks.plan_features(df, "plans").collect()}
+    assert done["a"]["num_max_price_mode"] == 4 and done["a"]["num_max_dist_mode"] == 3
+    pair = spark.createDataFrame([("1.5,2",), ("bad",), (None,)], "t string").select(*geo.split_pair(F.col("t")))
+    assert [tuple(r) for r in pair.collect()] == [(1.5, 2.0), (None, None), (None, None)]
+
+
 def test_explode_keeps_or_drops_empty_lists(spark):
     rows = [("a", json.dumps([plan(1, "", 2, 3)])), ("b", "[]")]
     df = spark.createDataFrame(rows, "sid string, plans string")
