@@ -146,6 +146,7 @@ def od_features(
     destination: str = "d",
     how: str = "inner",
     ellipsoid: bool = True,
+    key: str = "sid",
 ) -> DataFrame:
     """Coordinates, address attributes of both ends, equality flags, distance, district codes."""
     o1, o2 = split_pair(F.col(origin))
@@ -160,7 +161,7 @@ def od_features(
     rows = rows.withColumn("num_direct_distance", metres(*ends))
     if "district" in fields:
         both = ["cat_source_district", "cat_des_district"]
-        codes = label_encode(both, suffix="_code").fit(rows).transform(rows)
+        codes = label_encode(both, suffix="_code", key=key).fit(rows).transform(rows)
         rows = codes.drop(*both).withColumnsRenamed({f"{c}_code": c for c in both})
     return rows.drop(*[f"cat_{s}_{c}" for s in ("source", "des") for c in ("street", "street_number")])
 

@@ -103,13 +103,13 @@ def _target_mean(**kw):
 
 @query(
     "e6_target_mean",
-    _MEANS + f""" SELECT id, {', '.join(f"round(exp((coalesce({c}_s, 0) + m * 100) / (coalesce({c}_n, 0) + 100)), 4) AS {c}_mean" for c in _COMBINED)} FROM mapped WHERE split = 'test'""",
+    _MEANS + f""" SELECT id, {', '.join(f"round(exp((coalesce({c}_s, 0) + m * 100) / (coalesce({c}_n, 0) + 100)), 2) AS {c}_mean" for c in _COMBINED)} FROM mapped WHERE split = 'test'""",
 )
 def target_mean(spark, sf):
     rows = X.claims(spark, sf)
     model = _target_mean(noisy=False).fit(rows.filter("split = 'train'"))
     done = model.transform(rows.filter("split = 'test'"))
-    return done.select("id", *[F.round(c, 4).alias(c) for c in model.feature_names()])
+    return done.select("id", *[F.round(c, 2).alias(c) for c in model.feature_names()])
 
 
 def _noise_sql(c: str) -> str:
@@ -121,13 +121,13 @@ def _noise_sql(c: str) -> str:
 
 @query(
     "e6_target_mean_noisy_loo",
-    _MEANS + f""" SELECT id, {', '.join(f"round(exp(({c}_s + m * 100 + s * 10 * {_noise_sql(c)} - t) / ({c}_n + 100 - 1)), 4) AS {c}_mean" for c in _COMBINED)} FROM mapped WHERE split = 'train'""",
+    _MEANS + f""" SELECT id, {', '.join(f"round(exp(({c}_s + m * 100 + s * 10 * {_noise_sql(c)} - t) / ({c}_n + 100 - 1)), 2) AS {c}_mean" for c in _COMBINED)} FROM mapped WHERE split = 'train'""",
 )
 def target_mean_noisy(spark, sf):
     train = X.claims(spark, sf).filter("split = 'train'")
     model = _target_mean(noisy=True, loo=True).fit(train)
     done = model.transform_fitted(train)
-    return done.select("id", *[F.round(c, 4).alias(c) for c in model.feature_names()])
+    return done.select("id", *[F.round(c, 2).alias(c) for c in model.feature_names()])
 
 
 def _alpha_sql(x: str) -> str:

@@ -52,14 +52,14 @@ def _oof(spark, sf):
     return S.oof_predict(train, test, _preset(), k=3)
 
 
-@query("m1_out_of_fold", _OOF + " SELECT part, id, CAST(fold AS INTEGER) AS fold, round(v, 6) AS value FROM p")
+@query("m1_out_of_fold", _OOF + " SELECT part, id, CAST(fold AS INTEGER) AS fold, round(v, 4) AS value FROM p")
 def out_of_fold(spark, sf):
-    return _oof(spark, sf).select("part", "id", "fold", *r6("value"))
+    return _oof(spark, sf).select("part", "id", "fold", F.round("value", 4).alias("value"))
 
 
 @query(
     "m1_train_run",
-    _OOF + " SELECT id, round(avg(greatest(exp(v) - 200, 1)), 4) AS value FROM p WHERE part = 'test-foldavg' GROUP BY id",
+    _OOF + " SELECT id, round(avg(greatest(exp(v) - 200, 1)), 2) AS value FROM p WHERE part = 'test-foldavg' GROUP BY id",
 )
 def train_run(spark, sf):
     from foldwise.sources.predictions import load_prediction
@@ -67,21 +67,21 @@ def train_run(spark, sf):
     rows = X.claims(spark, sf).select("id", "split", "cont1", "loss")
     root = shared_folder(spark, "runs")
     run, _ = S.train_run(rows.filter("split = 'train'"), rows.filter("split = 'test'"), _preset(), root, "20240101-0000", k=3)
-    return load_prediction(spark, root, run, "test", "foldavg").select("id", F.round("value", 4).alias("value"))
+    return load_prediction(spark, root, run, "test", "foldavg").select("id", F.round("value", 2).alias("value"))
 
 
 @query(
     "m1_holdout",
     f"""{_CLAIMS}, h AS (SELECT *, ({X.md5_sql('id', 42)} + 0.5::DOUBLE) / 4294967296.0::DOUBLE < 0.22::DOUBLE AS held FROM claims WHERE split = 'train'),
     f AS (SELECT regr_slope(ln(loss + 200), cont1) AS a, regr_intercept(ln(loss + 200), cont1) AS b FROM h WHERE NOT held)
-    SELECT id, round(a * cont1 + b, 6) AS value FROM h CROSS JOIN f WHERE held""",
+    SELECT id, round(a * cont1 + b, 4) AS value FROM h CROSS JOIN f WHERE held""",
 )
 def holdout(spark, sf):
     from foldwise.operators.rows import holdout as hold
 
     rows = hold(X.claims(spark, sf).filter("split = 'train'").drop("split"), "id", 0.22, 42)
     found = S.holdout_predict(rows.filter("split = 'train'"), {"val": rows.filter("split = 'val'")}, _preset())
-    return found["val"].select("id", *r6("value"))
+    return found["val"].select("id", F.round("value", 4).alias("value"))
 
 
 @query("m1_stratified_classes")
@@ -104,14 +104,14 @@ _M2_COLS = ["cat1", "cat3", "cat1_cat2"]
     f"""{_CLAIMS}, r AS (SELECT id, cat1, cat3, cat1 || cat2 AS cat1_cat2, ln(loss + 100) AS t, CAST({X.md5_sql('id', 2016)} % 5 AS INTEGER) AS fold FROM claims WHERE split = 'train'),
     g AS (SELECT fold, sum(t) AS fs, count(*) AS fn FROM r GROUP BY 1), gt AS (SELECT sum(t) AS ts, count(*) AS tn FROM r),
     {', '.join(f"s_{c} AS (SELECT {c}, fold, sum(t) AS s, count(*) AS n FROM r GROUP BY 1, 2), t_{c} AS (SELECT {c}, sum(t) AS s, count(*) AS n FROM r GROUP BY 1)" for c in _M2_COLS)}
-    SELECT id, r.fold, {', '.join(f"round(exp((t_{c}.s - s_{c}.s + (ts - fs) / (tn - fn) * 100) / (t_{c}.n - s_{c}.n + 100)), 4) AS {c}_mean" for c in _M2_COLS)}
+    SELECT id, r.fold, {', '.join(f"round(exp((t_{c}.s - s_{c}.s + (ts - fs) / (tn - fn) * 100) / (t_{c}.n - s_{c}.n + 100)), 2) AS {c}_mean" for c in _M2_COLS)}
     FROM r JOIN g USING (fold) CROSS JOIN gt {' '.join(f'JOIN t_{c} ON r.{c} = t_{c}.{c} JOIN s_{c} ON r.{c} = s_{c}.{c} AND r.fold = s_{c}.fold' for c in _M2_COLS)}""",
 )
 def fold_encode(spark, sf):
     train = kfold(X.claims(spark, sf).filter("split = 'train'"), "id", 5, 2016)
     encoder = TargetMean(["cat1", "cat3"], "loss", noisy=False, combinations=[["cat1", "cat2"]])
     done = S.fold_encode(train, encoder)
-    return done.select("id", "fold", *[F.round(f"{c}_mean", 4).alias(f"{c}_mean") for c in _M2_COLS])
+    return done.select("id", "fold", *[F.round(f"{c}_mean", 2).alias(f"{c}_mean") for c in _M2_COLS])
 
 
 _BAG_COL = sample_columns(["cont1", "cont2"], 0.5, 42)[0]
@@ -121,14 +121,14 @@ _BAG_COL = sample_columns(["cont1", "cont2"], 0.5, 42)[0]
     "m3_bagging",
     f"""{_CLAIMS}, o AS (SELECT *, row_number() OVER (ORDER BY md5(id || '|42'), id) AS rn, count(*) OVER () AS n FROM claims WHERE split = 'train'),
     fit AS (SELECT regr_slope(loss, {_BAG_COL}) AS a, regr_intercept(loss, {_BAG_COL}) AS b FROM o WHERE rn <= floor(0.4::DOUBLE * n))
-    SELECT id, round(a * {_BAG_COL} + b, 4) AS value FROM claims CROSS JOIN fit WHERE split = 'test'""",
+    SELECT id, round(a * {_BAG_COL} + b, 2) AS value FROM claims CROSS JOIN fit WHERE split = 'test'""",
 )
 def bagging(spark, sf):
     rows = X.claims(spark, sf)
     preset = S.Preset("bag", ("cont1", "cont2"), LinearRegression(solver="normal"))
     made = S.bag(rows.filter("split = 'train'"), ["cont1", "cont2"], "id", 0.4, 0.5, None, 42)
     found = S.fit_predict(preset, made, {"test": rows.filter("split = 'test'")}, 42)["test"]
-    return found.select("id", F.round("value", 4).alias("value"))
+    return found.select("id", F.round("value", 2).alias("value"))
 
 
 @query("m3_bag_with_svd")
@@ -143,8 +143,8 @@ def bag_with_svd(spark, sf):
 @query(
     "m4_prediction_aggregation",
     _OOF
-    + """ SELECT part, id, round(greatest(exp(avg(v)) - 200, 1), 4) AS mean_transform, round(avg(greatest(exp(v) - 200, 1)), 4) AS transform_mean,
-    round(median(greatest(exp(v) - 200, 1)), 4) AS transform_median FROM p GROUP BY part, id""",
+    + """ SELECT part, id, round(greatest(exp(avg(v)) - 200, 1), 2) AS mean_transform, round(avg(greatest(exp(v) - 200, 1)), 2) AS transform_mean,
+    round(median(greatest(exp(v) - 200, 1)), 2) AS transform_median FROM p GROUP BY part, id""",
 )
 def prediction_aggregation(spark, sf):
     p = settle(_oof(spark, sf))
@@ -153,7 +153,7 @@ def prediction_aggregation(spark, sf):
     for name, agg, order in (("mean_transform", "mean", "agg_first"), ("transform_mean", "mean", "inverse_first"), ("transform_median", "median", "inverse_first")):
         outs.append(S.aggregate_predictions(p, "id", agg, back, order).withColumnRenamed("value", name))
     done = outs[0].join(outs[1], ["part", "id"]).join(outs[2], ["part", "id"])
-    return done.select("part", "id", *[F.round(c, 4).alias(c) for c in ("mean_transform", "transform_mean", "transform_median")])
+    return done.select("part", "id", *[F.round(c, 2).alias(c) for c in ("mean_transform", "transform_mean", "transform_median")])
 
 
 _RUNS = f"""WITH {X.PREDICTIONS}, runs AS (SELECT 'a' AS run, id, pred AS value FROM predictions UNION ALL SELECT 'b', id, truth * 0.9 FROM predictions
@@ -235,13 +235,13 @@ def median_regression(spark, sf):
 @query(
     "m9_ridge",
     f"""{_CLAIMS}, c AS (SELECT id, cont1 - avg(cont1) OVER () AS x, loss - avg(loss) OVER () AS y, avg(loss) OVER () AS m FROM claims),
-    f AS (SELECT sum(x * y) / (sum(x * x) + 1000.0) AS w FROM c) SELECT id, round(m + w * x, 4) AS value FROM c CROSS JOIN f""",
+    f AS (SELECT sum(x * y) / (sum(x * x) + 1000.0) AS w FROM c) SELECT id, round(m + w * x, 2) AS value FROM c CROSS JOIN f""",
 )
 def ridge(spark, sf):
     rows = X.claims(spark, sf).select("id", "cont1", "loss")
     vectors = _vectors(rows, ["cont1"], F.col("loss"))
     model = L.ridge(1000.0).fit(vectors)
-    return model.transform(vectors).select("id", F.round("prediction", 4).alias("value"))
+    return model.transform(vectors).select("id", F.round("prediction", 2).alias("value"))
 
 
 def _classified(spark, sf, model_of, n=3):
