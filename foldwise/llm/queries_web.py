@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from foldwise.llm import warc
+from foldwise.llm import packing, warc
 from foldwise.llm.registry import query, table
 
 
 @query("op1_warc_transactions")
 def op1(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op4_curve_packing")
+def op4(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
