@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from foldwise.llm import decontaminate, quality
+from foldwise.llm import decontaminate, quality, secrets
 from foldwise.llm.registry import query, table
 
 
@@ -22,3 +20,9 @@ def op3(spark, sf_dir):
     return rated.select(
         "doc_id", "quality.*", quality.base_failed().alias("base_failed"), quality.kept().alias("kept")
     )
+
+
+@query("op9_trigram_secrets", secrets.oracle())
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.find_secrets(docs))
