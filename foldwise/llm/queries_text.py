@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldwise.llm import decontaminate, quality, secrets
+from foldwise.llm import decontaminate, quality, secrets, toxicity
 from foldwise.llm.registry import query, table
 
 
@@ -26,3 +26,8 @@ def op3(spark, sf_dir):
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.find_secrets(docs))
+
+
+@query("op7_grammar_toxicity")
+def op7(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
