@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 # bytes of text that one step of a task works on at a time; a longer text is one step
 BLOCK_BYTES = 2 << 20
+BLOCK_ROWS = 4096
 # a stretch of bytes that is hashed with one table of powers
 SPAN = 1 << 18
 
@@ -162,11 +163,11 @@ def runs(mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def cut(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in pieces of at most ``limit`` bytes of text, or one row."""
+    """The rows of a batch in pieces of at most ``limit`` bytes of text and ``BLOCK_ROWS`` rows, or one row."""
     _, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
     at, n = 0, batch.num_rows
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        to = max(at + 1, min(at + BLOCK_ROWS, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
         yield batch.slice(at, to - at)
         at = to
 
