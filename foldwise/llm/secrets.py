@@ -212,19 +212,33 @@ def _replaced(rule: Rule, put: str):
     return lambda part, i: F.when((i % 2 == 1) & _passes(part, rule), F.lit(put)).otherwise(part)
 
 
-def redact(df: DataFrame, text: str = "text", rules: Sequence[Rule] = tuple(RULES), put: str = "[secret]") -> DataFrame:
-    """The same rows and columns; every secret in the text is replaced by ``put``."""
+def redact(
+    df: DataFrame,
+    text: str = "text",
+    rules: Sequence[Rule] = tuple(RULES),
+    put: str = "[secret]",
+    length: str | None = None,
+) -> DataFrame:
+    """The same rows and columns; every secret in the text is replaced by ``put``.
+
+    ``length`` names a column that holds the length of the text and changes with it.
+    """
     clean = F.col("t")
     for rule in rules:
         parts = F.transform(_parts(clean, rule), _replaced(rule, put))
         clean = F.when(_verify(rule), F.array_join(parts, "")).otherwise(clean)
     held = [F.when(_verify(rule), True).otherwise(False) for rule in rules]
     touched = F.exists(F.array(*held), lambda x: x)
-    column = F.col("row").getField(text)
-    made = F.when(touched, clean).otherwise(column).alias(text)
-    return _with_candidates(df, text, rules).select(
-        *[made if c == text else F.col("row").getField(c).alias(c) for c in df.columns]
-    )
+    made = _with_candidates(df, text, rules).select("row", touched.alias("touched"), F.when(touched, clean).alias("clean"))
+    columns = []
+    for c in df.columns:
+        old = F.col("row").getField(c)
+        if c == text:
+            old = F.when(F.col("touched"), F.col("clean")).otherwise(old)
+        elif c == length:
+            old = F.when(F.col("touched"), F.length("clean").cast(df.schema[c].dataType)).otherwise(old)
+        columns.append(old.alias(c))
+    return made.select(*columns)
 
 
 def span_text(spans: Column, rules: Sequence[Rule]) -> Column:
