@@ -8,12 +8,16 @@ registers of the text. Two texts share a register with the probability
 Jaccard of their weights.
 
 Texts that agree on all registers of a band meet in a bucket. Equal texts are
-one node. The members of a bucket are compared with its smallest node first;
-then, where a bucket still holds several classes, members of different
-classes are compared, so that no pair of a bucket that is not already in one
-class stays unseen, and no group is expanded into all its pairs. A pair is
-linked if the exact probability Jaccard of its texts is at least 0.8.
-With 20 bands of 5 registers a pair at 0.8 is met with a probability of 0.9996.
+one node. The members of a bucket are compared with its smallest node first,
+then with members of the bucket's largest class, one for each bucket and
+round, which is linear and joins most of what belongs together. Where a bucket
+still holds several classes, members of different classes are compared by
+their registers, the best partner in each class first and then all, so that no pair of
+a bucket stays unseen unless one class holds both, and no group is expanded
+into all its pairs. A pair is linked if the exact probability Jaccard of its
+texts is at least 0.8. With 30 bands of 5 registers a pair at 0.8 is met with
+a probability of 0.99999; one that 300 registers estimate four standard
+deviations below 0.8 is not verified.
 
 Defined results: words are lower-case (A-Z) letters, digits and characters outside ASCII; a
 text of one to four words is one shingle; texts without words are in no class
@@ -44,12 +48,15 @@ from foldwise.session import settle
 
 WIDTH = 5
 THRESHOLD = 0.8
-BANDS = 20
+BANDS = 30
 ROWS = 5
-REGISTERS = BANDS * ROWS
-# five standard deviations below the threshold; a pair estimated lower is not verified
-LEAST_ESTIMATE = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
-# members of one class in one bucket that travel in one row
+# those beyond the bands only sharpen the estimate
+REGISTERS = 300
+# four standard deviations; a pair estimated lower below the threshold is not verified
+MARGIN = 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
+# rounds in which the members of a bucket meet one member of its largest class
+ROUNDS = 2
+# members of one bucket that travel in one row
 CHUNK = 500
 
 SKETCH = T.StructType(
@@ -107,7 +114,7 @@ def prob_minhash(row: np.ndarray, value: np.ndarray, weight: np.ndarray, n_rows:
 
 def band_keys(held: np.ndarray) -> np.ndarray:
     """A key for each band of each row, different for different bands."""
-    parts = held.reshape(len(held), BANDS, ROWS)
+    parts = held[:, : BANDS * ROWS].reshape(len(held), BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(1)
     for j in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, j])
@@ -120,7 +127,7 @@ def _sketch(texts) -> list[pa.Array]:
     some = np.bincount(row, minlength=n_rows) > 0
     keys = band_keys(held)[some].ravel()
     bounds = np.append(0, np.cumsum(some * BANDS))
-    small = (held >> np.uint64(48)).astype(np.uint16)
+    small = (held >> np.uint64(56)).astype(np.uint8)  # one byte tells registers apart well enough to estimate
     return [
         pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys)),
         pa.array([small[i].tobytes() for i in range(n_rows)], pa.binary()),
@@ -193,7 +200,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint16).reshape(len(column), -1)
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(len(column), -1)
 
 
 def _agreement(ra, rb) -> np.ndarray:
@@ -202,42 +209,59 @@ def _agreement(ra, rb) -> np.ndarray:
     return (_matrix(ra) == _matrix(rb)).mean(axis=1)
 
 
-def _across(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Pairs of one bucket and different classes whose registers agree often enough."""
-    labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold several classes, with their class and the bucket's largest."""
+    labelled = settle(buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = settle(
-        sizes.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label"))["label"].alias("major"))
-        .filter("classes > 1")
-        .select("key", "major")
-    )
-    members = labelled.join(mixed, "key").join(nodes.select("node", "registers"), "node")
-    few = settle(members)
-    chunk = F.floor(F.xxhash64("node") % F.lit(1 << 20)).cast("int")
-    counts = few.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    dealt = few.join(settle(counts), ["key", "label"]).withColumn(
-        "chunk", F.pmod(chunk, F.ceil(F.col("n") / CHUNK).cast("int"))
+    several = sizes.groupBy("key").agg(
+        F.count(F.lit(1)).alias("classes"),
+        F.sum("n").alias("members"),
+        F.max(F.struct("n", "label"))["label"].alias("major"),
     )
+    return settle(labelled.join(settle(several.filter("classes > 1").drop("classes")), "key"))
+
+
+def _met_major(mixed: DataFrame, turn: int) -> DataFrame:
+    """Each member outside the largest class of its bucket, with one member of that class."""
+    draw = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("draw"), F.col("node").alias("node"))
+    chosen = settle(mixed.filter("label = major").groupBy("key").agg(F.min(draw)["node"].alias("chosen")))
+    pairs = mixed.filter("label <> major").join(chosen, "key")
+    return pairs.select(F.least("node", "chosen").alias("a"), F.greatest("node", "chosen").alias("b")).distinct()
+
+
+def _across(mixed: DataFrame, nodes: DataFrame, least: float, best: bool) -> DataFrame:
+    """Pairs of one bucket and different classes whose registers agree often enough.
+
+    With ``best`` only the best partner of a member in each class and part of the bucket.
+    """
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHUNK)).alias("chunk")
+    member = F.struct("node", "label", "registers")
     rows = settle(
-        dealt.groupBy("key", "label", "major", "chunk").agg(F.collect_list(F.struct("node", "registers")).alias("members"))
+        mixed.withColumn("chunk", part)
+        .join(nodes.select("node", "registers"), "node")
+        .groupBy("key", (F.col("label") == F.col("major")).alias("is_major"), "chunk")
+        .agg(F.collect_list(member).alias("members"))
     )
-    minor = rows.filter("label <> major").select(
-        "key", F.col("label").alias("la"), F.col("chunk").alias("c"), F.col("members").alias("ma")
-    )
-    other = rows.select("key", F.col("label").alias("lb"), "major", F.col("members").alias("mb"))
-    # of two minor classes, the smaller label looks at the larger one
-    met = minor.join(other, "key").filter("lb = major or la < lb").select("ma", "mb")
+    minor = rows.filter("not is_major").select("key", F.col("chunk").alias("ca"), F.col("members").alias("ma"))
+    other = rows.select("key", "is_major", F.col("chunk").alias("cb"), F.col("members").alias("mb"))
+    met = minor.join(other, "key").filter("is_major or ca <= cb").select("ma", "mb")
 
     def run(batches):
         for batch in batches:
             out_a, out_b = [], []
-            for ma, mb in zip(*(c for c in batch.columns)):
+            for ma, mb in zip(*batch.columns):
                 a, b = ma.values, mb.values
                 x, y = _matrix(a.field("registers")), _matrix(b.field("registers"))
                 na, nb = a.field("node").to_pylist(), b.field("node").to_pylist()
+                _, kinds = np.unique(np.array(a.field("label").to_pylist() + b.field("label").to_pylist()), return_inverse=True)
+                la, lb = kinds[: len(na)], kinds[len(na) :]
                 for i, own in enumerate(x):
-                    for j in np.flatnonzero((y == own).mean(axis=1) >= least).tolist():
+                    close = (y == own).mean(axis=1)
+                    found = np.flatnonzero((close >= least) & (lb != la[i]))
+                    if best and len(found) > 1:
+                        found = found[np.argsort(-close[found], kind="stable")]
+                        found = found[np.unique(lb[found], return_index=True)[1]]
+                    for j in found.tolist():
                         out_a.append(min(na[i], nb[j]))
                         out_b.append(max(na[i], nb[j]))
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
@@ -257,13 +281,14 @@ def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: f
         )
     )
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    leaders = settle(
-        banded.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    )
-    buckets = settle(banded.join(leaders, "key"))
-    pairs = buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    least = threshold - (THRESHOLD - LEAST_ESTIMATE)
-    first = settle(_estimated(pairs, nodes, least))
+    keys = settle(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    buckets = settle(banded.join(keys, "key"))
+    leaders = settle(buckets.groupBy("key").agg(F.min("node").alias("leader")))
+    pairs = buckets.join(leaders, "key").filter("node <> leader")
+    pairs = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    least = threshold - MARGIN
+    registers = nodes.select("node", "registers")
+    first = _estimated(pairs, registers, least)
     # texts of nodes that may have a partner at all, one row for each
     wanted = buckets.select("node").distinct()
     copies = slim.join(settle(wanted), "node", "left_semi")
@@ -273,11 +298,16 @@ def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: f
     )
     links = settle(_verified(first, texts, threshold))
     labels = components(links)
-    more = settle(_across(buckets.select("key", "node"), nodes, labels, least))
-    if not more.isEmpty():
+    for turn in range(ROUNDS + 2):
+        mixed = _mixed(buckets, labels)
+        if turn < ROUNDS:
+            more = _estimated(_met_major(mixed, turn), registers, least)
+        else:
+            more = _across(mixed, registers, least, best=turn == ROUNDS)
         found = settle(_verified(more, texts, threshold))
         if not found.isEmpty():
-            labels = components(links.union(found))
+            links = links.union(found)
+            labels = components(links)
     named = settle(
         nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     )
