@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldwise.llm import near_duplicates
+from foldwise.llm import near_duplicates, repeated_passages
 from foldwise.llm.registry import query, table
 
 
@@ -12,3 +12,9 @@ from foldwise.llm.registry import query, table
 def op10(spark, sf_dir):
     found = near_duplicates.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_head"))
+
+
+@query("op8_block_anchors")
+def op8(spark, sf_dir):
+    found = repeated_passages.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
