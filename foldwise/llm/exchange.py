@@ -22,9 +22,10 @@ from foldwise.session import settle
 
 # bytes of text in one block
 BLOCK = 12 << 20
-# kinds of rows
+# kinds of rows; operators may use more
 RECORDS, TABLE, FOUND = 0, 1, 2
 
+DOCUMENT = np.dtype([("d", "<i8"), ("n", "<i4"), ("base", "<i4")])
 PACKED = "part int, block long, kind int, body binary"
 ANSWER = "block long, kind int, body binary"
 
@@ -64,33 +65,35 @@ def unpack_gaps(gaps: np.ndarray) -> np.ndarray:
 
 def send(
     df: DataFrame,
-    find: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]],
+    find: Callable[[pa.RecordBatch], tuple],
     parts: int,
-    answer: Callable[[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]], Iterator[tuple[int, np.ndarray]]],
+    answer: Callable[[list[tuple]], Iterator[tuple[int, int, np.ndarray]]],
+    block_bytes: int = BLOCK,
 ) -> DataFrame:
     """Rows (block, kind, body): tables of the blocks' documents, and places found in the blocks.
 
     ``df`` starts with the columns d, h, t. ``find(block)`` gives target numbers (64 bits), structured records
-    and increasing places of what is to be sent, starts and ends of places found in the block itself,
+    and increasing places of what is to be sent, by kind the starts and ends of places found in the block itself,
     and the first place of each document with the end (n+1 numbers). ``answer`` gets what
-    one partition received, as (block, records, places, documents of the places), and yields (block, places found).
+    one partition received, as (block, records, places, documents of the places, places in the documents), and yields
+    (block, kind, starts and ends of places found).
     """
 
     def pack(batches):
         task = TaskContext.get().partitionId()
         number = 0
         for batch in batches:
-            for part in cut(batch, "t", BLOCK):
+            for part in cut(batch, "t", block_bytes):
                 block = (task << 32) + number
                 number += 1
                 yield _packed(part, block)
 
     def _packed(part, block):
-        target, records, places, (found_from, found_to), first = find(part)
+        target, records, places, found, first = find(part)
         ids = part.column(0).to_numpy()
         rows = [
             (block % parts, block, TABLE, _table(part, first)),
-            (block % parts, block, FOUND, np.stack([found_from, found_to], 1).astype("<i4").tobytes()),
+            *[(block % parts, block, kind, np.stack(pair, 1).astype("<i4").tobytes()) for kind, pair in found.items()],
         ]
         where = ((target >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(where, kind="stable")
@@ -118,10 +121,9 @@ def send(
         if through:
             yield _rows(through)
         if got:
-            for block, places in answer(got):
-                if len(places):
-                    pairs = np.stack([places, places + 1], 1).astype("<i4")
-                    yield _rows([(block, FOUND, pairs.tobytes())])
+            for block, kind, pairs in answer(got):
+                if len(pairs):
+                    yield _rows([(block, kind, np.asarray(pairs, "<i4").tobytes())])
 
     sent = df.mapInArrow(pack, PACKED).repartitionById(parts, F.col("part"))
     return settle(sent.mapInArrow(receive, ANSWER))
@@ -150,69 +152,72 @@ def _body(records: np.ndarray, places: np.ndarray, first: np.ndarray, ids: np.nd
     filled[real] = records
     row = np.searchsorted(first, places, "right") - 1
     some, count = np.unique(row, return_counts=True)
-    docs = np.zeros(len(some), np.dtype([("d", "<i8"), ("n", "<i4")]))
-    docs["d"], docs["n"] = ids[some], count
+    docs = np.zeros(len(some), DOCUMENT)
+    docs["d"], docs["n"], docs["base"] = ids[some], count, first[some]
     head = np.array([len(gaps), len(some), records.dtype.itemsize], "<i4").tobytes()
     flags = np.packbits(real).tobytes()
     return head + docs.tobytes() + gaps.tobytes() + flags + filled.tobytes()
 
 
-def _opened(raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _opened(raw) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, m, size = np.frombuffer(raw, "<i4", 3).tolist()
     at = 12
-    docs = np.frombuffer(raw, np.dtype([("d", "<i8"), ("n", "<i4")]), m, at)
+    docs = np.frombuffer(raw, DOCUMENT, m, at)
     at += docs.nbytes
     gaps = np.frombuffer(raw, "<u2", n, at)
     at += gaps.nbytes
     real = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), at), count=n).astype(bool)
     at += -(-n // 8)
     records = np.frombuffer(raw, np.dtype((np.void, size)), n, at)[real]
-    return records, unpack_gaps(gaps)[real], np.repeat(docs["d"], docs["n"])
+    places = unpack_gaps(gaps)[real]
+    return records, places, np.repeat(docs["d"], docs["n"]), places - np.repeat(docs["base"], docs["n"])
 
 
-def places_by_document(answers: DataFrame) -> DataFrame:
-    """Rows (d, h, spans): for each document with places found, their stretches as pairs of 32-bit numbers."""
+def places_by_document(answers: DataFrame, kinds: tuple[int, ...] = (FOUND,)) -> DataFrame:
+    """Rows (d, h, kind, spans): for each document with places found, their stretches as pairs of 32-bit numbers."""
 
     def gather(batches):
-        block, table, found = None, None, []
+        block, table, found = None, None, {}
         for batch in batches:
             for b, kind, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if b != block:
-                    if block is not None:
-                        yield from _spans(table, found)
-                    block, table, found = b, None, []
+                    yield from _all_spans(table, found)
+                    block, table, found = b, None, {}
                 if kind == TABLE:
                     table = body.as_py()
-                else:
-                    found.append(np.frombuffer(body.as_buffer(), "<i4").reshape(-1, 2))
-        if block is not None:
-            yield from _spans(table, found)
+                elif kind in kinds:
+                    found.setdefault(kind, []).append(np.frombuffer(body.as_buffer(), "<i4").reshape(-1, 2))
+        yield from _all_spans(table, found)
 
     by_block = answers.repartition(F.col("block")).sortWithinPartitions("block")
-    merged = by_block.mapInArrow(gather, "d long, h binary, spans binary")
-    return merged.groupBy("d", "h").agg(F.first("spans").alias("spans"))
+    merged = by_block.mapInArrow(gather, "d long, h binary, kind int, spans binary")
+    return merged.groupBy("d", "h", "kind").agg(F.first("spans").alias("spans"))
 
 
-def _spans(table: bytes, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _all_spans(table: bytes | None, found: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    if table is None:
+        return
     docs = np.frombuffer(table, np.dtype([("d", "<i8"), ("h", "V16"), ("end", "<i8")]))
     first = np.append(0, docs["end"])
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
     n = int(first[-1])
-    if not len(pairs) or not n:
-        return
-    steps = np.bincount(pairs[:, 0], minlength=n + 1) - np.bincount(pairs[:, 1], minlength=n + 1)
-    starts, ends, bounds = runs(np.cumsum(steps[:n]) > 0, first)
-    base = np.repeat(first[:-1], np.diff(bounds))
-    own = np.stack([starts - base, ends - base], 1).astype("<i4")
-    some = np.flatnonzero(np.diff(bounds)).tolist()
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(docs["d"][some]),
-            pa.array([docs["h"][i].tobytes() for i in some], pa.binary()),
-            pa.array([own[bounds[i] : bounds[i + 1]].tobytes() for i in some], pa.binary()),
-        ],
-        names=["d", "h", "spans"],
-    )
+    for kind, several in found.items():
+        pairs = np.concatenate(several)
+        if not len(pairs) or not n:
+            continue
+        steps = np.bincount(pairs[:, 0], minlength=n + 1) - np.bincount(pairs[:, 1], minlength=n + 1)
+        starts, ends, bounds = runs(np.cumsum(steps[:n]) > 0, first)
+        base = np.repeat(first[:-1], np.diff(bounds))
+        own = np.stack([starts - base, ends - base], 1).astype("<i4")
+        some = np.flatnonzero(np.diff(bounds)).tolist()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(docs["d"][some]),
+                pa.array([docs["h"][i].tobytes() for i in some], pa.binary()),
+                pa.array([kind] * len(some), pa.int32()),
+                pa.array([own[bounds[i] : bounds[i + 1]].tobytes() for i in some], pa.binary()),
+            ],
+            names=["d", "h", "kind", "spans"],
+        )
 
 
 def spans_of(column) -> list[np.ndarray]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldwise.llm import near_duplicates, repeated_passages
+from foldwise.llm import near_duplicates, repeated_bytes, repeated_passages
 from foldwise.llm.registry import query, table
 
 
@@ -18,3 +18,9 @@ def op10(spark, sf_dir):
 def op8(spark, sf_dir):
     found = repeated_passages.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op6_linear_grouping")
+def op6(spark, sf_dir):
+    found = repeated_bytes.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

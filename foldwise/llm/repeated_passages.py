@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from foldwise.llm.exchange import keyed, parts_for, per_hash, places_by_document, send, shifted, spans_of
+from foldwise.llm.exchange import FOUND, keyed, parts_for, per_hash, places_by_document, send, shifted, spans_of
 from foldwise.llm.words import (
     BLANK_WORDS,
     cover,
@@ -74,20 +74,21 @@ def _anchors(part: pa.RecordBatch):
     lead, any_indexed = lead[by_place], any_indexed[by_place]
     records = np.zeros(n, _ANCHOR)
     records["hash"], records["indexed"] = hashes[lead] & np.uint64(0xFFFFFFFF), any_indexed
-    return hashes[lead], records, at[lead], (at[again], at[again] + 1), first
+    return hashes[lead], records, at[lead], {FOUND: (at[again], at[again] + 1)}, first
 
 
 def _meet(got):
     """Places whose hash came from several blocks, at least one of them an index block."""
-    records = np.concatenate([r for _, r, _, _ in got]).view(_ANCHOR).ravel()
+    records = np.concatenate([r for _, r, *_ in got]).view(_ANCHOR).ravel()
     order, group = per_hash(records["hash"])
     n = int(group[-1]) + 1
     hit = (np.bincount(group, minlength=n) > 1) & (np.bincount(group, records["indexed"][order], n) > 0)
     found = np.zeros(len(records), bool)
     found[order] = hit[group]
     at = 0
-    for block, r, places, _ in got:
-        yield block, places[found[at : at + len(r)]]
+    for block, r, places, *_ in got:
+        own = places[found[at : at + len(r)]]
+        yield block, FOUND, np.stack([own, own + 1], 1)
         at += len(r)
 
 
@@ -110,13 +111,13 @@ def _repeats(part: pa.RecordBatch, spans_at: int):
     later[order] = ids[order] > least[group]
     records = np.zeros(int((~later).sum()), _REPEAT)
     records["low"], records["high"] = low[~later], high[~later] & np.uint64(0xFFFFFFFF)
-    return low[~later], records, at[~later], (at[later], at[later] + 1), first
+    return low[~later], records, at[~later], {FOUND: (at[later], at[later] + 1)}, first
 
 
 def _earlier(got):
     """Places whose window came from a document with a smaller id too."""
-    records = np.concatenate([r for _, r, _, _ in got]).view(_REPEAT).ravel()
-    ids = np.concatenate([d for _, _, _, d in got])
+    records = np.concatenate([r for _, r, *_ in got]).view(_REPEAT).ravel()
+    ids = np.concatenate([d for _, _, _, d, _ in got])
     order = np.lexsort((records["high"], records["low"]))
     new = np.ones(len(order), bool)
     new[1:] = (records["low"][order][1:] != records["low"][order][:-1]) | (
@@ -128,8 +129,9 @@ def _earlier(got):
     later = np.zeros(len(order), bool)
     later[order] = ids[order] > least[group]
     at = 0
-    for block, r, places, _ in got:
-        yield block, places[later[at : at + len(r)]]
+    for block, r, places, *_ in got:
+        own = places[later[at : at + len(r)]]
+        yield block, FOUND, np.stack([own, own + 1], 1)
         at += len(r)
 
 
@@ -174,10 +176,10 @@ def remove_repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", with_
     docs = keyed(df, doc, text)
     parts = parts_for(df, text, PART_CHARS)
     anchors = settle(places_by_document(send(docs, _anchors, parts, _meet)))
-    some = docs.join(anchors, ["d", "h"])
+    some = docs.join(anchors.drop("kind"), ["d", "h"])
     marked = some.select("d", "h", "t", "spans")
     repeats = settle(places_by_document(_send_repeats(marked, parts)))
-    final = docs.join(repeats, ["d", "h"], "left")
+    final = docs.join(repeats.drop("kind"), ["d", "h"], "left")
     out = map_text(final, "t", "r", RESULT, lambda: lambda block, texts: _cut_out(block, texts, with_text), keep=["d", "spans"])
     doc_id = F.when(F.col("d") != -(1 << 63), F.col("d")).alias("doc_id")
     return out.select(doc_id, "r.*")

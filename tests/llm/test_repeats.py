@@ -6,7 +6,8 @@ import re
 
 import numpy as np
 
-from foldwise.llm import exchange, repeated_passages
+from foldwise.llm import exchange, repeated_bytes, repeated_passages
+from foldwise.llm.suffix_groups import suffix_array
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -72,3 +73,71 @@ def test_gaps():
     places = np.array([0, 3, 70_000, 70_001, 400_000])
     gaps, real = exchange.pack_gaps(places)
     assert (exchange.unpack_gaps(gaps)[real] == places).all() and len(gaps) > 5
+
+
+def plain_bytes(rows, width=100):
+    first = {}
+    split = [(d, (t or "").encode()) for d, t in rows]
+    for d, raw in split:
+        for i in range(len(raw) - width + 1):
+            w = raw[i : i + width]
+            if w not in first or (d, i) < first[w]:
+                first[w] = (d, i)
+    out = []
+    for d, raw in split:
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - width + 1):
+            if first[raw[i : i + width]] < (d, i):
+                gone[i : i + width] = b"\1" * width
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        out.append((d, len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def byte_rows(spark, docs):
+    rng = random.Random(4)
+    line = "Shared line of a licence, é and more of it. " * 3
+    rows = [(70_000 + k, f"{rng.random()}\n{line[: rng.randrange(90, 130)]}\n{rng.random()}" * 2, "", "", 0) for k in range(300)]
+    rows += [(71_000, "ab" * 400, "", "", 0), (71_001, "x" * 99 + "ab" * 90, "", "", 0)]
+    return passages(spark, docs).filter("length(text) < 9000 or text is null").unionByName(spark.createDataFrame(rows, docs.schema))
+
+
+def check_bytes(table):
+    rows = [(r["doc_id"], r["text"]) for r in table.collect()]
+    got = repeated_bytes.remove_repeats(table).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == plain_bytes(rows)
+    assert sum(r["n_removed"] > 0 for r in got) > 100
+
+
+def test_bytes(spark, docs):
+    check_bytes(byte_rows(spark, docs))
+
+
+def test_bytes_empty(docs):
+    assert repeated_bytes.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_crowded_anchors_in_one_process():
+    """Both ways of comparing contexts, without Spark."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    line = "".join(chr(97 + rng.randrange(26)) for _ in range(130))
+    texts = [f"{rng.random():.9f}{line}{rng.random():.9f}" for _ in range(200)]
+    table = pa.table({"d": list(range(200)), "h": [b"0" * 16] * 200, "t": texts}).combine_chunks().to_batches()[0]
+    for limit in (10, 10_000):
+        repeated_bytes.MANY_IN_BLOCK, before = limit, repeated_bytes.MANY_IN_BLOCK
+        try:
+            _, records, places, told, first = repeated_bytes._anchored(table)
+        finally:
+            repeated_bytes.MANY_IN_BLOCK = before
+        assert (len(told[4][0]) > 0) == (limit == 10)
+        assert (records["many"].sum() > 0) == (limit == 10)
+
+
+def test_suffix_array():
+    rng = random.Random(1)
+    for _ in range(500):
+        text = [rng.randrange(rng.choice([1, 2, 3, 5])) for _ in range(rng.randrange(0, 40))]
+        assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
