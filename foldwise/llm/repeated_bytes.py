@@ -51,7 +51,7 @@ PART_CHARS = 30_000_000
 MANY = 2_000
 MANY_IN_BLOCK = 48
 # bytes of contexts in one suffix array
-SORT_BYTES = 60_000
+SORT_BYTES = 16_000
 # kinds of places: contexts to be sorted, windows to be compared one by one
 SORTED, SINGLE = 3, 4
 
@@ -238,28 +238,22 @@ def _to_sort(part: pa.RecordBatch):
 
 def equal_windows(texts: list[bytes]) -> list[list[tuple[int, int]]]:
     """Classes of equal windows of several texts, as (text, start), by one suffix array."""
-    joined: list[int] = []
-    where: list[tuple[int, int] | None] = []
-    for k, text in enumerate(texts):
-        joined.extend(b + 1 for b in text)
-        joined.append(0)
-        room = len(text) - WINDOW + 1
-        where.extend((k, i) if i < room else None for i in range(len(text) + 1))
-    classes, last, held = [], None, []
-    for i in suffix_array(joined):
-        if where[i] is None:
-            continue
-        k, at = where[i]
-        window = texts[k][at : at + WINDOW]
-        if window == last:
-            held.append((k, at))
-        else:
-            if len(held) > 1:
-                classes.append(held)
-            last, held = window, [(k, at)]
-    if len(held) > 1:
-        classes.append(held)
-    return classes
+    raw = b"\0".join(texts)
+    buffer = np.frombuffer(raw, np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    begins = ends - [len(t) + 1 for t in texts]
+    own = cover(begins, np.maximum(ends - WINDOW, begins), len(raw))
+    # bytes are one higher than in the texts, so that the marks between texts are smaller than all
+    symbols = buffer.astype(np.int64) + 1
+    symbols[ends[:-1] - 1] = 0
+    order = np.array(suffix_array(symbols.tolist()), np.int64)
+    order = order[own[order]]
+    windows = buffer[order[:, None] + np.arange(WINDOW)]
+    same = (windows[1:] == windows[:-1]).all(axis=1)
+    text = np.searchsorted(ends, order, "right")
+    places = list(zip(text.tolist(), (order - begins[text]).tolist()))
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], same, [0]]).astype(np.int8)))
+    return [places[a : b + 1] for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist())]
 
 
 def _sort_answer(got):

@@ -37,12 +37,14 @@ def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[int], list[int]]
     # groups in order, as a list with links: below[g] is the next smaller one
     below = list(range(-1, len(members) - 1))
     above = [*range(1, len(members)), -1]
+    live = [len(own) for own in members]  # members that have not moved on
     left = list(range(-1, n - 1))  # a suffix that is taken: where to look on for a smaller one
     taken = bytearray(n)
     g = len(members) - 1
     while g >= 0:
-        own = [i for i in members[g] if group[i] == g]
-        members[g] = own
+        own = members[g]
+        if live[g] != len(own):
+            own = [i for i in own if group[i] == g]
         for i in own:
             taken[i] = 1
         times: dict[int, int] = {}
@@ -56,28 +58,31 @@ def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[int], list[int]]
                     left[k], k = j, left[k]
             if j >= 0:
                 times[j] = times.get(j, 0) + 1
-        if times:
-            moved: dict[tuple[int, int], list[int]] = {}
-            for j, k in times.items():
-                key = (group[j], k)
-                if key in moved:
-                    moved[key].append(j)
-                else:
-                    moved[key] = [j]
-            size = length[g]
-            for (old, k), some in sorted(moved.items(), key=lambda item: -item[0][1]):
-                # placed just above the old group: more copies are larger, so they come first and are pushed up
-                new = len(members)
-                members.append(some)
-                length.append(length[old] + k * size)
-                up = above[old]
-                above.append(up)
-                below.append(old)
-                above[old] = new
-                if up >= 0:
-                    below[up] = new
-                for j in some:
-                    group[j] = new
+        size = length[g]
+        moved: dict[tuple[int, int], list[int]] = {}
+        for j, k in times.items():
+            old = group[j]
+            if live[old] == 1:  # alone in its group, which may keep its place
+                length[old] += k * size
+            elif (old, k) in moved:
+                moved[old, k].append(j)
+            else:
+                moved[old, k] = [j]
+        # placed just above the old group: more copies are larger, so they come first and are pushed up
+        for (old, k), some in sorted(moved.items(), key=_copies) if len(moved) > 1 else moved.items():
+            new = len(members)
+            members.append(some)
+            length.append(length[old] + k * size)
+            live.append(len(some))
+            live[old] -= len(some)
+            up = above[old]
+            above.append(up)
+            below.append(old)
+            above[old] = new
+            if up >= 0:
+                below[up] = new
+            for j in some:
+                group[j] = new
         g = below[g]
     order = []
     g = next((x for x in range(len(members)) if below[x] < 0), -1)
@@ -87,6 +92,10 @@ def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[int], list[int]]
     return group, length, order
 
 
+def _copies(item: tuple[tuple[int, int], list[int]]) -> int:
+    return -item[0][1]
+
+
 def suffix_array(text: Sequence[int]) -> list[int]:
     """Starts of all suffixes in lexicographic order (a prefix of another suffix comes before it)."""
     n = len(text)
