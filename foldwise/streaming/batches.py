@@ -21,6 +21,12 @@ from foldwise.operators.clean import DropSparse
 WINDOW = 3
 
 
+def _last_batches(df: DataFrame, current: int, size: int) -> list[int]:
+    """The numbers of the last ``size`` batches before ``current`` that are there; numbers may be missing."""
+    numbers = df.filter(F.col("batch_no") < current).select("batch_no").distinct()
+    return [r["batch_no"] for r in numbers.orderBy(F.desc("batch_no")).limit(size).collect()]
+
+
 class BatchWindow:
     """The last ``size`` labelled batches."""
 
@@ -33,12 +39,12 @@ class BatchWindow:
         ).partitionBy("batch_no").parquet(self.path)
 
     def read(self, spark: SparkSession, current: int) -> DataFrame | None:
-        """Batches ``current - size .. current - 1``; None before the first one."""
+        """The last ``size`` batches before ``current``, whatever their numbers; None before the first one."""
         try:
             df = spark.read.parquet(self.path)
         except AnalysisException:
             return None
-        return df.filter((F.col("batch_no") >= current - self.size) & (F.col("batch_no") < current))
+        return df.filter(F.col("batch_no").isin(_last_batches(df, current, self.size)))
 
 
 def encode_window(
@@ -83,7 +89,9 @@ class FitOnceCleaner:
         kinds = dict(df.dtypes)
         filled = []
         for c in chosen:
-            if kinds[c] in ("double", "float", "int", "bigint"):
+            if kinds[c] in ("double", "float"):  # not a number counts as missing
+                filled.append(F.coalesce(F.nanvl(F.col(c), F.lit(None)), F.lit(0)).cast("double").alias(c))
+            elif kinds[c] in ("int", "bigint"):
                 filled.append(F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c))
             else:
                 filled.append(F.col(c))
@@ -183,8 +191,9 @@ class RunningFrequencies:
         counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(self.path)
 
     def live(self, spark: SparkSession, current: int) -> DataFrame:
-        """(feature, value, cnt) over batches ``current - size .. current``: window and new batch."""
-        rows = spark.read.parquet(self.path).filter((F.col("batch_no") >= current - self.size) & (F.col("batch_no") <= current))
+        """(feature, value, cnt) over the batch ``current`` and the last ``size`` before it, whatever their numbers."""
+        counts = spark.read.parquet(self.path)
+        rows = counts.filter(F.col("batch_no").isin([current, *_last_batches(counts, current, self.size)]))
         return rows.groupBy("feature", "value").agg(F.sum("cnt").alias("cnt"))
 
 

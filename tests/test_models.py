@@ -145,3 +145,20 @@ def test_cleaner_keeps_its_choice(spark, tmp_path):
     later = spark.createDataFrame([(1, None, 5.0)], "id int, a double, b double")
     assert cleaner.transform(first, ["a", "b"], ["id"]).columns == ["id", "a"]
     assert cleaner.transform(later, ["a", "b"], ["id"]).collect() == [(1, 0.0)]
+
+
+def test_window_counts_batches_not_numbers(spark, tmp_path):
+    from foldwise.streaming import batches as B
+
+    window = B.BatchWindow(str(tmp_path), 3)
+    for n in (0, 1, 2, 3):
+        window.push(spark.createDataFrame([(n,)], "x int"), n)
+    assert sorted(r["x"] for r in window.read(spark, 7).collect()) == [1, 2, 3]
+
+
+def test_cleaner_fills_nan(spark, tmp_path):
+    from foldwise.streaming import batches as B
+
+    df = spark.createDataFrame([(1, float("nan")), (2, None), (3, 1.5)], "id int, a double")
+    rows = B.fit_once_cleaner(str(tmp_path), 0.9).transform(df, ["a"], ["id"]).collect()
+    assert {r["id"]: r["a"] for r in rows} == {1: 0.0, 2: 0.0, 3: 1.5}
