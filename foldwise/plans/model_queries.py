@@ -466,12 +466,17 @@ def robust(spark, sf):
 
 # --- streaming --------------------------------------------------------------------------
 
-def _stream(spark, sf):
-    """The batches of the events, as a stream."""
-    start = spark.read.parquet(f"{sf}/events.parquet").agg(F.min(F.to_date("ts"))).first()[0]
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    # the pattern fits one file as well as a folder of files
-    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+# files the events are dealt to, one for each micro-batch, so that every batch arrives in pieces
+ARRIVALS = 3
+
+
+def _stream(spark, sf, arrivals=ARRIVALS):
+    """The batches of the events, as a stream of ``arrivals`` micro-batches, each with a part of every batch."""
+    source = spark.read.parquet(f"{sf}/events.parquet")
+    start = source.agg(F.min(F.to_date("ts"))).first()[0]
+    dealt = shared_folder(spark, "arrivals")
+    source.repartition(arrivals).write.parquet(dealt)
+    events = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(dealt)
     return X.batch_columns(events, F.lit(start))
 
 
@@ -516,8 +521,7 @@ def encode_window(spark, sf):
 )
 def windowed_frequencies(spark, sf):
     rows = X.batches(spark, sf)
-    table = T.windowed_frequencies(rows, ["cat1", "cat2"])
-    return table.join(F.broadcast(rows.select("batch_no").distinct()), "batch_no", "left_semi")
+    return T.windowed_frequencies(rows, ["cat1", "cat2"])
 
 
 @query("t3_fit_once_cleaning", f"WITH {X.BATCHES} SELECT id, batch_no, coalesce(num1, 0) AS num1, cat1, mv1 FROM batches")
@@ -525,9 +529,9 @@ def fit_once(spark, sf):
     root = shared_folder(spark, "stream")
     cleaner, window = T.fit_once_cleaner(root, 0.9), T.BatchWindow(root, part="clean")
 
-    def handle(batch, number):
+    def handle(batch, number, micro):
         rows = batch.withColumn("hollow", F.when(F.col("id") % 20 == 0, F.col("num1")))
-        window.push(cleaner.transform(rows, ["num1", "hollow", "cat1", "mv1"], ["id"]), number)
+        window.push(cleaner.transform(rows, ["num1", "hollow", "cat1", "mv1"], ["id"]), number, micro)
 
     run = _stream(spark, sf).writeStream.foreachBatch(T.each_batch(handle)).option("checkpointLocation", f"{root}/progress")
     run.trigger(availableNow=True).start().awaitTermination()
@@ -538,7 +542,7 @@ def fit_once(spark, sf):
 def prequential(spark, sf):
     root = shared_folder(spark, "stream")
     learner = L.softmax_regression(0.01, maxIter=3)
-    T.prequential(_stream(spark, sf), root, learner, ["num1"], ["cat1", "cat2"], ["mv1"]).awaitTermination()
+    T.prequential(_stream(spark, sf, 1), root, learner, ["num1"], ["cat1", "cat2"], ["mv1"]).awaitTermination()
     scores = spark.read.parquet(f"{root}/scores")
     return T.batch_auc(scores, X.batches(spark, sf)).select("batch_no", *r6("auc", "gini"))
 

@@ -43,6 +43,22 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def paths_like(spark: SparkSession, pattern: str) -> list[str]:
+    """The files and folders that match a pattern, in whatever store the path names."""
+    store, place = _file_system(spark, pattern)
+    return [status.getPath().toString() for status in store.globStatus(place) or []]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    store, place = _file_system(spark, path)
+    store.delete(place, True)
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """True when a measured row count and text size are inside the broadcast bounds."""
     numeric_bytes = 16 * len(df.columns)

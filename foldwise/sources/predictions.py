@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from foldwise.session import paths_like
+
 # fixed values: the three parts of a run
 PARTS = ("train", "test-foldavg", "test-fulltrain")
 
@@ -22,10 +23,9 @@ def save_predictions(df: DataFrame, root: str, run: str, part: str) -> None:
 
 def _one(spark: SparkSession, root: str, run: str, part: str, mode: str) -> DataFrame:
     if part == "test":
-        try:
-            return spark.read.parquet(run_path(root, run, f"test-{mode}"))
-        except AnalysisException:
-            pass
+        path = run_path(root, run, f"test-{mode}")
+        if paths_like(spark, path):
+            return spark.read.parquet(path)
     return spark.read.parquet(run_path(root, run, part))
 
 

@@ -1,8 +1,11 @@
 """Labelled batches in order: a sliding window, encoders over window and new batch, predict then learn.
 
-The window is a table partitioned by batch number in the shared folder. A batch
-is written by replacing its own partition, so a repeated micro-batch changes
-nothing; batches that left the window are not read.
+The window is a table in the shared folder, partitioned by batch number and,
+below it, by the micro-batch that brought the rows. A batch may arrive in any
+number of micro-batches: each writes by replacing its own part, so its rows add
+up and a repeated micro-batch changes nothing. The window is the last batches
+seen, whatever their numbers. Batches that left it are not read, and a running
+query removes them.
 """
 
 from __future__ import annotations
@@ -10,12 +13,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from foldwise.encoders.categorical import FrequencyEncode, MultiValueEncode
 from foldwise.operators.aggregates import frequencies
 from foldwise.operators.clean import DropSparse
+from foldwise.session import paths_like, remove_folder
 
 # fixed value: batches kept in the window
 WINDOW = 3
@@ -27,24 +30,51 @@ def _last_batches(df: DataFrame, current: int, size: int) -> list[int]:
     return [r["batch_no"] for r in numbers.orderBy(F.desc("batch_no")).limit(size).collect()]
 
 
+# name of the partition column for the micro-batch that brought the rows
+MICRO = "micro_batch"
+
+
+def _append(df: DataFrame, path: str, batch_no: int, micro: int) -> None:
+    """Writes one part of a batch in place of the same part written before."""
+    marked = df.withColumns({"batch_no": F.lit(batch_no), MICRO: F.lit(micro)})
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_no", MICRO).parquet(path)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.parquet(path) if paths_like(spark, f"{path}/batch_no=*") else None
+
+
 class BatchWindow:
     """The last ``size`` labelled batches."""
 
     def __init__(self, root: str, size: int = WINDOW, part: str = "window"):
         self.path, self.size = f"{root}/{part}", size
 
-    def push(self, df: DataFrame, batch_no: int) -> None:
-        df.withColumn("batch_no", F.lit(batch_no)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch_no").parquet(self.path)
+    def push(self, df: DataFrame, batch_no: int, micro: int = 0) -> None:
+        """Adds the rows of a batch that the micro-batch ``micro`` brought; pushed again they replace themselves."""
+        _append(df, self.path, batch_no, micro)
 
     def read(self, spark: SparkSession, current: int) -> DataFrame | None:
         """The last ``size`` batches before ``current``, whatever their numbers; None before the first one."""
-        try:
-            df = spark.read.parquet(self.path)
-        except AnalysisException:
-            return None
-        return df.filter(F.col("batch_no").isin(_last_batches(df, current, self.size)))
+        df = _stored(spark, self.path)
+        return None if df is None else df.filter(F.col("batch_no").isin(_last_batches(df, current, self.size))).drop(MICRO)
+
+    def earlier_parts(self, spark: SparkSession, batch_no: int, micro: int) -> DataFrame | None:
+        """The rows of a batch that micro-batches before ``micro`` brought."""
+        df = _stored(spark, self.path)
+        return None if df is None else df.filter((F.col("batch_no") == batch_no) & (F.col(MICRO) < micro)).drop("batch_no", MICRO)
+
+    def expire(self, spark: SparkSession, current: int) -> None:
+        """Removes the batches that are older than the window before ``current``.
+
+        Call it before a micro-batch with that micro-batch's smallest number: a repetition then finds all it needs.
+        """
+        df = _stored(spark, self.path)
+        kept = [] if df is None else _last_batches(df, current, self.size)
+        if len(kept) == self.size:
+            for folder in paths_like(spark, f"{self.path}/batch_no=*"):
+                if int(folder.rpartition("=")[2]) < min(kept):
+                    remove_folder(spark, folder)
 
 
 def encode_window(
@@ -77,12 +107,11 @@ class FitOnceCleaner:
         self.path, self.max_null = f"{root}/cleaner", max_null
 
     def columns(self, spark: SparkSession, first: DataFrame, cols: Sequence[str]) -> list[str]:
-        try:
+        if paths_like(spark, f"{self.path}/_SUCCESS"):
             return json.loads(spark.read.text(self.path).first()[0])
-        except AnalysisException:
-            chosen = DropSparse(self.max_null).fit(first, cols).columns
-            spark.createDataFrame([(json.dumps(chosen),)], "value string").coalesce(1).write.mode("overwrite").text(self.path)
-            return chosen
+        chosen = DropSparse(self.max_null).fit(first, cols).columns
+        spark.createDataFrame([(json.dumps(chosen),)], "value string").coalesce(1).write.mode("overwrite").text(self.path)
+        return chosen
 
     def transform(self, df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
         chosen = self.columns(df.sparkSession, df, cols)
@@ -102,15 +131,25 @@ def fit_once_cleaner(root: str, max_null: float = 0.9) -> FitOnceCleaner:
     return FitOnceCleaner(root, max_null)
 
 
-def each_batch(handle: Callable[[DataFrame, int], None], batch_col: str = "batch_no"):
-    """A ``foreachBatch`` function that hands on the labelled batches of a micro-batch in order."""
+def each_batch(
+    handle: Callable[[DataFrame, int, int], None],
+    batch_col: str = "batch_no",
+    before: Callable[[SparkSession, int], None] | None = None,
+):
+    """A ``foreachBatch`` function that hands on the labelled batches of a micro-batch in order.
+
+    ``handle`` gets the rows, the batch number and the number of the micro-batch. ``before`` is called once for each
+    micro-batch, with its smallest batch number.
+    """
 
-    def run(micro: DataFrame, _epoch: int) -> None:
+    def run(micro: DataFrame, epoch: int) -> None:
         kept = micro.persist()
         # batch numbers inside one micro-batch: a handful
-        for row in kept.select(batch_col).distinct().orderBy(batch_col).collect():
-            number = row[batch_col]
-            handle(kept.filter(F.col(batch_col) == number).drop(batch_col), number)
+        numbers = [row[batch_col] for row in kept.select(batch_col).distinct().orderBy(batch_col).collect()]
+        if before is not None and numbers:
+            before(micro.sparkSession, numbers[0])
+        for number in numbers:
+            handle(kept.filter(F.col(batch_col) == number).drop(batch_col), number, epoch)
         kept.unpersist()
 
     return run
@@ -132,7 +171,9 @@ def prequential(
     """Starts a query that, per batch, predicts with a model from the window, then adds the labelled batch to it.
 
     Scores go to ``<root>/scores`` by batch number. Labels are joined later on
-    the key (``batch_auc``).
+    the key (``batch_auc``). A batch that arrives in several micro-batches is
+    predicted part by part, always from the batches before it; counts of
+    categories cover the window and what has arrived of the batch.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -141,7 +182,7 @@ def prequential(
     cleaner = FitOnceCleaner(root, max_null)
     cols = [*numeric, *cat, *mv]
 
-    def handle(batch: DataFrame, number: int) -> None:
+    def handle(batch: DataFrame, number: int, micro: int) -> None:
         spark = batch.sparkSession
         clean = cleaner.transform(batch, cols, [key, label])
         chosen = [c for c in clean.columns if c not in (key, label)]
@@ -149,23 +190,25 @@ def prequential(
         if past is not None and past.limit(1).count():
             cats = [c for c in cat if c in chosen]
             mvs = [c for c in mv if c in chosen]
-            train, test = encode_window(past, clean, cats, mvs, key=key)
+            known = clean.withColumn("_now", F.lit(True))
+            earlier = window.earlier_parts(spark, number, micro)
+            if earlier is not None:
+                known = known.unionByName(earlier.withColumn("_now", F.lit(False)))
+            train, test = encode_window(past, known, cats, mvs, key=key)
             inputs = [c for c in numeric if c in chosen] + [f"{c}_count" for c in cats] + [f"{c}_mv" for c in mvs]
             vector = VectorAssembler(inputCols=inputs, outputCol="features")
             rows = vector.transform(train).select("features", F.col(label).cast("double").alias("label"))
             if rows.select("label").distinct().limit(2).count() == 2:
                 model = estimator.fit(rows)
-                scored = model.transform(vector.transform(test))
+                scored = model.transform(vector.transform(test.filter("_now")))
                 scores = scored.select(key, vector_to_array("probability")[1].alias("score"), F.lit(number).alias("batch_no"))
-                scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(
-                    f"{root}/scores"
-                )
+                _append(scores, f"{root}/scores", number, micro)
                 if on_score is not None:
                     on_score(scores, number)
-        window.push(clean, number)
+        window.push(clean, number, micro)
 
     return (
-        stream.writeStream.foreachBatch(each_batch(handle))
+        stream.writeStream.foreachBatch(each_batch(handle, before=window.expire))
         .option("checkpointLocation", f"{root}/progress")
         .trigger(availableNow=True)
         .start()
@@ -185,10 +228,9 @@ class RunningFrequencies:
     def __init__(self, root: str, cols: Sequence[str], size: int = WINDOW):
         self.path, self.cols, self.size = f"{root}/counts", list(cols), size
 
-    def push(self, batch: DataFrame, batch_no: int) -> None:
+    def push(self, batch: DataFrame, batch_no: int, micro: int = 0) -> None:
         filled = batch.select(*[F.coalesce(F.col(c).cast("string"), F.lit("-1")).alias(c) for c in self.cols])
-        counts = frequencies(filled, self.cols).withColumn("batch_no", F.lit(batch_no))
-        counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(self.path)
+        _append(frequencies(filled, self.cols), self.path, batch_no, micro)
 
     def live(self, spark: SparkSession, current: int) -> DataFrame:
         """(feature, value, cnt) over the batch ``current`` and the last ``size`` before it, whatever their numbers."""
@@ -210,12 +252,15 @@ def running_frequencies(stream: DataFrame, root: str, cols: Sequence[str], size:
 
 
 def windowed_frequencies(df: DataFrame, cols: Sequence[str], size: int = WINDOW, batch_col: str = "batch_no") -> DataFrame:
-    """(batch_no, feature, value, cnt) for every batch at once: each batch with its ``size`` predecessors.
+    """(batch_no, feature, value, cnt) for every batch at once: each batch with the ``size`` before it, whatever their numbers.
 
     A value counted in a batch adds to that batch and the following ``size``
     ones; the table has one row per value and batch, whatever the row counts.
     """
     filled = df.select(batch_col, *[F.coalesce(F.col(c).cast("string"), F.lit("-1")).alias(c) for c in cols])
     counts = frequencies(filled, cols, [batch_col])
-    spread = counts.withColumn(batch_col, F.explode(F.sequence(F.col(batch_col), F.col(batch_col) + size)))
+    order = Window.orderBy(batch_col)  # one row for each batch
+    reached = F.array_compact(F.array(F.col(batch_col), *[F.lead(batch_col, k).over(order) for k in range(1, size + 1)]))
+    following = df.select(batch_col).distinct().select(batch_col, reached.alias("_reached"))
+    spread = counts.join(following, batch_col).withColumn(batch_col, F.explode("_reached"))
     return spread.groupBy(batch_col, "feature", "value").agg(F.sum("cnt").alias("cnt"))

@@ -162,3 +162,26 @@ def test_cleaner_fills_nan(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan")), (2, None), (3, 1.5)], "id int, a double")
     rows = B.fit_once_cleaner(str(tmp_path), 0.9).transform(df, ["a"], ["id"]).collect()
     assert {r["id"]: r["a"] for r in rows} == {1: 0.0, 2: 0.0, 3: 1.5}
+
+
+def test_a_batch_may_arrive_in_pieces(spark, tmp_path):
+    window, counts = T.BatchWindow(str(tmp_path), 2), T.RunningFrequencies(str(tmp_path), ["c"], 2)
+    for number in (1, 2, 5):  # a number is missing
+        rows = batch(spark, number)
+        for micro in (0, 1, 1):  # the second piece comes twice
+            piece = rows.filter(F.col("id") % 2 == micro)
+            window.push(piece, number, micro)
+            counts.push(piece, number, micro)
+    assert dict(window.read(spark, 6).groupBy("batch_no").count().collect()) == {2: 6, 5: 6}
+    assert window.earlier_parts(spark, 5, 1).count() == 3
+    live = {r["value"]: r["cnt"] for r in counts.live(spark, 5).collect()}
+    assert live == {"a": 9, "b": 9}
+    window.expire(spark, 6)
+    window.expire(spark, 6)
+    assert sorted(r["batch_no"] for r in spark.read.parquet(window.path).select("batch_no").distinct().collect()) == [2, 5]
+
+
+def test_windowed_counts_follow_batches_not_numbers(spark):
+    rows = [(n, "a") for n in (1, 4, 9)]
+    got = T.windowed_frequencies(spark.createDataFrame(rows, "batch_no int, c string"), ["c"], 1).collect()
+    assert {r["batch_no"]: r["cnt"] for r in got} == {1: 1, 4: 2, 9: 2}
