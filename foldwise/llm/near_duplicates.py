@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from foldwise.llm.components import components
+from foldwise.llm.components import components, merged
 from foldwise.llm.words import (
     ALNUM_WORDS,
     LOWER,
@@ -296,8 +296,7 @@ def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: f
     texts = settle(
         copies.join(reps, ["node"]).filter(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"]).select("node", "text")
     )
-    links = settle(_verified(first, texts, threshold))
-    labels = components(links)
+    labels = components(settle(_verified(first, texts, threshold)))
     for turn in range(ROUNDS + 2):
         mixed = _mixed(buckets, labels)
         if turn < ROUNDS:
@@ -305,9 +304,7 @@ def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: f
         else:
             more = _across(mixed, registers, least, best=turn == ROUNDS)
         found = settle(_verified(more, texts, threshold))
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
+        labels = merged(labels, found)
     named = settle(
         nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     )

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from foldwise.llm import near_duplicates as nd
-from foldwise.llm.components import components
+from foldwise.llm.components import components, merged
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -116,3 +116,14 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
+
+
+def test_merged_components(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    read = lambda labels: {r["node"]: r["label"] for r in labels.collect()}
+    labels = components(table(edges[:40]))
+    for part in (edges[40:60], [], edges[:10], edges[60:]):
+        labels = merged(labels, table(part))
+    assert read(labels) == read(components(table(edges)))
