@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldwise.operators.aggregates import unpivot
 from foldwise.operators.skew import HEAVY_ROWS, fair_share, join_null_safe, lookup
-from foldwise.session import fits_broadcast
+from foldwise.session import fits_broadcast, settle
 
 
 class Fitted:
@@ -61,16 +61,16 @@ def map_columns(
     cols: Sequence[str],
     values: Sequence[str],
     small: bool,
-    key: str | None = None,
     extra: Sequence[str] = (),
     as_type: str = "string",
 ) -> DataFrame:
     """Adds ``<value>|<col>`` for every column from a table ``(extra, feature, value, values...)``.
 
     With a small table and not too many columns, it is broadcast once per column
-    and the rows are not moved. Otherwise the columns are unpivoted, joined
-    once, and put back by ``key``: a fixed number of shuffles however many
-    columns there are.
+    and the rows are not moved. Otherwise the rows are numbered in a written
+    table, the columns are unpivoted, joined once, and put back by that number:
+    a fixed number of shuffles however many columns there are. Both ways give
+    each row its own values, whatever null or repeated ids the rows have.
     """
     if small and len(cols) <= WIDE_COLUMNS:
         for c in cols:
@@ -80,15 +80,15 @@ def map_columns(
             keyed = df.withColumn("_lookup", F.col(c).cast(as_type))
             df = join_null_safe(keyed, F.broadcast(part), [*extra, "_lookup"]).drop("_lookup")
         return df
-    if key is None:
-        raise ValueError("a large dictionary needs the row key")
-    long = unpivot(df, cols, [key, *extra], as_type)
+    # written, so that a row keeps its number if a task runs again
+    numbered = settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    long = unpivot(numbered, cols, ["_row", *extra], as_type)
     on = [*extra, "feature", "value"]
-    found = lookup(long, table.select(*on, *values), on, small=small, spread=[key], heavy=None if small else _counted(table, on))
-    wide = found.groupBy(key).agg(
+    found = lookup(long, table.select(*on, *values), on, small=small, spread=["_row"], heavy=None if small else _counted(table, on))
+    wide = found.groupBy("_row").agg(
         *[F.max(F.when(F.col("feature") == c, F.col(v))).alias(f"{v}|{c}") for c in cols for v in values]
     )
-    return df.join(wide, key, "left")
+    return numbered.join(wide, "_row", "left").drop("_row")
 
 
 def with_combinations(df: DataFrame, combinations: Sequence[Sequence[str]]) -> tuple[DataFrame, list[str]]:

@@ -21,7 +21,7 @@ class CodeModel(Fitted):
 
     def transform(self, df: DataFrame) -> DataFrame:
         p = self.params
-        df = map_columns(df, self.table, p["cols"], [p["pick"]], self.small, p["key"])
+        df = map_columns(df, self.table, p["cols"], [p["pick"]], self.small)
         outs = {}
         for c, o in zip(p["cols"], p["outs"]):
             value = F.col(f"{p['pick']}|{c}")
@@ -107,7 +107,7 @@ class OneHotModel(Fitted):
     def assemble(self, df: DataFrame, out: str = "flags") -> DataFrame:
         """Adds one sparse vector of all flags in ``feature_names`` order."""
         p = self.params
-        df = map_columns(df, self.table, p["cols"], ["place"], self.small, p["key"])
+        df = map_columns(df, self.table, p["cols"], ["place"], self.small)
         slots = []
         for c in p["cols"]:
             width = p["widths"][c]
@@ -173,7 +173,7 @@ class TargetMeanModel(Fitted):
     def _mapped(self, df: DataFrame) -> DataFrame:
         p = self.params
         df, _ = with_combinations(df, p["combinations"])
-        return map_columns(df, self.table, p["cols"], ["target_sum", "cnt"], self.small, p["key"], p["extra"])
+        return map_columns(df, self.table, p["cols"], ["target_sum", "cnt"], self.small, p["extra"])
 
     def _finish(self, df: DataFrame, prior, own_target) -> DataFrame:
         p = self.params

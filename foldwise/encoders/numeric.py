@@ -163,7 +163,7 @@ class BoxCoxSkewed:
 class RankGaussModel(Fitted):
     def transform(self, df: DataFrame) -> DataFrame:
         p = self.params
-        df = map_columns(df, self.table, p["cols"], ["score"], self.small, p["key"], as_type="double")
+        df = map_columns(df, self.table, p["cols"], ["score"], self.small, as_type="double")
         return df.withColumnsRenamed({f"score|{c}": o for c, o in zip(p["cols"], p["outs"])})
 
 

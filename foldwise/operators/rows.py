@@ -10,12 +10,29 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from foldwise.functions.hashing import hash_hex, hash_int, hash_unit
+from foldwise.session import settle
 
 
 def sort(df: DataFrame, keys: Sequence) -> DataFrame:
     return df.orderBy(*keys)
 
 
+def numbered(df: DataFrame, out: str = "place") -> DataFrame:
+    """Adds the 1-based place of each row in the order of ``df``.
+
+    A sorted table is cut into ranges in order, so a row's place is its place in its
+    range and the sizes of the ranges before; the rows are written once and not moved.
+    """
+    packed = F.monotonically_increasing_id()
+    rows = settle(df.withColumn("_at", packed)).withColumn("_range", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = rows.join(F.broadcast(starts), "_range").withColumn(out, F.col("_start") + inside + 1)
+    return placed.drop("_at", "_range", "_start")
+
+
 def top_k(df: DataFrame, col: str, k: int = 10) -> DataFrame:
     """The k most frequent values."""
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.desc("cnt"), col).limit(k)

@@ -179,25 +179,28 @@ class OrderedGroups:
         self.df = self.df.withColumns(out).drop(*[f"_c_{n}" for n in columns])
         return self
 
-    def last_values(self, out: str, col: str, max_len: int) -> "OrderedGroups":
-        """Adds the list of the values in the last ``max_len`` earlier rows, oldest first."""
+    def last_values(self, out: str, col: str, max_len: int | None = None) -> "OrderedGroups":
+        """Adds the list of the values in all earlier rows, or the last ``max_len`` of them, oldest first."""
         boxed = F.struct(F.col(col).alias("v"))  # collect_list would drop a bare null
-        local = F.collect_list(boxed).over(self.window.rowsBetween(-max_len, -1))
+        first = Window.unboundedPreceding if max_len is None else -max_len
+        local = F.collect_list(boxed).over(self.window.rowsBetween(first, -1))
         if self.split:
             backwards = Window.partitionBy(*self.keys, "_seg").orderBy(*[F.desc(c) for c in self.order])
+            placed = self.base.filter("_heavy").withColumn("_place", F.row_number().over(backwards))
             tail = (
-                self.base.filter("_heavy")
-                .withColumn("_place", F.row_number().over(backwards))
-                .filter(F.col("_place") <= max_len)
+                (placed if max_len is None else placed.filter(F.col("_place") <= max_len))
                 .groupBy(*self.keys, "_seg")
                 .agg(F.array_sort(F.collect_list(F.struct((-F.col("_place")).alias("p"), boxed.alias("b")))).alias("_tail"))
             )
             before = Window.partitionBy(*self.keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
             lists = F.flatten(F.collect_list("_tail").over(before))
             table = tail.select(*self.keys, "_seg", F.transform(lists, lambda t: t["b"]).alias("_tails"))
-            self.df = join_null_safe(self.df, F.broadcast(table), [*self.keys, "_seg"])
-            joined = F.when(F.col("_tails").isNull(), local).otherwise(F.concat("_tails", local))
-            local = F.slice(joined, F.greatest(F.size(joined) - max_len + 1, F.lit(1)), max_len)
+            # whole histories of a segment are as long as the lists asked for, too long to broadcast
+            handed = table if max_len is None else F.broadcast(table)
+            self.df = join_null_safe(self.df, handed, [*self.keys, "_seg"])
+            local = F.when(F.col("_tails").isNull(), local).otherwise(F.concat("_tails", local))
+            if max_len is not None:
+                local = F.slice(local, F.greatest(F.size(local) - max_len + 1, F.lit(1)), max_len)
         self.df = self.df.withColumn(out, F.transform(local, lambda b: b["v"])).drop("_tails")
         return self
 

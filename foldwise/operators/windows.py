@@ -17,10 +17,10 @@ def lag_by(df, keys, order, col, out, default=None, min_rows=HEAVY_ROWS, pieces=
     return done if default is None else done.withColumn(out, F.coalesce(F.col(out), F.lit(default)))
 
 
-def history_list(df, keys, order, col, out="history", max_len=20, min_rows=HEAVY_ROWS, pieces=None) -> DataFrame:
-    """Values of the last ``max_len`` earlier rows, oldest first.
+def history_list(df, keys, order, col, out="history", max_len=None, min_rows=HEAVY_ROWS, pieces=None) -> DataFrame:
+    """Values of all earlier rows, oldest first; only the last ``max_len`` where a length is given.
 
-    The whole history of every row is quadratic in the group; shares and counts
+    A list of the whole past in every row is quadratic in the group; shares and counts
     over the whole history come from ``history_share`` without building lists.
     """
     return OrderedGroups(df, keys, order, min_rows, pieces).last_values(out, col, max_len).result()

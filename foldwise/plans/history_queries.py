@@ -30,13 +30,13 @@ def lag(spark, sf):
 
 @query(
     "w2_history_list",
-    f"""{_H} SELECT sid, list(mode) OVER (PARTITION BY pid ORDER BY req_time, sid ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS h, row_number() OVER {_OVER} AS n FROM hist""".replace(
+    f"""{_H} SELECT sid, list(mode) OVER (PARTITION BY pid ORDER BY req_time, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h, row_number() OVER {_OVER} AS n FROM hist""".replace(
         "SELECT sid, list(mode)", "SELECT sid, coalesce(array_to_string(h, ','), '') AS history FROM (SELECT sid, list(mode)"
     )
     + ")",
 )
 def history_list(spark, sf):
-    done = W.history_list(X.history_filled(spark, sf), ["pid"], ["req_time", "sid"], "mode", "history", 8)
+    done = W.history_list(X.history_filled(spark, sf), ["pid"], ["req_time", "sid"], "mode", "history")
     return done.select("sid", F.array_join(F.transform("history", lambda m: m.cast("string")), ",").alias("history"))
 
 
@@ -128,9 +128,10 @@ def partition_aggregates(spark, sf):
 # --- order, limits, sets, samples ---------------------------------------------------
 
 
-@query("l1_sort", f"{_H} SELECT sid, pid, mode FROM hist ORDER BY pid, req_time")
+@query("l1_sort", f"{_H} SELECT row_number() OVER (ORDER BY pid, req_time, sid) AS place, sid, pid, mode FROM hist")
 def sort(spark, sf):
-    return R.sort(X.history_filled(spark, sf), ["pid", "req_time"]).select("sid", "pid", "mode")
+    rows = R.sort(X.history_filled(spark, sf), ["pid", "req_time", "sid"]).select("sid", "pid", "mode")
+    return R.numbered(rows).select("place", "sid", "pid", "mode")
 
 
 @query("l2_top_k", "SELECT l_partkey, count(*) AS cnt FROM lineitem GROUP BY 1 ORDER BY cnt DESC, l_partkey LIMIT 10")

@@ -57,13 +57,20 @@ def part_store(spark, sf):
 
 @query(
     "s4_part_registry",
-    "SELECT 'numeric' AS part, * FROM (VALUES (0, 'cont1'), (1, 'cont2'), (2, 'cont3')) t(position, feature)",
+    f"WITH {X.CLAIMS} " + " UNION ALL ".join(
+        f"SELECT 'numeric' AS part, {i} AS position, '{c}' AS feature, count({c}) AS n, min({c}) AS lowest, max({c}) AS highest FROM claims WHERE split = 'train'"
+        for i, c in enumerate(X.CLAIM_NUMS)
+    ),
 )
 def part_registry(spark, sf):
     rows = X.claims(spark, sf)
     root = shared_folder(spark, "parts")
     parts_store.save_part(rows.select("id", "split", *X.CLAIM_NUMS), root, "numeric")
-    return spark.read.parquet(f"{root}/manifest").select("part", "position", "feature")
+    stored = parts_store.load_parts(spark, root, ["numeric"], "train")
+    long = stored.unpivot(["id"], X.CLAIM_NUMS, "feature", "value")
+    facts = long.groupBy("feature").agg(F.count("value").alias("n"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
+    manifest = spark.read.parquet(f"{root}/manifest").select("part", "position", "feature")
+    return manifest.join(facts, "feature").select("part", "position", "feature", "n", "lowest", "highest")
 
 
 @query(
@@ -181,8 +188,15 @@ def clip(spark, sf):
 
 @query(
     "p8_narrow_types",
-    """SELECT * FROM (VALUES ('l_linenumber', 'tinyint', false), ('l_partkey', 'smallint', false), ('l_quantity', 'tinyint', false),
-    ('l_discount', 'float', false), ('gap', 'smallint', true)) t(name, kind, filled)""",
+    """WITH v AS (SELECT l_linenumber, l_partkey, l_quantity, l_discount, CASE WHEN l_linenumber > 1 THEN l_quantity END AS gap FROM lineitem),
+    long AS ("""
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS name, coalesce({c}, -999)::DOUBLE AS x, {c} IS NULL AS bad FROM v"
+        for c in ("l_linenumber", "l_partkey", "l_quantity", "l_discount", "gap")
+    )
+    + """) SELECT name, CASE WHEN sum(abs(x - trunc(x))) >= 0.01 THEN 'float' WHEN max(abs(x)) <= 127 THEN 'tinyint'
+    WHEN max(abs(x)) <= 32767 THEN 'smallint' WHEN max(abs(x)) <= 2147483647 THEN 'int' ELSE 'bigint' END AS kind, bool_or(bad) AS filled
+    FROM long GROUP BY name""",
 )
 def narrow(spark, sf):
     rows = X.table(spark, sf, "lineitem").select("l_linenumber", "l_partkey", "l_quantity", "l_discount")

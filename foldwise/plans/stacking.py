@@ -289,6 +289,6 @@ def fold_encode(df: DataFrame, encoder: TargetMean, fold: str = "fold") -> DataF
     model = TargetMeanModel(encoder._params(cols, {"mean": 0.0, "std": 0.0}, [fold]), settle(table))
     sums, n = sum(r["s"] for r in parts), sum(r["n"] for r in parts)
     mean = F.coalesce(*[F.when(F.col(fold) == r[fold], F.lit((sums - r["s"]) / (n - r["n"]))) for r in parts])
-    mapped = map_columns(rows, model.table, cols, ["target_sum", "cnt"], model.small, encoder.key, [fold])
+    mapped = map_columns(rows, model.table, cols, ["target_sum", "cnt"], model.small, [fold])
     mapped = mapped.withColumn("_prior", mean * F.lit(float(encoder.C)))
     return model._finish(mapped, lambda c: F.col("_prior"), None).drop("_t", "_prior")

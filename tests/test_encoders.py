@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from foldwise.encoders import base, categorical as C, numeric as N, projection as V
+from foldwise.encoders import categorical as C, numeric as N, projection as V
 from foldwise.operators import knn
 from foldwise.plans import stacking as S
 
@@ -227,7 +227,11 @@ def test_more_than_a_byte_of_levels(spark):
     assert codes.agg(F.max("a_code"), F.countDistinct("a_code")).first() == (999, 1000)
 
 
-def test_large_dictionary_needs_a_key(rows):
-    model = C.FrequencyEncode(["a"]).fit(rows)
-    with pytest.raises(ValueError):
-        base.map_columns(rows, model.table, ["a"], ["cnt"], small=False)
+@pytest.mark.parametrize("small", [True, False])
+def test_null_and_repeated_ids_keep_their_own_values(spark, small):
+    rows = [(None, "x", 1.0), (None, "y", 2.0), (7, "x", 3.0), (7, "z", 2.0), (8, None, None)]
+    df = spark.createDataFrame(rows, "id int, a string, v double")
+    model = C.FrequencyEncode(["a"], unseen=0).fit(df)
+    model.small = small
+    got = [(r["id"], r["a"], r["a_count"]) for r in model.transform(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, "x", 2), (None, "y", 1), (7, "x", 2), (7, "z", 1), (8, None, 0)], key=str)

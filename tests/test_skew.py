@@ -68,6 +68,20 @@ def test_history_list(events):
         assert [None if pd.isna(v) else int(v) for v in hot["h"].iloc[place]] == values[max(0, place - 4) : place]
 
 
+def test_whole_history(events):
+    out = both(events, lambda o: W.history_list(events, ["pid"], ["ts", "sid"], "extra", "h", **o))
+    hot = out[out.pid == -1].sort_values(["ts", "sid"])
+    values = [None if pd.isna(v) else int(v) for v in hot["extra"]]
+    for place in (0, 2, 700, len(values) - 1):
+        assert [None if pd.isna(v) else int(v) for v in hot["h"].iloc[place]] == values[:place]
+
+
+def test_numbered(events):
+    rows = R.numbered(R.sort(events, ["ts", "sid"])).orderBy("place").select("place", "ts", "sid").collect()
+    assert [r["place"] for r in rows] == list(range(1, 3001))
+    assert [(r["ts"], r["sid"]) for r in rows] == sorted((r["ts"], r["sid"]) for r in rows)
+
+
 def test_running_counts(events):
     out = both(events, lambda o: W.running_counts(events, ["pid"], "ts", "mode", 5, **o))
     hot = out[out.pid == -1]
