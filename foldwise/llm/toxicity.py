@@ -13,9 +13,15 @@ states; arcs multiply, a clause sums its arcs, and a text is described by its
 clauses. A logistic model of three clause features, fitted on the labelled
 rows, turns them into a score.
 
-Learning covers all labelled rows outside the held-out part. The weight of a
-word is the log ratio of its smoothed shares of toxic and of clean texts; the
-lexicon keeps at most ``LEXICON`` words, those with the clearest evidence.
+Learning covers all labelled rows outside the held-out part. A word is weighed by
+the lower bound of its log ratio of toxic to clean texts, ``DOUBT`` standard
+deviations below the smoothed ratio; a word that no text holds has the ratio 0. So evidence fades in
+with the texts that show it, and no word is left out for its rank. The words
+of the grammar keep their own class. The logistic model is fitted on training
+texts whose own count is taken out of the weights, so that words seen in one
+text alone do not pass for evidence about it.
+
+Words travel as 64-bit hashes. Learning and scoring read the same words.
 
 Defined results: a null or empty text has no clauses, its score is the
 model's constant; rows are scored one by one, so repeated rows agree; a label that is null is
@@ -25,7 +31,7 @@ several labels counts with each.
 
 from __future__ import annotations
 
-import re
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -35,12 +41,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from foldwise.llm.words import LETTER_WORDS, LOWER, map_text, quoted, text_buffer, word_hashes, word_spans
 from foldwise.session import settle
 
-LEXICON = 2_000
-LEAST_TOXIC = 5
-LEAST_Z = 7.0
+# standard deviations between a word's log ratio and its weight
+DOUBT = 2.0
 ROUNDS = 25
-# words longer than this are not learned
-LONGEST = 40
 
 # fixed values: word classes of the grammar
 TARGETS = frozenset("you your yours yourself u ur he she they them him her his hers their these those".split())
@@ -54,8 +57,8 @@ NEGATION_FACTOR = 0.4
 REPORT_FACTOR = 0.5
 NEGATION_REACH = 3
 
-CLAUSE_END = re.compile(r"[.!?;:\n]+")
-TOKEN = re.compile(r'"|[^\W\d_]+')
+CLAUSE_END = np.isin(np.arange(256), list(b".!?;:\n"))
+QUOTE = ord('"')
 
 FEATURES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("strongest", "total", "density")])
 
@@ -120,74 +123,141 @@ def grammar() -> Composed:
     return compose(Transducer(0, target), Transducer(0, negation), Transducer(0, report))
 
 
-def classify(token: str, weights: dict[str, float]) -> tuple[str, float]:
-    if token in weights:
-        return "insult", weights[token]
-    if token in THREATS:
-        return "threat", THREAT_WEIGHT
-    for kind, words in (("target", TARGETS), ("negation", NEGATORS), ("report", REPORTS)):
-        if token in words:
-            return kind, 0.0
-    return ("quote" if token == '"' else "other"), 0.0
+class Lexicon:
+    """Sorted hashes of words with three weights each: of all texts, without one clean, without one toxic text."""
+
+    def __init__(self, words: np.ndarray, weights: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.weights = words[order], weights[:, order]
+
 
+def read_words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts, starts and hashes of their words, and the first word of each text (n+1)."""
+    raw, offsets = text_buffer(texts)
+    data = LOWER[raw]
+    starts, ends, first = word_spans(data, offsets, LETTER_WORDS)
+    return raw, offsets, starts, word_hashes(data, starts, ends), first
 
-def lowered(text: str) -> str:
-    return text.translate(_LOWER)
 
+def _hashes(words: list[str]) -> np.ndarray:
+    """Hash of each of the words, which are words as a whole."""
+    return read_words(pa.array(words, pa.string()))[3]
 
-_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
+
+@lru_cache(maxsize=1)
+def fixed_words() -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words of the grammar, and the number of their class."""
+    kinds = {w: KINDS.index(k) for k, ws in (("report", REPORTS), ("negation", NEGATORS), ("target", TARGETS), ("threat", THREATS)) for w in ws}
+    hashes = _hashes(list(kinds))
+    order = np.argsort(hashes)
+    return hashes[order], np.array(list(kinds.values()))[order]
+
+
+def _slots(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each hash among the sorted known ones, and whether it is one of them."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    slot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return slot, known[slot] == hashes
+
+
+def scored_clauses(texts, lexicon: Lexicon, which: np.ndarray) -> tuple[np.ndarray, list[int], list[float]]:
+    """Words of each text, and text and score of every clause that holds an insult or a threat aimed at someone.
+
+    ``which`` names the weights that hold for each text.
+    """
+    raw, offsets, starts, hashes, first = read_words(texts)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    fixed, classes = fixed_words()
+    slot, own = _slots(fixed, hashes)
+    kind = np.where(own, classes[slot], KINDS.index("other"))
+    weight = np.where(kind == KINDS.index("threat"), THREAT_WEIGHT, 0.0)
+    slot, learned = _slots(lexicon.words, hashes)
+    at = np.flatnonzero(learned & ~own)
+    value = lexicon.weights[which[row[at]], slot[at]]
+    at, value = at[value > 0], value[value > 0]
+    kind[at], weight[at] = KINDS.index("insult"), value
+    # clauses are numbered through all texts
+    before = np.cumsum(CLAUSE_END[raw])
+    clause = before[starts] + row
+    n_clauses = (int(before[-1]) if len(before) else 0) + len(first)
+    insult, threat, target = (
+        np.bincount(clause[kind == KINDS.index(k)], minlength=n_clauses) > 0 for k in ("insult", "threat", "target")
+    )
+    weight[(kind == KINDS.index("threat")) & ~target[clause]] = 0.0
+    active = insult | threat & target
+    quotes = np.flatnonzero(raw == QUOTE)
+    quote_clause = before[quotes] + np.searchsorted(offsets, quotes, "right") - 1
+    words, quoted_ = np.flatnonzero(active[clause]), active[quote_clause]
+    order = np.argsort(np.concatenate([starts[words], quotes[quoted_]]), kind="stable")
+    n_quotes = int(quoted_.sum())
+    kinds = np.concatenate([kind[words], np.full(n_quotes, KINDS.index("quote"))])[order]
+    weights = np.concatenate([weight[words], np.zeros(n_quotes)])[order]
+    group = np.concatenate([clause[words], quote_clause[quoted_]])[order]
+    bounds = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)).tolist()
+    named = [KINDS[k] for k in kinds.tolist()]
+    read = list(zip(named, weights.tolist()))
+    scores = [grammar().score(read[a:b]) for a, b in zip(bounds, bounds[1:])]
+    owner = np.zeros(n_clauses, np.int64)
+    owner[clause] = row
+    return np.diff(first), owner[group[bounds[:-1]]].tolist(), scores
 
 
 def clause_scores(text: str, weights: dict[str, float]) -> list[float]:
     """Score of every clause that holds an insult or a threat aimed at someone."""
-    scores = []
-    for clause in CLAUSE_END.split(lowered(text)):
-        words = [classify(t, weights) for t in TOKEN.findall(clause)]
-        kinds = {k for k, _ in words}
-        if "insult" in kinds or {"threat", "target"} <= kinds:
-            if "target" not in kinds:
-                words = [(k, w if k != "threat" else 0.0) for k, w in words]
-            scores.append(grammar().score(words))
-    return scores
+    lexicon = Lexicon(_hashes(list(weights)), np.tile(np.array(list(weights.values()), float), (3, 1)))
+    return scored_clauses(pa.array([text], pa.string()), lexicon, np.zeros(1, np.int64))[2]
 
 
-def _hashed(words: list[str]) -> np.ndarray:
-    data, offsets = text_buffer(pa.array(words, pa.string()))
-    return np.unique(word_hashes(data, *word_spans(data, offsets, LETTER_WORDS)[:2]))
+def _described(texts, lexicon: Lexicon, which: np.ndarray) -> list[pa.Array]:
+    n_words, rows, scores = scored_clauses(texts, lexicon, which)
+    strongest, total = np.zeros(len(n_words)), np.zeros(len(n_words))
+    np.maximum.at(strongest, rows, scores)
+    np.add.at(total, rows, scores)
+    density = 100 * total / np.maximum(n_words, 1)
+    return [pa.array(strongest), pa.array(np.log1p(total)), pa.array(np.log1p(density))]
 
 
-def features(df: DataFrame, weights: dict[str, float], text: str, out: str, keep: list[str]) -> DataFrame:
-    """Strongest clause, sum of clauses (log) and their sum per 100 words (log)."""
-    sent = df.sparkSession.sparkContext.broadcast(weights)  # at most LEXICON words
+def bound(t, c, n_toxic, n_clean, log, sqrt):
+    """The weight of a word that ``t`` of the toxic and ``c`` of the clean texts hold; not positive without evidence."""
+    share = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
+    t, c = t + share, c + (1 - share)
+    return log(t / c) - math.log(share / (1 - share)) - DOUBT * sqrt(1 / t + 1 / c)
+
+
+def _lexicon(words, toxic, clean, n_toxic: float, n_clean: float) -> Lexicon:
+    words = np.asarray(words, np.int64).view(np.uint64)
+    t, c = np.asarray(toxic, float), np.asarray(clean, float)
+    one = lambda y_t, y_c: bound(np.maximum(t - y_t, 0), np.maximum(c - y_c, 0), n_toxic - y_t, n_clean - y_c, np.log, np.sqrt)
+    return Lexicon(words, np.stack([one(0, 0), one(0, 1), one(1, 0)]))
 
-    def make():
-        known = sent.value
-        triggers = _hashed([*known, *THREATS])
 
+def features(df: DataFrame, lexicon: DataFrame, n_toxic: float, n_clean: float, keep: list[str], own: str | None = None) -> DataFrame:
+    """The columns ``keep`` of ``df`` (text, ...) and of each text its strongest clause, sum of clauses (log) and their sum per 100 words (log).
+
+    ``lexicon`` has the rows (word, toxic, clean). With ``own``, the column of a
+    text's label, its words are weighed without that text itself.
+    """
+    out = "__features__"
+    rows = lexicon.toArrow()
+    arrays = [rows.column(k).to_numpy() for k in ("word", "toxic", "clean")]
+    sent = df.sparkSession.sparkContext.broadcast(_lexicon(*arrays, n_toxic, n_clean))
+
+    def make():
         def fn(block, texts):
-            data, offsets = text_buffer(texts)
-            data = LOWER[data]
-            starts, ends, first = word_spans(data, offsets, LETTER_WORDS)
-            hashes = word_hashes(data, starts, ends)
-            slot = np.minimum(np.searchsorted(triggers, hashes), len(triggers) - 1)
-            rows = np.unique(np.searchsorted(first, np.flatnonzero(triggers[slot] == hashes), "right") - 1)
-            values = np.zeros((3, len(first) - 1))
-            for r in rows.tolist():
-                scores = clause_scores(texts[r].as_py(), known)
-                if scores:
-                    total = max(0.0, sum(scores))
-                    n = first[r + 1] - first[r]
-                    values[:, r] = max(scores), np.log1p(total), np.log1p(100 * total / n)
-            return [pa.array(v) for v in values]
+            which = np.zeros(len(texts), np.int64)
+            if own:
+                which = 1 + block.column(block.schema.get_field_index(own)).to_numpy(zero_copy_only=False).astype(np.int64)
+            return _described(texts, sent.value, which)
 
         return fn
 
-    return map_text(df, text, out, FEATURES, make, keep=keep)
+    return map_text(df, "text", out, FEATURES, make, keep=keep).select(*keep, f"{out}.*")
 
 
 def word_counts(labelled: DataFrame, text: str, label: str) -> DataFrame:
-    """For each word the labelled texts of either kind that hold it; counts of one block are added up first."""
-    schema = "word string, toxic long, clean long"
+    """For each word (hash) the labelled texts of either kind that hold it; counts of one block are added up first."""
+    schema = "word long, toxic long, clean long"
     source = labelled.select(F.col(quoted(label)).cast("int").alias("y"), F.col(quoted(text)).cast("string").alias("t"))
 
     def run(batches):
@@ -196,12 +266,10 @@ def word_counts(labelled: DataFrame, text: str, label: str) -> DataFrame:
         for batch in batches:
             for part in cut(batch, "t"):
                 y = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                data, offsets = text_buffer(part.column(1))
-                data = LOWER[data]
-                starts, ends, first = word_spans(data, offsets, LETTER_WORDS)
-                short = ends - starts <= LONGEST
-                hashes = word_hashes(data, starts, ends)[short]
-                row = np.repeat(np.arange(len(y)), np.diff(first))[short]
+                _, _, _, hashes, first = read_words(part.column(1))
+                row = np.repeat(np.arange(len(y)), np.diff(first))
+                free = ~_slots(fixed_words()[0], hashes)[1]
+                hashes, row = hashes[free], row[free]
                 order = np.lexsort((row, hashes))
                 h, r = hashes[order], row[order]
                 once = np.ones(len(h), bool)
@@ -211,36 +279,19 @@ def word_counts(labelled: DataFrame, text: str, label: str) -> DataFrame:
                 group = np.cumsum(new)[once] - 1
                 toxic = np.bincount(group, y[r[once]], new.sum()).astype(np.int64)
                 both = np.bincount(group, minlength=new.sum())
-                at = np.flatnonzero(short)[order[new]]
-                raw = data.tobytes()
-                words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(words, pa.string()), pa.array(toxic), pa.array(both - toxic)], names=["word", "toxic", "clean"]
+                    [pa.array(h[new].view(np.int64)), pa.array(toxic), pa.array(both - toxic)], names=["word", "toxic", "clean"]
                 )
 
     return source.mapInArrow(run, schema).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_lexicon(labelled: DataFrame, text: str = "text", label: str = "toxic") -> dict[str, float]:
-    """Weights of at most ``LEXICON`` words that mark toxic texts."""
-    totals = labelled.agg(F.sum(F.col(quoted(label))), F.sum(1 - F.col(quoted(label)))).first()
-    n_toxic, n_clean = (float(x or 0) for x in totals)
-    if not n_toxic or not n_clean:
-        return {}
+def learn_lexicon(labelled: DataFrame, n_toxic: float, n_clean: float, text: str = "text", label: str = "toxic") -> DataFrame:
+    """Rows (word, toxic, clean): every word that has a weight, with all texts or without any one of them."""
     t, c = F.col("toxic"), F.col("clean")
-    weight = F.log((t + 0.5) / (n_toxic + 1)) - F.log((c + 0.5) / (n_clean + 1))
-    share = n_toxic / (n_toxic + n_clean)
-    z = (t - share * (t + c)) / F.sqrt(share * (1 - share) * (t + c))
-    rows = (
-        word_counts(labelled, text, label)
-        .filter(t >= LEAST_TOXIC)
-        .select("word", weight.alias("weight"), z.alias("z"))
-        .filter(F.col("z") >= LEAST_Z)
-        .orderBy(F.desc("z"), "word")
-        .limit(LEXICON)
-        .collect()
-    )
-    return {r["word"]: r["weight"] for r in rows}
+    one = lambda y_t, y_c: bound(t - y_t, c - y_c, n_toxic - y_t, n_clean - y_c, F.log, F.sqrt) > 0
+    some = one(0, 0) | (c >= 1) & one(0, 1) | one(1, 0)
+    return settle(word_counts(labelled, text, label).filter((t >= 1) & some))
 
 
 def fit_logistic(table: DataFrame, names: list[str], label: str) -> list[float]:
@@ -275,20 +326,19 @@ def held_out(doc: str):
 
 def score_documents(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """One row per document: id, held_out, score, predicted."""
-    out = "__features__"
-    slim = documents.select(F.col(quoted(doc)).alias("doc_id"), F.col(quoted(text)).alias("text"))
+    slim = documents.select(F.col(quoted(doc)).alias("doc_id"), F.col(quoted(text)).cast("string").alias("text"))
     known = labels.select(F.col(quoted(doc)).alias("doc_id"), F.col(quoted(label)).cast("double").alias("y")).filter(
         F.col("y").isNotNull() & ~held_out("doc_id")
     )
-    train = slim.filter(~held_out("doc_id")).join(known, "doc_id")
-    weights = learn_lexicon(train, "text", "y")
-    rated = settle(features(slim, weights, "text", out, ["doc_id"]).select("doc_id", f"{out}.*"))
+    train = settle(slim.filter(~held_out("doc_id")).join(known, "doc_id").select("text", "y"))
+    n_toxic, n_clean = (float(x or 0) for x in train.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
     names = FEATURES.names
-    scale = rated.join(known, "doc_id")
-    beta = fit_logistic(scale, names, "y") if weights else None
-    if beta is None:
-        score = F.lit(0.0)
+    if not n_toxic or not n_clean:
+        rated, score = slim, F.lit(0.0)
     else:
+        lexicon = learn_lexicon(train, n_toxic, n_clean, "text", "y")
+        beta = fit_logistic(settle(features(train, lexicon, n_toxic, n_clean, ["y"], own="y")), names, "y")
+        rated = features(slim, lexicon, n_toxic, n_clean, ["doc_id"])
         z = sum((F.lit(b) * F.col(n) for b, n in zip(beta[1:], names)), F.lit(beta[0]))
         score = 1 / (1 + F.exp(-z))
     scored = rated.select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"))

@@ -66,3 +66,44 @@ def test_odd_rows(spark, docs):
     rows = toxicity.score_documents(docs, labels.limit(0)).collect()
     assert {r["score"] for r in rows} == {0.0}
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
+
+
+def recall_by_language(docs, labels):
+    """Held-out toxic documents and those caught, by language."""
+    rows = {r["doc_id"]: r for r in toxicity.score_documents(docs, labels).collect()}
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    out = {}
+    for r in labels.filter("toxic = 1").collect():
+        d = rows[r["doc_id"]]
+        if d["held_out"]:
+            n, caught = out.get(lang[r["doc_id"]], (0, 0))
+            out[lang[r["doc_id"]]] = n + 1, caught + d["predicted"]
+    return out
+
+
+def test_recall_in_every_language(spark):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    found = recall_by_language(read("documents"), read("labels"))
+    assert set(found) == {"en", "de", "fr", "es"}
+    assert all(caught >= 0.8 * n for n, caught in found.values()), found
+
+
+def insulting(spark, n=150):
+    """Documents of which every second is toxic, by one of three words, and their labels."""
+    words = ["idiot", "Dummkopf", "imbécile"]
+    rows = [(i, f"text {i} of the day: you {words[i // 2 % 3] if i % 2 else 'reader'} number {i}") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+
+
+def test_few_labels_of_equal_share(spark):
+    docs, labels = insulting(spark)
+    rows = toxicity.score_documents(docs, labels).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in rows)
+
+
+def test_threats_count_without_learned_words(spark):
+    rows = [(i, f"they will kill you {chr(97 + i)}q" if i % 2 else f"fine {chr(97 + i)}x") for i in range(26)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = toxicity.score_documents(docs, spark.createDataFrame([(i, i % 2) for i in range(26)], "doc_id long, toxic int")).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in scores)
