@@ -32,6 +32,7 @@ several labels counts with each.
 from __future__ import annotations
 
 import math
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -131,10 +132,36 @@ class Lexicon:
         self.words, self.weights = words[order], weights[:, order]
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """True for characters that belong to words: letters, marks on them, and joiners inside them."""
+    table = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+    table[[0x200C, 0x200D]] = True
+    return table
+
+
+def spelled(data: np.ndarray) -> np.ndarray:
+    """The bytes in lower case (A-Z), with blanks in place of characters outside ASCII that belong to no word."""
+    out = LOWER[data]
+    at = np.flatnonzero(out >= 0xC0)
+    if not len(at):
+        return out
+    padded = np.append(out, np.zeros(3, np.uint8))
+    a, b, c, d = (padded[at + k].astype(np.int32) & (0x3F if k else 0xFF) for k in range(4))
+    size = 2 + (a >= 0xE0) + (a >= 0xF0)
+    three = (a & 0x0F) << 12 | b << 6 | c
+    code = np.where(size == 2, (a & 0x1F) << 6 | b, np.where(size == 3, three, (a & 0x07) << 18 | b << 12 | c << 6 | d))
+    foreign = ~_letters()[np.minimum(code, 0x10FFFF)]
+    for k in range(4):
+        place = at[foreign & (size > k)] + k
+        out[place[place < len(out)]] = 0x20
+    return out
+
+
 def read_words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes and offsets of the texts, starts and hashes of their words, and the first word of each text (n+1)."""
     raw, offsets = text_buffer(texts)
-    data = LOWER[raw]
+    data = spelled(raw)
     starts, ends, first = word_spans(data, offsets, LETTER_WORDS)
     return raw, offsets, starts, word_hashes(data, starts, ends), first
 

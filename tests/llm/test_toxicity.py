@@ -107,3 +107,16 @@ def test_threats_count_without_learned_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     scores = toxicity.score_documents(docs, spark.createDataFrame([(i, i % 2) for i in range(26)], "doc_id long, toxic int")).collect()
     assert all(r["predicted"] == r["doc_id"] % 2 for r in scores)
+
+
+def test_one_reading_of_words(spark):
+    """Learning, scoring and the classes of the grammar read the same words."""
+    plain = score("you idiot now")
+    for text in ("you idiot’s now", "you “idiot” now", "you idiot… now", "you idiot— now", "you «idiot» now", "you　idiot、now"):
+        assert score(text) == plain == [pytest.approx(2.6)], text
+    for word in ("imbe\u0301cile", "बेवकूफ़", "你是一个非常非常愚蠢的人而且没有任何用处", "x" * 60):
+        assert toxicity.clause_scores(f"you {word}, 2 {word}2", {word: 1.0}) == [pytest.approx(2.6)], word
+        rows = [(i, f"you {word}’s, {i}" if i % 2 else f"you reader, {i}") for i in range(80)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+        assert all(r["predicted"] == r["doc_id"] % 2 for r in toxicity.score_documents(docs, labels).collect()), word
