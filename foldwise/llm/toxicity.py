@@ -21,7 +21,9 @@ of the grammar keep their own class. The logistic model is fitted on training
 texts whose own count is taken out of the weights, so that words seen in one
 text alone do not pass for evidence about it.
 
-Words travel as 64-bit hashes. Learning and scoring read the same words.
+Words travel as 64-bit hashes. Learning and scoring read the same words, and
+the lexicon is broadcast only if its measured size allows; a larger one is
+joined to the words of each text.
 
 Defined results: a null or empty text has no clauses, its score is the
 model's constant; rows are scored one by one, so repeated rows agree; a label that is null is
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from foldwise.llm.words import LETTER_WORDS, LOWER, map_text, quoted, text_buffer, word_hashes, word_spans
-from foldwise.session import settle
+from foldwise.session import fits_broadcast, settle
 
 # standard deviations between a word's log ratio and its weight
 DOUBT = 2.0
@@ -259,27 +261,58 @@ def _lexicon(words, toxic, clean, n_toxic: float, n_clean: float) -> Lexicon:
     return Lexicon(words, np.stack([one(0, 0), one(0, 1), one(1, 0)]))
 
 
+def distinct_words(texts: DataFrame) -> DataFrame:
+    """Rows (h, word): the words of each text (h, text)."""
+    one = T.StructType([T.StructField("words", T.ArrayType(T.LongType()))])
+
+    def fn(block, column):
+        _, _, _, hashes, first = read_words(column)
+        own = [np.unique(hashes[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        bounds = np.append(0, np.cumsum([len(w) for w in own]))
+        flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))]
+
+    return map_text(texts, "text", "w", one, lambda: fn, keep=["h"]).select("h", F.explode("w.words").alias("word"))
+
+
 def features(df: DataFrame, lexicon: DataFrame, n_toxic: float, n_clean: float, keep: list[str], own: str | None = None) -> DataFrame:
     """The columns ``keep`` of ``df`` (text, ...) and of each text its strongest clause, sum of clauses (log) and their sum per 100 words (log).
 
     ``lexicon`` has the rows (word, toxic, clean). With ``own``, the column of a
     text's label, its words are weighed without that text itself.
     """
-    out = "__features__"
-    rows = lexicon.toArrow()
-    arrays = [rows.column(k).to_numpy() for k in ("word", "toxic", "clean")]
-    sent = df.sparkSession.sparkContext.broadcast(_lexicon(*arrays, n_toxic, n_clean))
+    out, carried = "__features__", list(keep)
+    source, sent = df, None
+    if fits_broadcast(lexicon):
+        rows = lexicon.toArrow()
+        arrays = [rows.column(k).to_numpy() for k in ("word", "toxic", "clean")]
+        sent = df.sparkSession.sparkContext.broadcast(_lexicon(*arrays, n_toxic, n_clean))
+    else:
+        keyed = df.withColumn("h", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+        found = settle(distinct_words(keyed.select("h", "text").dropDuplicates(["h"])))
+        lists = settle(
+            found.join(lexicon, "word").groupBy("h").agg(
+                F.collect_list(F.struct("word", "toxic", "clean")).alias("__own__")
+            )
+        )
+        source = keyed.join(lists, "h", "left").drop("h")
+        carried.append("__own__")
 
     def make():
         def fn(block, texts):
             which = np.zeros(len(texts), np.int64)
             if own:
                 which = 1 + block.column(block.schema.get_field_index(own)).to_numpy(zero_copy_only=False).astype(np.int64)
-            return _described(texts, sent.value, which)
+            if sent is not None:
+                return _described(texts, sent.value, which)
+            several = block.column(block.schema.get_field_index("__own__")).flatten()
+            words, at = np.unique(several.field("word").to_numpy(zero_copy_only=False).astype(np.int64), return_index=True)
+            counts = [several.field(k).to_numpy(zero_copy_only=False)[at] for k in ("toxic", "clean")]
+            return _described(texts, _lexicon(words, *counts, n_toxic, n_clean), which)
 
         return fn
 
-    return map_text(df, "text", out, FEATURES, make, keep=keep).select(*keep, f"{out}.*")
+    return map_text(source, "text", out, FEATURES, make, keep=carried).select(*keep, f"{out}.*")
 
 
 def word_counts(labelled: DataFrame, text: str, label: str) -> DataFrame:

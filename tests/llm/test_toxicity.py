@@ -120,3 +120,13 @@ def test_one_reading_of_words(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
         assert all(r["predicted"] == r["doc_id"] % 2 for r in toxicity.score_documents(docs, labels).collect()), word
+
+
+def test_lexicon_beyond_a_broadcast(spark, docs, monkeypatch):
+    more, labels = insulting(spark)
+    table = docs.select("doc_id", "text").union(more).union(more.limit(5))
+    scores = lambda: sorted((r["doc_id"] or 0, round(r["score"], 9)) for r in toxicity.score_documents(table, labels).collect())
+    sent = scores()
+    assert len({x for _, x in sent}) > 1
+    monkeypatch.setattr(toxicity, "fits_broadcast", lambda df: False)
+    assert scores() == sent
