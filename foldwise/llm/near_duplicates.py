@@ -270,7 +270,10 @@ def _across(mixed: DataFrame, nodes: DataFrame, least: float, best: bool) -> Dat
 
 
 def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``df``: doc_id, node (hash of the text) and class_id."""
+    """One row per row of ``df``: doc_id, node (hash of the text), class_id and label.
+
+    The label, the smallest node of a class, tells classes apart whose smallest id is the same or null.
+    """
     words = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
     slim = df.select(F.col(quoted(doc)).alias("doc_id"), words.alias("text")).withColumn("node", F.unhex(F.md5("text")))
     sketched = map_text(slim, "text", "s", SKETCH, lambda: lambda block, texts: _sketch(texts), keep=["doc_id", "node"])
@@ -309,21 +312,21 @@ def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: f
         nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     )
     heads = settle(named.groupBy("label").agg(F.min("rep").alias("class_id")))
-    of_node = settle(named.join(heads, "label").select("node", "class_id"))
+    of_node = settle(named.join(heads, "label").select("node", "class_id", "label"))
     return rows.select("doc_id", "node").join(of_node, "node", "left")
 
 
 def keep_one(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with its own columns: that with the smallest document id.
 
-    Of rows that share this id the text with the smallest hash stays, and of equal rows one.
+    Of rows of a class that share this id the text with the smallest hash stays, and of equal rows one.
     """
     found = classes(df, doc, text, threshold)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node"))
     heads = (
-        found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-        .groupBy("class_id")
-        .agg(F.min("node").alias("head"))
-        .select(F.col("class_id").alias("__class__"), F.col("head").alias("__head__"))
+        found.groupBy("label")
+        .agg(least.alias("least"))
+        .select(F.col("least.doc_id").alias("__class__"), F.col("least.node").alias("__head__"))
     )
     node = F.unhex(F.md5(F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))))
     tagged = df.withColumn("__node__", node)

@@ -11,7 +11,9 @@ from foldwise.llm.registry import query, table
 @query("op10_probminhash_classes")
 def op10(spark, sf_dir):
     found = near_duplicates.classes(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_head"))
+    # classes whose smallest id is the same or null differ in their hash
+    head = (F.col("doc_id") == F.col("class_id")).alias("is_head")
+    return found.select("doc_id", "class_id", head, F.hex("label").alias("class_hash"))
 
 
 @query("op8_block_anchors")

@@ -82,6 +82,18 @@ def test_keep_one(spark, docs):
     assert nd.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_with_null_and_shared_ids(spark):
+    """Unrelated texts under a null or shared id are classes of their own."""
+    rng = random.Random(6)
+    a, b, c, d, e, f = (" ".join(f"v{rng.randrange(10**6)}" for _ in range(80)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, c), (3, c + " end"), (5, d), (7, d), (5, e), (9, e + " end"), (None, f), (4, f)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in nd.keep_one(table).collect())
+    assert kept == sorted([(0, a), (0, b), (3, c + " end"), (5, d), (5, e), (4, f)])
+    labels = {(r["doc_id"], bytes(r["label"])) for r in nd.classes(table).collect()}
+    assert len({x for _, x in labels}) == 6
+
+
 def test_small_chunks_give_the_same(spark, docs, monkeypatch):
     table = near_copies(spark, docs.limit(20))
     whole = sorted(map(str, nd.classes(table).collect()))
