@@ -174,7 +174,11 @@ def _opened(raw) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def places_by_document(answers: DataFrame, kinds: tuple[int, ...] = (FOUND,)) -> DataFrame:
-    """Rows (d, h, kind, spans): for each document with places found, their stretches as pairs of 32-bit numbers."""
+    """Rows (d, h, kind, spans): for each document with places found, their stretches as pairs of 32-bit numbers.
+
+    Repeated rows of a document may lie in blocks that were told different things: what any of them was told counts for all,
+    so stretches may overlap and come in any order.
+    """
 
     def gather(batches):
         block, table, found = None, None, {}
@@ -191,7 +195,8 @@ def places_by_document(answers: DataFrame, kinds: tuple[int, ...] = (FOUND,)) ->
 
     by_block = answers.repartition(F.col("block")).sortWithinPartitions("block")
     merged = by_block.mapInArrow(gather, "d long, h binary, kind int, spans binary")
-    return merged.groupBy("d", "h", "kind").agg(F.first("spans").alias("spans"))
+    several = merged.groupBy("d", "h", "kind").agg(F.collect_set("spans").alias("several"))
+    return several.select("d", "h", "kind", F.aggregate("several", F.lit(b""), lambda a, b: F.concat(a, b)).alias("spans"))
 
 
 def _all_spans(table: bytes | None, found: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:

@@ -136,6 +136,18 @@ def test_crowded_anchors_in_one_process():
         assert (records["many"].sum() > 0) == (limit == 10)
 
 
+def test_repeated_rows_told_different_things(spark):
+    """One document in two blocks: what either was told counts."""
+    table = np.array([(7, b"h" * 16, 300)], np.dtype([("d", "<i8"), ("h", "S16"), ("end", "<i8")])).tobytes()
+    body = lambda *pairs: np.array(pairs, "<i4").tobytes()
+    found, single = exchange.FOUND, repeated_bytes.SINGLE
+    rows = [(0, exchange.TABLE, table), (0, found, body((100, 150))), (0, single, body((0, 50)))]
+    rows += [(1, exchange.TABLE, table), (1, found, body((0, 50))), (1, single, body((100, 150)))]
+    got = exchange.places_by_document(spark.createDataFrame(rows, exchange.ANSWER), (found, single)).collect()
+    spans = {r["kind"]: sorted(map(tuple, np.frombuffer(r["spans"], "<i4").reshape(-1, 2).tolist())) for r in got}
+    assert spans == {found: [(0, 50), (100, 150)], single: [(0, 50), (100, 150)]}
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(500):
