@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldwise.llm import token_files
+from foldwise.llm import prefix_trie, token_files
 from foldwise.llm.registry import query, table
 from foldwise.session import shared_folder
 
@@ -14,3 +14,8 @@ def op11(spark, sf_dir):
     root = shared_folder(spark, "tokens")
     token_files.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), root)
     return token_files.read_files(spark, root)
+
+
+@query("op12_prefix_trie", prefix_trie.oracle())
+def op12(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
