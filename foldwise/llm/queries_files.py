@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldwise.llm import prefix_trie, token_files
+from foldwise.llm import prefix_trie, spelling, token_files
 from foldwise.llm.registry import query, table
 from foldwise.session import shared_folder
 
@@ -19,3 +19,8 @@ def op11(spark, sf_dir):
 @query("op12_prefix_trie", prefix_trie.oracle())
 def op12(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_spelling_variants", spelling.oracle())
+def op13(spark, sf_dir):
+    return spelling.group_variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
