@@ -3,15 +3,15 @@
 Each document becomes a vector of signed hashed word counts, projected to
 three dimensions by a fixed random matrix. The place of the projection on a
 three-dimensional Hilbert curve is its key; the low bits of the key are a hash
-of the document, so that any number of equal documents can be split over
-several ranges. Quantiles of the keys cut the curve into ranges of similar
+of the document and of its row's place, so that any number of equal documents
+and a row repeated any number of times can be split over several ranges. Quantiles of the keys cut the curve into ranges of similar
 size. Each range is sorted and packed by one task as a stream: its documents
 follow each other in sequences of ``length`` tokens and are cut where a
 sequence is full, so only the last sequence of a range has room left.
 
 Texts are tokenized once. The tokenizer drops white space and never joins
 characters across it, so the ids of a text are those of its blank-separated
-pieces; frequent pieces are remembered.
+pieces; a task remembers the pieces it has met in arrays of bounded size.
 
 Defined results: a null text is an empty one, whose only token is the end
 token; repeated rows are packed one by one; a document of any length is cut
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ SALT_BITS = 15
 RANGE_CHARS = 16_000_000
 # documents for each range whose keys find the bounds
 SAMPLE_PER_RANGE = 500
-# remembered pieces of text, about 150 bytes each
-MEMORY = 1_000_000
+# bytes of hashes and ids of met pieces that a task remembers
+MEMORY_BYTES = 48 << 20
 
 
 def projection() -> np.ndarray:
@@ -111,6 +112,14 @@ def curve_places(hashes: np.ndarray, first: np.ndarray, matrix: np.ndarray) -> n
     return hilbert((scaled * (1 << BITS)).astype(np.int64))
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """Read once in a Python worker; its size is that of the vocabulary."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Pieces:
     """Token bytes (16 bits each) of texts, put together from remembered stems.
 
@@ -123,14 +132,31 @@ class Pieces:
     MARK = "\x01"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.known: dict[int, bytes] = {}
-        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+        self.tokenizer = _tokenizer(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
         (self.mark,) = self.whole(self.MARK)
-        self.tails = [b"", self.whole(".").tobytes(), self.whole(",").tobytes()]
+        self.tails = [np.zeros(0, np.uint16), self.whole("."), self.whole(",")]
+
+    def _forget(self) -> None:
+        """Met pieces: ascending hashes, and where their ids lie in one array."""
+        self.keys = np.zeros(0, np.uint64)
+        self.where = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint16)
+
+    @property
+    def held_bytes(self) -> int:
+        return self.keys.nbytes + self.where.nbytes + self.size.nbytes + self.ids.nbytes
+
+    def _remember(self, keys: np.ndarray, made: list[bytes]) -> None:
+        sizes = np.array(list(map(len, made)), np.int64) // 2
+        at = np.searchsorted(self.keys, keys)
+        self.where = np.insert(self.where, at, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.size = np.insert(self.size, at, sizes)
+        self.keys = np.insert(self.keys, at, keys)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), np.uint16)])
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
@@ -152,20 +178,18 @@ class Pieces:
         """The ids of each text of an Arrow column."""
         data, starts, ends, hashes, tail, first = cut_up or stems(texts)
         keys, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        numbers = keys.tolist()
-        made = list(map(self.known.get, numbers))
-        new = [k for k, m in enumerate(made) if m is None]
-        if new:
+        if self.held_bytes > MEMORY_BYTES:
+            self._forget()
+        new = ~np.isin(keys, self.keys, assume_unique=True)
+        if new.any():
             raw = data.tobytes()
             spans = zip(starts[where[new]].tolist(), ends[where[new]].tolist())
-            for k, ids in zip(new, self._learn([raw[a:b].decode("utf-8", "replace") for a, b in spans])):
-                made[k] = self.known[numbers[k]] = ids
-        made += self.tails
-        sizes = np.array(list(map(len, made))) // 2
-        from_ = np.cumsum(sizes) - sizes
-        table = np.frombuffer(b"".join(made), np.uint16)
+            self._remember(keys[new], self._learn([raw[a:b].decode("utf-8", "replace") for a, b in spans]))
+        at = np.searchsorted(self.keys, keys)
+        table = np.concatenate([self.ids, *self.tails])
+        tails = np.array(list(map(len, self.tails)))
+        sizes = np.append(self.size[at], tails)
+        from_ = np.append(self.where[at], len(self.ids) + np.cumsum(tails) - tails)
         order = np.empty(2 * len(which), np.int64)
         order[0::2] = which
         order[1::2] = len(keys) + tail
@@ -180,17 +204,6 @@ class Pieces:
         return out
 
 
-_PIECES: dict[str, Pieces] = {}
-
-
-def remembered(path: str) -> Pieces:
-    """The stems this Python worker has met, in earlier tasks too."""
-    if path not in _PIECES:
-        _PIECES.clear()
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
-
-
 def with_curve_key(df: DataFrame, text: str, salt: Sequence[str], tokenizer: str | None, keep: Sequence[str]) -> DataFrame:
     """Adds ``key``: the place on the curve, then bits of a hash of the columns ``salt``; and the ``ids`` if asked for.
 
@@ -200,7 +213,7 @@ def with_curve_key(df: DataFrame, text: str, salt: Sequence[str], tokenizer: str
     matrix = projection()
 
     def make():
-        pieces = remembered(tokenizer) if tokenizer else None
+        pieces = Pieces(tokenizer) if tokenizer else None
         end = np.array([END], np.uint16).tobytes()
 
         def fn(block, texts):
@@ -243,8 +256,9 @@ def pack(
     """
     chars, rows = documents.agg(F.sum(F.length(F.col(quoted(text)).cast("string"))), F.count(F.lit(1))).first()
     n = max(1, -(-(chars or 0) // RANGE_CHARS))
-    source = documents.select(F.col(quoted(doc)).alias("d"), F.col(quoted(text)).cast("string").alias("t"))
-    salt = ["d", "t"]
+    columns = [F.col(quoted(doc)).alias("d"), F.col(quoted(text)).cast("string").alias("t")]
+    source = documents.select(*columns, F.monotonically_increasing_id().alias("place"))
+    salt = ["d", "t", "place"]
     bounds = []
     if n > 1:  # at most n - 1 numbers, from a sample that only balances the ranges
         share = min(1.0, SAMPLE_PER_RANGE * n / max(1, rows))

@@ -62,6 +62,32 @@ def test_pack_in_ranges(spark, docs, monkeypatch):
     assert len(ranges) > 5
 
 
+def test_repeated_rows_in_ranges(spark, docs, monkeypatch):
+    """Rows of three documents, repeated: the same ranges as for other documents, every row packed once."""
+    monkeypatch.setattr(packing, "RANGE_CHARS", 5_000)
+    rows = [(8000 + i % 3, f"same text {i % 3} " * 12, "", "", 0) for i in range(600)]
+    table = spark.createDataFrame(rows, docs.schema).repartition(6)
+    got = packing.pack(table, PATH, with_ids=True).collect()
+    assert len({r["sequence_id"] >> 40 for r in got}) > 12
+    want = np.concatenate([Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids + [1] for _, t, *_ in rows])
+    ids = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in got])
+    assert np.array_equal(np.sort(ids), np.sort(want))
+    assert sum(r["start"] == 0 for r in got) == 600
+
+
+def test_full_memory(docs, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "MEMORY_BYTES", 3_000)
+    tok, pieces = Tokenizer.from_file(PATH), packing.Pieces(PATH)
+    most = 0
+    for r in docs.limit(80).collect():
+        (raw,) = pieces.tokens(pa.array([r["text"]]))
+        assert np.frombuffer(raw, np.uint16).tolist() == tok.encode(r["text"] or "", add_special_tokens=False).ids
+        most = max(most, len(pieces.keys))
+    assert most > len(pieces.keys) > 0
+
+
 def test_pack_empty(docs):
     assert packing.pack(docs.limit(0), PATH).count() == 0
 
