@@ -208,8 +208,16 @@ def find_secrets(df: DataFrame, text: str = "text", rules: Sequence[Rule] = tupl
     return _with_candidates(df, text, rules).select(*kept, F.array_sort(F.concat(*spans)).alias(out))
 
 
-def _replaced(rule: Rule, put: str):
-    return lambda part, i: F.when((i % 2 == 1) & _passes(part, rule), F.lit(put)).otherwise(part)
+def _without(t: Column, spans: Column, put: str) -> Column:
+    """The text with ``put`` in place of each stretch that overlapping spans (sorted by start) cover together."""
+
+    def step(done: Column, s: Column) -> Column:
+        between = F.concat(F.substring(t, done["at"] + 1, s["start"] - done["at"]), F.lit(put))
+        text = F.concat(done["text"], F.when(s["start"] >= done["at"], between).otherwise(F.lit("")))
+        return F.struct(text.alias("text"), F.greatest(done["at"], s["end"]).alias("at"))
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+    return F.aggregate(spans, start, step, lambda done: F.concat(done["text"], F.substring(t, done["at"] + 1, F.length(t))))
 
 
 def redact(
@@ -219,17 +227,16 @@ def redact(
     put: str = "[secret]",
     length: str | None = None,
 ) -> DataFrame:
-    """The same rows and columns; every secret in the text is replaced by ``put``.
+    """The same rows and columns; every stretch of the text that secrets cover is replaced by ``put``.
 
     ``length`` names a column that holds the length of the text and changes with it.
     """
-    clean = F.col("t")
-    for rule in rules:
-        parts = F.transform(_parts(clean, rule), _replaced(rule, put))
-        clean = F.when(_verify(rule), F.array_join(parts, "")).otherwise(clean)
-    held = [F.when(_verify(rule), True).otherwise(False) for rule in rules]
-    touched = F.exists(F.array(*held), lambda x: x)
-    made = _with_candidates(df, text, rules).select("row", touched.alias("touched"), F.when(touched, clean).alias("clean"))
+    nothing = F.array().cast("array<struct<start:int,place:int,end:int>>")
+    spans = [F.when(_verify(rule), _spans(F.col("t"), rule, i)).otherwise(nothing) for i, rule in enumerate(rules)]
+    # all spans are found in the text as it came: a rule does not see what another one has put
+    made = _with_candidates(df, text, rules).select("row", "t", F.array_sort(F.concat(*spans)).alias("spans"))
+    touched, whole = F.size("spans") > 0, F.col("row").getField(text).cast("string")
+    made = made.select("row", touched.alias("touched"), F.when(touched, _without(whole, F.col("spans"), put)).alias("clean"))
     columns = []
     for c in df.columns:
         old = F.col("row").getField(c)
