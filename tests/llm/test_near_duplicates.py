@@ -29,7 +29,27 @@ def jaccard(a, b):
     return out
 
 
+def plain_heads(rows):
+    """The row with the smallest id of each class, null texts as they are."""
+    where, _ = linked(rows)
+    head = {}
+    for d, t in rows:
+        c = where[t or ""]
+        head[c] = min((d, t or ""), head.get(c, (d, t or "")))
+    return sorted(head.values())
+
+
 def plain_classes(rows):
+    where, _ = linked(rows)
+    head = {}
+    for d, t in rows:
+        c = where[t or ""]
+        head[c] = min(d, head.get(c, d))
+    return sorted((d, head[where[t or ""]]) for d, t in rows)
+
+
+def linked(rows):
+    """The class of each text over all pairs, and the classes."""
     texts = sorted({t or "" for _, t in rows})
     bags = [bag(t) for t in texts]
     parent = list(range(len(texts)))
@@ -45,11 +65,7 @@ def plain_classes(rows):
             if small and (bags[i].keys() & bags[j].keys()) and jaccard(bags[i], bags[j]) >= 0.8:
                 parent[find(i)] = find(j)
     where = {t: find(k) for k, t in enumerate(texts)}
-    head = {}
-    for d, t in rows:
-        c = where[t or ""]
-        head[c] = min(d, head.get(c, d))
-    return sorted((d, head[where[t or ""]]) for d, t in rows)
+    return where, set(where.values())
 
 
 def near_copies(spark, docs):
@@ -77,8 +93,8 @@ def test_keep_one(spark, docs):
     table = near_copies(spark, docs).union(docs.limit(3)).withColumnRenamed("lang", "node")
     kept = nd.keep_one(table)
     assert kept.columns == table.columns
-    heads = {h for _, h in plain_classes([(r["doc_id"], r["text"]) for r in table.collect()])}
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(heads)
+    heads = plain_heads([(r["doc_id"], r["text"]) for r in table.collect()])
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == heads
     assert nd.keep_one(docs.limit(0)).count() == 0
 
 
