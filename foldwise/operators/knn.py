@@ -73,12 +73,21 @@ def knn_join(
     block_rows: int = BLOCK_ROWS,
     chunk_rows: int = CHUNK_ROWS,
     pivots: int | None = None,
+    others: bool = False,
 ) -> DataFrame:
-    """(key, base_id, dist, place): the k nearest base rows of every query row, ties by base id."""
+    """(key, base_id, dist, place): the k nearest base rows of every query row, ties by base id.
+
+    ``others`` leaves out the base row with the query's own key. An empty base
+    gives no rows.
+    """
+    wanted_k, k = k, k + others
     n_base = base.count()
     wanted = pivots or min(MAX_PIVOTS, max(1, math.isqrt(n_base) // 4))
     # any points serve as pivots; the sample is bounded
     sample = base.select(vec).orderBy(F.xxhash64(key)).limit(wanted).collect()
+    if not sample:
+        nothing = query.select(key, F.lit(None).cast(base.schema[key].dataType).alias("base_id"), F.lit(0.0).alias("dist"), F.lit(0).alias("place"))
+        return nothing.limit(0)
     points = np.array([r[0] for r in sample], dtype=float)
     placed = base.select(F.col(key).alias("base_id"), F.col(vec).alias("_vec"), _nearest_pivot(points)(F.col(vec)).alias("_p"))
     placed = settle(placed.select("base_id", "_vec", "_p.cell", "_p.away"))
@@ -139,6 +148,8 @@ def knn_join(
 
     cut = ["cell", "block", "chunk"]
     near = left.groupBy(*cut).cogroup(right.groupBy(*cut)).applyInPandas(best, schema)
+    if others:
+        near, k = near.filter(~F.col("_q").eqNullSafe(F.col("base_id"))), wanted_k
     place = F.row_number().over(Window.partitionBy("_q").orderBy("dist", "base_id"))
     done = near.withColumn("place", place).filter(F.col("place") <= k)
     return done.select(F.col("_q").alias(key), "base_id", "dist", "place")
@@ -160,9 +171,8 @@ def knn_predict(query, base, key, vec, target, k, weight="uniform", **options) -
     return rows.groupBy(key).agg(F.coalesce(same, F.sum(share * F.col("_y")) / F.sum(share)).alias("value"))
 
 
-def knn_class_votes(query, base, key, vec, label, k, n_classes, weight="uniform", **options) -> DataFrame:
-    """(key, c0..cn): share of the neighbours' votes per class."""
-    near = knn_join(query, base, key, vec, k, **options)
+def class_votes(near, base, key, label, n_classes, weight="uniform") -> DataFrame:
+    """(key, c0..cn): share of the votes of neighbours that were found before, per class."""
     rows = near.join(base.select(F.col(key).alias("base_id"), F.col(label).alias("_y")), "base_id")
     if weight == "uniform":
         share = F.lit(1.0)
@@ -172,3 +182,58 @@ def knn_class_votes(query, base, key, vec, label, k, n_classes, weight="uniform"
     return rows.groupBy(key).agg(
         *[(F.sum(F.when(F.col("_y") == i, share).otherwise(F.lit(0.0))) / total).alias(f"c{i}") for i in range(n_classes)]
     )
+
+
+def knn_class_votes(query, base, key, vec, label, k, n_classes, weight="uniform", **options) -> DataFrame:
+    """(key, c0..cn): share of the neighbours' votes per class."""
+    near = knn_join(query, base, key, vec, k, **options)
+    return class_votes(near, base, key, label, n_classes, weight)
+
+
+class KnnLearner:
+    """Neighbour regression or class shares over a vector column, with the interface of an estimator for presets.
+
+    Inputs are scaled to mean 0 and deviation 1 of the rows it is fitted on.
+    The key of the training rows must be kept (``Preset.options["keep"]``).
+    """
+
+    def __init__(self, k: int, weight: str = "uniform", classes: int | None = None, key: str = "id", features: str = "features", label: str = "label"):
+        self.k, self.weight, self.classes = k, weight, classes
+        self.key, self.features, self.label = key, features, label
+
+    def copy(self, extra=None) -> "KnnLearner":
+        return KnnLearner(self.k, self.weight, self.classes, self.key, self.features, self.label)
+
+    def hasParam(self, name: str) -> bool:  # noqa: N802
+        return False
+
+    def fit(self, df: DataFrame) -> "KnnModel":
+        from pyspark.ml.feature import StandardScaler
+
+        rows = settle(df.select(self.key, self.features, self.label))
+        scaler = StandardScaler(inputCol=self.features, outputCol="_scaled", withMean=True).fit(rows)
+        return KnnModel(self, scaler, rows)
+
+
+class KnnModel:
+    def __init__(self, learner: KnnLearner, scaler, rows: DataFrame):
+        self.learner, self.scaler, self.rows = learner, scaler, rows
+
+    def _scaled(self, df: DataFrame, *keep: str) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        return self.scaler.transform(df).select(self.learner.key, vector_to_array("_scaled").alias("_vec"), *keep)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``prediction``, or ``probability`` with the shares of the classes."""
+        from pyspark.ml.functions import array_to_vector
+
+        o = self.learner
+        base, query = self._scaled(self.rows, o.label), self._scaled(df)
+        if o.classes is None:
+            found = knn_predict(query, base, o.key, "_vec", o.label, o.k, o.weight).withColumnRenamed("value", "prediction")
+        else:
+            found = knn_class_votes(query, base, o.key, "_vec", o.label, o.k, o.classes, o.weight)
+            shares = F.array(*[f"c{i}" for i in range(o.classes)])
+            found = found.select(o.key, array_to_vector(shares).alias("probability"))
+        return df.join(found, o.key, "left")

@@ -15,6 +15,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -93,6 +94,37 @@ class MedianRegression(QuantileRegression):
     """The median form."""
 
 
+class QuantileLearner:
+    """Quantile regression with the interface of an estimator over a vector column, for presets."""
+
+    def __init__(self, q: float = 0.5, features: str = "features", label: str = "label", **options):
+        self.q, self.features, self.label, self.options = q, features, label, options
+
+    def copy(self, extra=None) -> "QuantileLearner":
+        return QuantileLearner(self.q, self.features, self.label, **self.options)
+
+    def hasParam(self, name: str) -> bool:  # noqa: N802
+        return False
+
+    def fit(self, df: DataFrame) -> "QuantileModel":
+        first = df.select(self.features).first()
+        names = [f"_x{i}" for i in range(len(first[0]))]
+        values = vector_to_array(self.features)
+        rows = df.select(*[values[i].alias(n) for i, n in enumerate(names)], F.col(self.label).alias("_label"))
+        fit = QuantileRegression(self.q, **self.options).fit(rows, names, "_label")
+        return QuantileModel(fit.coefficients, self.features)
+
+
+class QuantileModel:
+    def __init__(self, coefficients: Sequence[float], features: str):
+        self.coefficients, self.features = list(coefficients), features
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        values = vector_to_array(self.features)
+        terms = (values[i] * F.lit(w) for i, w in enumerate(self.coefficients))
+        return df.withColumn("prediction", sum(terms, F.lit(0.0)))
+
+
 class Ridge:
     """Linear regression with penalty ``alpha`` on the sum of squared errors and a free intercept.
 

@@ -7,6 +7,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from foldwise.encoders.categorical import FrequencyEncode, OrdinalEncode, TargetMean
+from foldwise.functions.hashing import hash_int
 from foldwise.functions.numeric import target_transform
 from foldwise.operators.rows import kfold, sample_columns
 from foldwise.plans import evaluate as E, fixtures as X, learners as L, stacking as S
@@ -96,6 +97,67 @@ def out_of_fold_classes(spark, sf):
     return found.select("part", "id", "fold", *r6("c0", "c1"))
 
 
+# --- a run over twelve classes: naive Bayes, whose fit is sums per class
+
+_SCORES = [f"c{i}" for i in range(12)]
+_CLASS_RUN = f"""WITH {X.CLASS_SCORES}, cs AS (SELECT *, CASE WHEN {X.md5_sql('id', 'split')} % 10 < 3 THEN 'test' ELSE 'train' END AS split FROM class_scores),
+tr AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR) || '|2019'), id) - 1) % 3 AS INTEGER) AS fold FROM cs WHERE split = 'train'),
+long AS (UNPIVOT tr ON {', '.join(_SCORES)} INTO NAME j VALUE x),
+models AS (SELECT CAST(m AS INTEGER) AS m FROM range(0, 4) r(m)),
+sums AS (SELECT m, label, j, sum(x) AS s, count(*) AS n FROM long JOIN models ON fold <> m GROUP BY 1, 2, 3),
+theta AS (SELECT m, label AS c, j, ln(s + 1) - ln(sum(s) OVER (PARTITION BY m, label) + 12) AS t,
+  ln(n + 1) - ln(sum(n) OVER (PARTITION BY m, j) + 12) AS prior FROM sums),
+rows0 AS (SELECT 'train' AS part, id, fold AS m, {', '.join(_SCORES)} FROM tr UNION ALL SELECT CASE WHEN m < 3 THEN 'test-foldavg' ELSE 'test-fulltrain' END, id, m, {', '.join(_SCORES)}
+  FROM cs CROSS JOIN models WHERE split = 'test'),
+wide AS (UNPIVOT rows0 ON {', '.join(_SCORES)} INTO NAME j VALUE x),
+z AS (SELECT part, id, m, c, sum(x * t) + any_value(prior) AS z FROM wide JOIN theta USING (m, j) GROUP BY 1, 2, 3, 4),
+e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY part, id, m)) AS e FROM z),
+one AS (SELECT part, id, m, c, e / sum(e) OVER (PARTITION BY part, id, m) AS p FROM e),
+mean AS (SELECT part, id, c, avg(p) AS p FROM one GROUP BY 1, 2, 3),
+best AS (SELECT part, id, CAST(arg_max(c, p) AS INTEGER) AS guess, {', '.join(f"max(p) FILTER (c = {i}) AS c{i}" for i in range(12))} FROM mean GROUP BY 1, 2)"""
+
+
+def _class_run(spark, sf):
+    from pyspark.ml.classification import NaiveBayes
+
+    rows = X.class_scores(spark, sf).withColumn("split", F.when(hash_int(F.col("id"), "split") % 10 < 3, "test").otherwise("train"))
+    rows = settle(rows)
+    preset = S.Preset("bayes", tuple(_SCORES), NaiveBayes(smoothing=1.0), target="label", classes=12)
+    root = shared_folder(spark, "runs")
+    run, scores = S.train_run(rows.filter("split = 'train'"), rows.filter("split = 'test'"), preset, root, "20240101-0000", k=3)
+    return root, run, scores
+
+
+@query("m1_class_run", _CLASS_RUN + f" SELECT part, id, guess, {', '.join(f'round({c}, 5) AS {c}' for c in _SCORES)} FROM best")
+def class_run(spark, sf):
+    """Twelve modes: class probabilities out of fold, averaged over folds before the arg-max, saved and read back."""
+    from foldwise.functions.numeric import argmax
+    from foldwise.sources.predictions import PARTS, load_prediction
+
+    root, run, _ = _class_run(spark, sf)
+    parts = [load_prediction(spark, root, run, part).withColumn("part", F.lit(part)) for part in PARTS]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.select("part", "id", argmax(_SCORES).cast("int").alias("guess"), *[F.round(c, 5).alias(c) for c in _SCORES])
+
+
+_F1 = """SELECT sum(s * coalesce(2.0 * h / (s + coalesce(g, 0)), 0)) / sum(s) AS f1 {by}
+  FROM (SELECT {keys} label AS c, count(*) AS s, count(*) FILTER (guess = label) AS h FROM t GROUP BY {group} label)
+  LEFT JOIN (SELECT {keys} guess AS c, count(*) AS g FROM t GROUP BY {group} guess) USING ({group} c)"""
+
+
+@query(
+    "m1_class_scores",
+    _CLASS_RUN
+    + f""", t AS (SELECT b.id, label, guess, fold FROM best b JOIN tr ON tr.id = b.id WHERE part = 'train'),
+    whole AS ({_F1.format(by='', keys='', group='')}), folds AS ({_F1.format(by=', fold', keys='fold,', group='fold,')} GROUP BY fold)
+    SELECT round((SELECT f1 FROM whole), 6) AS f1, round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_std FROM folds""",
+)
+def class_scores_of_run(spark, sf):
+    _, run, scores = _class_run(spark, sf)
+    assert run.endswith(f"-{scores['f1']:.5f}")
+    return spark.createDataFrame([tuple(round(float(scores[c]), 6) for c in ("f1", "f1_mean", "f1_std"))], "f1 double, f1_mean double, f1_std double")
+
+
 _M2_COLS = ["cat1", "cat3", "cat1_cat2"]
 
 
@@ -175,22 +237,49 @@ def stack_levels(spark, sf):
     return S.stack(_runs(spark, sf), "id", ["a", "b", "c"]).select("id", *r6("a", "b", "c"))
 
 
-@query("m5_three_levels")
+# two straight lines on two inputs, a plane on their logarithms, a median slope on a mean of two runs
+_LEVELS = f"""WITH {X.PREDICTIONS}, b AS (SELECT id, CASE WHEN {X.md5_sql('id', 'split')} % 10 < 3 THEN 'test' ELSE 'train' END AS split,
+  pred AS x, score, truth AS y, CAST({X.md5_sql('id', 2016)} % 2 AS INTEGER) AS fold FROM predictions),
+ms AS (SELECT CAST(m AS INTEGER) AS m FROM range(0, 3) r(m)),
+fit1 AS (SELECT m, regr_slope(ln(y + 200), x) AS a, regr_intercept(ln(y + 200), x) AS b, regr_slope(y, score) AS c, regr_intercept(y, score) AS d
+  FROM b JOIN ms ON fold <> m WHERE split = 'train' GROUP BY m),
+p1 AS (SELECT b.*, greatest(exp(a * x + f.b) - 200, 1) AS q, c * score + d AS s FROM b JOIN fit1 f ON m = CASE WHEN split = 'train' THEN fold ELSE 2 END),
+in2 AS (SELECT *, ln(greatest(pow(q, 1.02::DOUBLE), 0.1::DOUBLE) + 200) AS u, ln(greatest(s, 0.1::DOUBLE) + 200) AS w, ln(y + 200) AS t FROM p1),
+mom AS (SELECT m, avg(u) AS mu, avg(w) AS mw, avg(t) AS mt, var_pop(u) AS uu, var_pop(w) AS ww, covar_pop(u, w) AS uw, covar_pop(u, t) AS ut, covar_pop(w, t) AS wt
+  FROM in2 JOIN ms ON fold <> m WHERE split = 'train' GROUP BY m),
+fit2 AS (SELECT *, (ut * ww - wt * uw) / (uu * ww - uw * uw) AS bu, (wt * uu - ut * uw) / (uu * ww - uw * uw) AS bw FROM mom),
+p2 AS (SELECT i.*, (greatest(exp(mt + bu * (u - mu) + bw * (w - mw)) - 200, 1) + q) / 2 AS z FROM in2 i JOIN fit2 f ON m = CASE WHEN split = 'train' THEN fold ELSE 2 END),
+in3 AS (SELECT *, greatest(z, 0.1::DOUBLE) AS v FROM p2),
+runs3 AS (SELECT m, y / v AS ratio, sum(v) OVER (PARTITION BY m ORDER BY y / v) AS below, sum(v) OVER (PARTITION BY m) AS total FROM in3 JOIN ms ON fold <> m WHERE split = 'train'),
+fit3 AS (SELECT m, min(ratio) AS slope FROM runs3 WHERE below >= 0.5 * total GROUP BY m)
+SELECT split AS part, id, round(slope * v, 2) AS value FROM in3 JOIN fit3 ON m = CASE WHEN split = 'train' THEN fold ELSE 2 END"""
+
+
+@query("m5_three_levels", _LEVELS)
 def three_levels(spark, sf):
-    """Two first-level models, a second level on their out-of-fold predictions, a third by median regression."""
-    rows = settle(X.claims(spark, sf).filter("split = 'train'").select("id", *X.CLAIM_NUMS, "loss"))
-    first = {}
-    for name, cols in (("quantity", ("cont1",)), ("rates", ("cont2", "cont3"))):
-        preset = S.Preset(name, cols, LinearRegression(solver="normal"), transform=("log_ofs", 200))
-        p = S.oof_predict(rows, None, preset, k=2, full=False)
-        _, back = preset.transforms()
-        first[name] = settle(S.aggregate_predictions(p, "id", "mean", back).select("id", "value"))
-    second_in = S.assemble_inputs([rows], first, "id")
-    second = S.Preset("second", tuple(first), LinearRegression(solver="normal"))
-    p2 = settle(S.oof_predict(second_in, None, second, k=2, full=False).select("id", "value"))
-    third_in = S.assemble_inputs([rows.select("id", "loss")], {"second": p2, "quantity": first["quantity"]}, "id")
-    fit = L.MedianRegression(max_iter=15).fit(third_in, ["second", "quantity"], "loss")
-    return fit.transform(third_in).select("id", F.round("prediction", 2).alias("value"))
+    """Presets that name each other's predictions: two first-level runs, a second level on them, a third on a mean of runs."""
+    from foldwise.sources.predictions import load_prediction
+
+    line = LinearRegression(solver="normal")
+    presets = {
+        p.name: p
+        for p in (
+            S.Preset("curve", ("pred",), line, target="truth", transform=("log_ofs", 200)),
+            S.Preset("straight", ("score",), line, target="truth"),
+            S.Preset(
+                "plane", (), line, target="truth", predictions=(("curve", {"power": 1.02}), "straight"), prediction_transform=("log_ofs", 200),
+                transform=("log_ofs", 200),
+            ),
+            S.Preset("slope", (), L.QuantileLearner(), target="truth", predictions=(["plane", "curve"],)),
+        )
+    }
+    split = F.when(hash_int(F.col("id"), "split") % 10 < 3, "test").otherwise("train")
+    rows = settle(X.predictions(spark, sf).select("id", split.alias("split"), "pred", "score", "truth"))
+    train, test = (rows.filter(F.col("split") == part).drop("split") for part in ("train", "test"))
+    root = shared_folder(spark, "levels")
+    run = S.run_presets(train, test, presets, ["slope"], root, "20240101-0000", k=2)["slope"]
+    parts = [load_prediction(spark, root, run, stored).select(F.lit(part).alias("part"), "id", F.round("value", 2).alias("value")) for part, stored in (("train", "train"), ("test", "test-fulltrain"))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("m6_blend", _RUNS + " SELECT id, round(sum(value * CASE run WHEN 'a' THEN 2 WHEN 'b' THEN 1 END) / 3, 6) AS value FROM runs WHERE run <> 'c' GROUP BY id")
@@ -538,13 +627,55 @@ def fit_once(spark, sf):
     return spark.read.parquet(window.path).select("id", "batch_no", "num1", "cat1", "mv1")
 
 
-@query("t4_prequential")
+# batches by which labels come after their rows
+LABEL_DELAY = 2
+
+# per batch: the three batches before whose labels have come; naive Bayes on the number and two counts; ranks for the AUC
+_LATE = f"""WITH {X.BATCHES}, nums AS (SELECT DISTINCT batch_no AS b FROM batches),
+past AS (SELECT b, p FROM (SELECT n.b, m.b AS p, row_number() OVER (PARTITION BY n.b ORDER BY m.b DESC) AS k FROM nums n JOIN nums m ON m.b <= n.b - {LABEL_DELAY}) WHERE k <= 3),
+live AS (SELECT b AS cur, b AS p FROM nums WHERE b IN (SELECT b FROM past) UNION ALL SELECT b, p FROM past),
+r AS (SELECT cur, id, batch_no, y, coalesce(num1, 0) AS f1, count(*) OVER (PARTITION BY cur, coalesce(cat1, '-1')) AS f2, count(*) OVER (PARTITION BY cur, cat2) AS f3
+  FROM batches JOIN live ON batch_no = p),
+s AS (SELECT cur, y, count(*) AS n, sum(f1) AS s1, sum(f2) AS s2, sum(f3) AS s3 FROM r WHERE batch_no <> cur GROUP BY 1, 2),
+m AS (SELECT cur, y, ln(n + 1) AS prior, ln(s1 + 1) - ln(s1 + s2 + s3 + 3) AS t1, ln(s2 + 1) - ln(s1 + s2 + s3 + 3) AS t2, ln(s3 + 1) - ln(s1 + s2 + s3 + 3) AS t3,
+  count(*) OVER (PARTITION BY cur) AS classes FROM s),
+z AS (SELECT r.cur, r.id, r.y, (a.prior + f1 * a.t1 + f2 * a.t2 + f3 * a.t3) - (o.prior + f1 * o.t1 + f2 * o.t2 + f3 * o.t3) AS margin
+  FROM r JOIN m a ON a.cur = r.cur AND a.y = 1 JOIN m o ON o.cur = r.cur AND o.y = 0 WHERE r.batch_no = r.cur),
+p AS (SELECT cur, y, round(margin, 9) AS score FROM z WHERE cur <= (SELECT max(b) FROM nums) - {LABEL_DELAY}),
+k AS (SELECT cur, y, rank() OVER (PARTITION BY cur ORDER BY score) + (count(*) OVER (PARTITION BY cur, score) - 1) / 2.0::DOUBLE AS r FROM p),
+auc AS (SELECT cur, (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0))::DOUBLE AS auc FROM k GROUP BY cur)
+SELECT cur AS batch_no, round(auc, 6) AS auc, round(2 * auc - 1, 6) AS gini FROM auc"""
+
+
+def _two_streams(spark, sf):
+    """One file of rows per batch, and one file of labels, those of the batch ``LABEL_DELAY`` before; each arrival brings both."""
+    rows = settle(X.batches(spark, sf))
+    numbers = sorted(r["batch_no"] for r in rows.select("batch_no").distinct().collect())
+    root = shared_folder(spark, "late")
+    day = lambda n: F.timestamp_seconds(F.lit(86400) * (n + 1))  # noqa: E731  a stream's watermark starts at 0
+    for number in range(numbers[0], numbers[-1] + 1):
+        here = rows.filter(F.col("batch_no") == number).drop("y").withColumn(T.ARRIVED, day(F.col("batch_no")))
+        late = rows.filter(F.col("batch_no") == number - LABEL_DELAY).select("id", "y", day(F.col("batch_no") + LABEL_DELAY).alias(T.ARRIVED))
+        here.coalesce(1).write.mode("append").parquet(f"{root}/rows")
+        late.coalesce(1).write.mode("append").parquet(f"{root}/labels")
+    streams = []
+    for name, like in (("rows", here), ("labels", late)):
+        streams.append(spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}"))
+    return streams, root
+
+
+@query("t4_prequential", _LATE)
 def prequential(spark, sf):
-    root = shared_folder(spark, "stream")
-    learner = L.softmax_regression(0.01, maxIter=3)
-    T.prequential(_stream(spark, sf, 1), root, learner, ["num1"], ["cat1", "cat2"], ["mv1"]).awaitTermination()
-    scores = spark.read.parquet(f"{root}/scores")
-    return T.batch_auc(scores, X.batches(spark, sf)).select("batch_no", *r6("auc", "gini"))
+    """Labels come as a stream of their own, two batches after the rows; AUC of each batch whose labels have come."""
+    from pyspark.ml.classification import NaiveBayes
+
+    (rows, labels), root = _two_streams(spark, sf)
+    T.prequential_late(rows, labels, root, NaiveBayes(smoothing=1.0), ["num1"], ["cat1", "cat2"]).awaitTermination()
+    judged = spark.read.parquet(f"{root}/judged")
+    # equal rows get equal margins; the last bits of a probability are not compared
+    margin = F.round(F.log(F.col("score")) - F.log1p(-F.col("score")), 9)
+    done = E.auc(judged.withColumn("score", margin), "y", "score", ["batch_no"])
+    return done.select("batch_no", *r6("auc", "gini"))
 
 
 @query(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
@@ -15,9 +15,9 @@ from foldwise.encoders.categorical import TargetMean, TargetMeanModel
 from foldwise.encoders.projection import TruncatedSvd
 from foldwise.functions.numeric import argmax, target_transform
 from foldwise.operators.aggregates import target_stats
-from foldwise.operators.rows import kfold, sample_columns, sample_exact
+from foldwise.operators.rows import kfold, sample_columns, sample_exact, stratified_kfold
 from foldwise.session import settle
-from foldwise.sources.predictions import PARTS, save_predictions
+from foldwise.sources.predictions import PARTS, find_run, load_prediction, save_predictions, value_columns
 
 
 def assemble_inputs(
@@ -27,19 +27,68 @@ def assemble_inputs(
     clip: float = 0.1,
     transform: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Feature parts and clipped, optionally reshaped predictions side by side."""
+    """Feature parts and clipped, optionally reshaped predictions side by side.
+
+    A single value takes the name of its prediction, class columns are called
+    ``<name>_<class column>``.
+    """
     shape = transform or (lambda c: c)
-    columns = [d.select(key, shape(F.greatest("value", F.lit(clip))).alias(n)) for n, d in predictions.items()]
+    columns = []
+    for name, d in predictions.items():
+        values = value_columns(d, key)
+        names = [name] if len(values) == 1 else [f"{name}_{v}" for v in values]
+        columns.append(d.select(key, *[shape(F.greatest(F.col(v), F.lit(clip))).alias(n) for v, n in zip(values, names)]))
     return reduce(lambda a, b: a.join(b, key), [*parts, *columns])
 
 
+def prediction_names(specs: Sequence) -> list[str]:
+    """One name per spec: that of its preset, ``pred_1``, ``pred_2``, ... for lists, and the name with its power."""
+    names, lists = [], 0
+    for spec in specs:
+        base, suffix = (spec[0], f"^{spec[1]['power']}") if isinstance(spec, tuple) else (spec, "")
+        if isinstance(base, list):
+            lists += 1
+            base = f"pred_{lists}"
+        names.append(f"{base}{suffix}".replace(".", "_"))
+    return names
+
+
+def presets_in(spec) -> list[str]:
+    """The presets whose runs a spec needs."""
+    if isinstance(spec, tuple):
+        return presets_in(spec[0])
+    if isinstance(spec, list):
+        return [name for s in spec for name in presets_in(s)]
+    return [spec]
+
+
+def with_powers(df: DataFrame, cols: Sequence[str], powers: Sequence[float]) -> tuple[DataFrame, list[str]]:
+    """Adds every column raised to each power; returns the table and all names."""
+    made = {f"{c}^{p}".replace(".", "_"): F.pow(c, F.lit(float(p))) for p in powers for c in cols}
+    return df.withColumns(made), [*cols, *made]
+
+
 @dataclass(frozen=True)
 class Preset:
-    """What one model run needs: inputs, learner, target transform, sampling."""
+    """What one model run needs: inputs, learner, target transform, sampling.
+
+    ``predictions`` are outputs of earlier runs taken as inputs: the name of a
+    preset, a list of specs (their mean), or (spec, {"power": p}). They are
+    clipped below, reshaped by ``prediction_transform`` (a name and its
+    arguments, as for ``transform``), and joined on the key; ``powers`` adds
+    every input column raised to each power. ``predictions_mode`` says which
+    test predictions of the earlier runs are read.
+    """
 
     name: str
     features: tuple[str, ...]
     estimator: object
+    predictions: tuple = ()
+    predictions_mode: str = "fulltrain"
+    prediction_transform: tuple | None = None
+    powers: tuple[float, ...] = ()
+    n_splits: int = 1
+    n_bags: int = 1
     target: str = "loss"
     key: str = "id"
     transform: tuple = ("identity",)
@@ -56,6 +105,9 @@ class Preset:
     def transforms(self):
         return target_transform(*self.transform)
 
+    def value_columns(self) -> list[str]:
+        return ["value"] if self.classes is None else [f"c{i}" for i in range(self.classes)]
+
 
 @dataclass(frozen=True)
 class Bag:
@@ -192,26 +244,118 @@ def run_name(preset: Preset, score: float, moment: str) -> str:
 
 
 def train_run(
-    train: DataFrame, test: DataFrame, preset: Preset, root: str, moment: str, k: int = 5, n_splits: int = 1, n_bags: int = 1
+    train: DataFrame,
+    test: DataFrame,
+    preset: Preset,
+    root: str,
+    moment: str,
+    k: int = 5,
+    n_splits: int | None = None,
+    n_bags: int | None = None,
 ) -> tuple[str, dict]:
-    """Out-of-fold predictions, their error, and the three prediction parts saved under a name that carries it.
+    """Out-of-fold predictions, their score, and the three prediction parts saved under a name that carries it.
 
-    Regression presets: values through the inverse target transform, mean or
-    median over folds and bags, and the mean absolute error.
+    Values or class probabilities go through the inverse target transform and
+    the mean or median over folds and bags. Regression presets are scored by
+    the mean absolute error; class presets by the weighted F1 of the arg-max,
+    overall and per fold, with stratified folds.
     """
-    raw = settle(oof_predict(train, test, preset, k, n_splits, n_bags))
+    n_splits, n_bags = n_splits or preset.n_splits, n_bags or preset.n_bags
+    values = preset.value_columns()
+    fold_of = None
+    if preset.classes is not None:
+        fold_of = lambda d, split: stratified_kfold(d, preset.key, preset.target, k, 2019 + 17 * split)
+    raw = settle(oof_predict(train, test, preset, k, n_splits, n_bags, fold_of=fold_of))
     _, back = preset.transforms()
-    final = settle(aggregate_predictions(raw, preset.key, preset.agg, back, preset.order))
-    own = aggregate_predictions(raw.filter("part = 'train'"), preset.key, preset.agg, back, preset.order, ("fold", "split"))
+    final = settle(aggregate_predictions(raw, preset.key, preset.agg, back, preset.order, value=values))
+    own = aggregate_predictions(raw.filter("part = 'train'"), preset.key, preset.agg, back, preset.order, ("fold", "split"), values)
     truth = train.select(preset.key, preset.target)
-    error = F.abs(F.col("value") - F.col(preset.target))
-    folds = own.join(truth, preset.key).groupBy("split", "fold").agg(F.avg(error).alias("m"))
+    scored = own.join(truth, preset.key)
+    overall = final.filter("part = 'train'").join(truth, preset.key)
+    if preset.classes is None:
+        name, error = "mae", F.abs(F.col("value") - F.col(preset.target))
+        folds = scored.groupBy("split", "fold").agg(F.avg(error).alias("m"))
+        score = overall.agg(F.avg(error)).first()[0]
+    else:
+        name, best = "f1", argmax(values)
+        folds = f1_by(scored.withColumn("_guess", best), preset.target, "_guess", ("split", "fold")).withColumnRenamed("weighted_f1", "m")
+        score = f1_by(overall.withColumn("_guess", best), preset.target, "_guess", ()).first()[0]
     spread = folds.agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std")).first()
-    overall = final.filter("part = 'train'").join(truth, preset.key).agg(F.avg(error)).first()[0]
-    run = run_name(preset, overall, moment)
+    run = run_name(preset, score, moment)
     for part in PARTS:
-        save_predictions(final.filter(F.col("part") == part).select(preset.key, "value"), root, run, part)
-    return run, {"mae": overall, "mae_mean": spread["mean"], "mae_std": spread["std"]}
+        save_predictions(final.filter(F.col("part") == part).select(preset.key, *values), root, run, part)
+    return run, {name: score, f"{name}_mean": spread["mean"], f"{name}_std": spread["std"]}
+
+
+def f1_by(df: DataFrame, label: str, guess: str, by: Sequence[str]) -> DataFrame:
+    """(by, weighted_f1): mean class F1 weighted by the true counts, from the confusion counts of each group."""
+    cells = df.groupBy(*by, F.col(label).alias("_y"), F.col(guess).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    hits = F.when(F.col("_y") == F.col("_g"), F.col("_n")).otherwise(F.lit(0))
+    both = F.explode(F.array(F.struct(F.col("_y").alias("c"), F.col("_n").alias("s"), F.lit(0).cast("long").alias("g")), F.struct(F.col("_g").alias("c"), F.lit(0).cast("long").alias("s"), F.col("_n").alias("g"))))
+    rows = cells.select(*by, both.alias("_b"), hits.alias("_h"))
+    # each cell counts once for its true and once for its guessed class; hits are taken from the true side
+    per = rows.groupBy(*by, "_b.c").agg(
+        F.sum("_b.s").alias("_s"), F.sum("_b.g").alias("_p"), F.sum(F.when(F.col("_b.s") > 0, F.col("_h")).otherwise(F.lit(0))).alias("_hit")
+    )
+    f1 = F.when(F.col("_s") + F.col("_p") > 0, 2 * F.col("_hit") / (F.col("_s") + F.col("_p"))).otherwise(F.lit(0.0))
+    return per.groupBy(*by).agg((F.sum(F.col("_s") * f1) / F.sum("_s")).alias("weighted_f1"))
+
+
+def run_presets(
+    train: DataFrame,
+    test: DataFrame,
+    presets: Mapping[str, Preset],
+    wanted: Sequence[str],
+    root: str,
+    moment: str,
+    k: int = 5,
+) -> dict[str, str]:
+    """Runs presets after the presets whose predictions they take; returns the name of each run.
+
+    A preset of a later level sees the out-of-fold predictions of the training
+    rows and the full-train or fold-mean predictions of the test rows.
+    """
+    done: dict[str, str] = {}
+
+    def visit(name: str, above: tuple[str, ...]) -> None:
+        if name in done:
+            return
+        if name in above:
+            raise ValueError(f"presets need each other: {' -> '.join((*above, name))}")
+        preset = presets[name]
+        for spec in preset.predictions:
+            for needed in presets_in(spec):
+                visit(needed, (*above, name))
+        rows, others, inputs = level_inputs(train, test, preset, root)
+        done[name], _ = train_run(rows, others, replace(preset, features=tuple(inputs)), root, moment, k)
+
+    for name in wanted:
+        visit(name, ())
+    return done
+
+
+def level_inputs(train: DataFrame, test: DataFrame, preset: Preset, root: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Training and test tables of a preset with the predictions it takes and the powers, and the input names."""
+    spark = train.sparkSession
+    shape = target_transform(*preset.prediction_transform)[0] if preset.prediction_transform else None
+
+    def resolved(spec):
+        if isinstance(spec, tuple):
+            return resolved(spec[0]), spec[1]
+        return [resolved(s) for s in spec] if isinstance(spec, list) else find_run(spark, root, spec)
+
+    def made(df: DataFrame, part: str):
+        tables = {
+            name: load_prediction(spark, root, resolved(spec), part, preset.predictions_mode, preset.key)
+            for name, spec in zip(prediction_names(preset.predictions), preset.predictions)
+        }
+        rows = assemble_inputs([df], tables, preset.key, transform=shape)
+        cols = [*preset.features, *[c for c in rows.columns if c not in df.columns]]
+        return with_powers(rows, cols, preset.powers)
+
+    rows, inputs = made(train, "train")
+    others, _ = made(test, "test")
+    return settle(rows), settle(others), inputs
 
 
 def aggregate_predictions(
@@ -221,17 +365,19 @@ def aggregate_predictions(
     inverse: Callable[[Column], Column] | None = None,
     order: str = "inverse_first",
     by: Sequence[str] = ("part",),
-    value: str = "value",
+    value: str | Sequence[str] = "value",
 ) -> DataFrame:
-    """One value per row: mean or median over folds and bags, before or after the inverse target transform.
+    """One row per key: mean or median over folds and bags of each value column, before or after the inverse target transform.
 
     ``inverse_first`` is transform-mean and transform-median, ``agg_first`` is mean-transform.
     """
     back = inverse or (lambda c: c)
     combine = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5))}[agg]
+    values = [value] if isinstance(value, str) else list(value)
     if order == "inverse_first":
-        return p.groupBy(*by, key).agg(combine(back(F.col(value))).alias(value))
-    return p.groupBy(*by, key).agg(combine(F.col(value)).alias("_v")).select(*by, key, back(F.col("_v")).alias(value))
+        return p.groupBy(*by, key).agg(*[combine(back(F.col(v))).alias(v) for v in values])
+    grouped = p.groupBy(*by, key).agg(*[combine(F.col(v)).alias(f"_v_{v}") for v in values])
+    return grouped.select(*by, key, *[back(F.col(f"_v_{v}")).alias(v) for v in values])
 
 
 def stack(p: DataFrame, key: str, runs: Sequence[str], run_col: str = "run", value: str = "value") -> DataFrame:

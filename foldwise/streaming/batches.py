@@ -145,16 +145,53 @@ def each_batch(
     def run(micro: DataFrame, epoch: int) -> None:
         kept = micro.persist()
         # batch numbers inside one micro-batch: a handful
-        numbers = [row[batch_col] for row in kept.select(batch_col).distinct().orderBy(batch_col).collect()]
-        if before is not None and numbers:
-            before(micro.sparkSession, numbers[0])
-        for number in numbers:
-            handle(kept.filter(F.col(batch_col) == number).drop(batch_col), number, epoch)
-        kept.unpersist()
+        try:
+            numbers = [row[batch_col] for row in kept.select(batch_col).distinct().orderBy(batch_col).collect()]
+            if before is not None and numbers:
+                before(micro.sparkSession, numbers[0])
+            for number in numbers:
+                handle(kept.filter(F.col(batch_col) == number).drop(batch_col), number, epoch)
+        finally:
+            kept.unpersist()
 
     return run
 
 
+class _Learn:
+    """One step of predict-then-learn: scores of new rows from a model of the window, and labelled rows into the window."""
+
+    def __init__(self, root, estimator, numeric, cat, mv, label, key, size, max_null, on_score):
+        self.window, self.cleaner = BatchWindow(root, size), FitOnceCleaner(root, max_null)
+        self.root, self.estimator, self.on_score = root, estimator, on_score
+        self.numeric, self.cat, self.mv, self.label, self.key = list(numeric), list(cat), list(mv), label, key
+
+    def clean(self, rows: DataFrame) -> DataFrame:
+        return self.cleaner.transform(rows, [*self.numeric, *self.cat, *self.mv], [self.key, self.label])
+
+    def predict(self, clean: DataFrame, number: int, micro: int, earlier: DataFrame | None) -> None:
+        """Scores the rows of a batch; ``earlier`` are rows of the same batch that came before and only count."""
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.functions import vector_to_array
+
+        past = self.window.read(clean.sparkSession, number)
+        if past is None or not past.head(1):
+            return
+        cats, mvs, nums = ([c for c in names if c in clean.columns] for names in (self.cat, self.mv, self.numeric))
+        known = clean.withColumn("_now", F.lit(True))
+        if earlier is not None:
+            known = known.unionByName(earlier.withColumn("_now", F.lit(False)))
+        train, test = encode_window(past, known, cats, mvs, key=self.key)
+        vector = VectorAssembler(inputCols=[*nums, *[f"{c}_count" for c in cats], *[f"{c}_mv" for c in mvs]], outputCol="features")
+        rows = vector.transform(train).select("features", F.col(self.label).cast("double").alias("label"))
+        if rows.select("label").distinct().limit(2).count() < 2:
+            return
+        scored = self.estimator.fit(rows).transform(vector.transform(test.filter("_now")))
+        scores = scored.select(self.key, vector_to_array("probability")[1].alias("score"), F.lit(number).alias("batch_no"))
+        _append(scores, f"{self.root}/scores", number, micro)
+        if self.on_score is not None:
+            self.on_score(scores, number)
+
+
 def prequential(
     stream: DataFrame,
     root: str,
@@ -170,51 +207,98 @@ def prequential(
 ):
     """Starts a query that, per batch, predicts with a model from the window, then adds the labelled batch to it.
 
-    Scores go to ``<root>/scores`` by batch number. Labels are joined later on
-    the key (``batch_auc``). A batch that arrives in several micro-batches is
-    predicted part by part, always from the batches before it; counts of
-    categories cover the window and what has arrived of the batch.
+    For labels that ride in the stream. Scores go to ``<root>/scores`` by batch
+    number. A batch that arrives in several micro-batches is predicted part by
+    part, always from the batches before it; counts of categories cover the
+    window and what has arrived of the batch.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    window = BatchWindow(root, size)
-    cleaner = FitOnceCleaner(root, max_null)
-    cols = [*numeric, *cat, *mv]
+    step = _Learn(root, estimator, numeric, cat, mv, label, key, size, max_null, on_score)
 
     def handle(batch: DataFrame, number: int, micro: int) -> None:
-        spark = batch.sparkSession
-        clean = cleaner.transform(batch, cols, [key, label])
-        chosen = [c for c in clean.columns if c not in (key, label)]
-        past = window.read(spark, number)
-        if past is not None and past.limit(1).count():
-            cats = [c for c in cat if c in chosen]
-            mvs = [c for c in mv if c in chosen]
-            known = clean.withColumn("_now", F.lit(True))
-            earlier = window.earlier_parts(spark, number, micro)
-            if earlier is not None:
-                known = known.unionByName(earlier.withColumn("_now", F.lit(False)))
-            train, test = encode_window(past, known, cats, mvs, key=key)
-            inputs = [c for c in numeric if c in chosen] + [f"{c}_count" for c in cats] + [f"{c}_mv" for c in mvs]
-            vector = VectorAssembler(inputCols=inputs, outputCol="features")
-            rows = vector.transform(train).select("features", F.col(label).cast("double").alias("label"))
-            if rows.select("label").distinct().limit(2).count() == 2:
-                model = estimator.fit(rows)
-                scored = model.transform(vector.transform(test.filter("_now")))
-                scores = scored.select(key, vector_to_array("probability")[1].alias("score"), F.lit(number).alias("batch_no"))
-                _append(scores, f"{root}/scores", number, micro)
-                if on_score is not None:
-                    on_score(scores, number)
-        window.push(clean, number, micro)
+        clean = step.clean(batch)
+        step.predict(clean, number, micro, step.window.earlier_parts(batch.sparkSession, number, micro))
+        step.window.push(clean, number, micro)
 
     return (
-        stream.writeStream.foreachBatch(each_batch(handle, before=window.expire))
+        stream.writeStream.foreachBatch(each_batch(handle, before=step.window.expire))
         .option("checkpointLocation", f"{root}/progress")
         .trigger(availableNow=True)
         .start()
     )
 
 
+# name of the event-time column of the two streams
+ARRIVED = "arrived"
+
+
+def prequential_late(
+    features: DataFrame,
+    labels: DataFrame,
+    root: str,
+    estimator,
+    numeric: Sequence[str],
+    cat: Sequence[str],
+    mv: Sequence[str] = (),
+    label: str = "y",
+    key: str = "id",
+    size: int = WINDOW,
+    max_null: float = 0.9,
+    bound: str = "30 days",
+    on_score: Callable[[DataFrame, int], None] | None = None,
+    trigger: dict | None = None,
+):
+    """Starts a query over two streams: rows to predict, and their labels, which come later.
+
+    ``features`` has the key, ``batch_no``, the inputs and ``arrived``;
+    ``labels`` has the key, the label and ``arrived``. A stream-stream join
+    keeps a row in the state store until its label comes, at most ``bound``
+    of event time; older rows leave the state and are never learned from.
+    In each micro-batch the rows whose labels came join the window first, then
+    the new rows are predicted from the last ``size`` labelled batches. Scores
+    go to ``<root>/scores``, scores with their labels to ``<root>/judged``.
+    """
+    step = _Learn(root, estimator, numeric, cat, mv, label, key, size, max_null, on_score)
+    seen = features.withWatermark(ARRIVED, bound)
+    told = labels.select(F.col(key).alias("_key"), label, F.col(ARRIVED).alias("_told")).withWatermark("_told", bound)
+    in_time = (F.col("_told") >= F.col(ARRIVED)) & (F.col("_told") <= F.col(ARRIVED) + F.expr(f"interval {bound}"))
+    known = seen.join(told, (F.col(key) == F.col("_key")) & in_time).drop("_key", "_told")
+    kind = features.sparkSession.createDataFrame([], labels.select(label).schema).schema[label].dataType
+    fresh = features.withColumn(label, F.lit(None).cast(kind))
+    both = known.select(*features.columns, label, F.lit(True).alias("_labelled")).unionByName(
+        fresh.select(*features.columns, label, F.lit(False).alias("_labelled"))
+    )
+
+    def run(micro: DataFrame, epoch: int) -> None:
+        spark = micro.sparkSession
+        kept = micro.drop(ARRIVED).persist()
+        try:
+            numbers = kept.select("_labelled", "batch_no").distinct().collect()  # batches in one micro-batch: a handful
+            late, now = (sorted(r["batch_no"] for r in numbers if r["_labelled"] is flag) for flag in (True, False))
+            for number in now:  # the columns are chosen on the first rows that come, labelled or not
+                step.clean(kept.filter((F.col("batch_no") == number) & ~F.col("_labelled")))
+            for number in late:
+                rows = kept.filter((F.col("batch_no") == number) & F.col("_labelled")).drop("batch_no", "_labelled")
+                step.window.push(step.clean(rows), number, epoch)
+                scores = _stored(spark, f"{root}/scores")
+                if scores is not None:
+                    own = scores.filter(F.col("batch_no") == number).select(key, "score")
+                    _append(rows.select(key, label).join(own, key), f"{root}/judged", number, epoch)
+            for number in now:
+                rows = kept.filter((F.col("batch_no") == number) & ~F.col("_labelled")).drop("batch_no", "_labelled")
+                step.predict(step.clean(rows), number, epoch, None)
+            if late:
+                step.window.expire(spark, late[0])
+        finally:
+            kept.unpersist()
+
+    return (
+        both.writeStream.foreachBatch(run)
+        .option("checkpointLocation", f"{root}/progress")
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def batch_auc(scores: DataFrame, labels: DataFrame, key: str = "id", label: str = "y") -> DataFrame:
     """(batch_no, auc, gini) from scores and labels that arrived later, joined on the key."""
     from foldwise.plans.evaluate import auc
@@ -232,6 +316,15 @@ class RunningFrequencies:
         filled = batch.select(*[F.coalesce(F.col(c).cast("string"), F.lit("-1")).alias(c) for c in self.cols])
         _append(frequencies(filled, self.cols), self.path, batch_no, micro)
 
+    def expire(self, spark: SparkSession, current: int) -> None:
+        """Removes the counts of batches that no window from ``current`` on holds, so the state stays as large as a window."""
+        counts = _stored(spark, self.path)
+        kept = [] if counts is None else _last_batches(counts, current, self.size)
+        if len(kept) == self.size:
+            for folder in paths_like(spark, f"{self.path}/batch_no=*"):
+                if int(folder.rpartition("=")[2]) < min(kept):
+                    remove_folder(spark, folder)
+
     def live(self, spark: SparkSession, current: int) -> DataFrame:
         """(feature, value, cnt) over the batch ``current`` and the last ``size`` before it, whatever their numbers."""
         counts = spark.read.parquet(self.path)
@@ -243,7 +336,7 @@ def running_frequencies(stream: DataFrame, root: str, cols: Sequence[str], size:
     """Starts the query that keeps the per-batch counts; returns (query, state)."""
     state = RunningFrequencies(root, cols, size)
     query = (
-        stream.writeStream.foreachBatch(each_batch(state.push))
+        stream.writeStream.foreachBatch(each_batch(state.push, before=state.expire))
         .option("checkpointLocation", f"{root}/progress-counts")
         .trigger(availableNow=True)
         .start()

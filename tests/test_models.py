@@ -1,5 +1,6 @@
 """Learning, stacking, scores and streams: invariants and brute force."""
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -185,3 +186,80 @@ def test_windowed_counts_follow_batches_not_numbers(spark):
     rows = [(n, "a") for n in (1, 4, 9)]
     got = T.windowed_frequencies(spark.createDataFrame(rows, "batch_no int, c string"), ["c"], 1).collect()
     assert {r["batch_no"]: r["cnt"] for r in got} == {1: 1, 4: 2, 9: 2}
+
+
+def test_late_labels_and_expired_state(spark, tmp_path):
+    """A label that comes in time is judged once; one beyond the bound is not; old state goes."""
+    from pyspark.ml.classification import NaiveBayes
+
+    from foldwise.streaming import batches as T
+
+    rng = random.Random(4)
+    data = [(100 * b + k, b, rng.random() * 5, rng.choice("abc"), int(rng.random() < 0.4)) for b in range(5) for k in range(100)]
+    for b in range(5):
+        at = dt.datetime(2024, 1, 1 + b)
+        rows = [(i, b, x, c, at) for i, n, x, c, _ in data if n == b]
+        # labels of the batch before; those of ids that end in 7 come days late
+        late = [(i, y, at) for i, n, _, _, y in data if n == b - 1 and i % 10 != 7] + [(i, y, at) for i, n, _, _, y in data if n == b - 4 and i % 10 == 7]
+        spark.createDataFrame(rows, "id long, batch_no int, num double, cat string, arrived timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/rows")
+        spark.createDataFrame(late, "id long, y int, arrived timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/labels")
+    streams = [
+        spark.readStream.schema(spark.read.parquet(f"{tmp_path}/{n}").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{n}")
+        for n in ("rows", "labels")
+    ]
+    root = f"{tmp_path}/state"
+    T.prequential_late(*streams, root, NaiveBayes(), ["num"], ["cat"], bound="2 days").awaitTermination()
+    judged = {r["id"]: r["y"] for r in spark.read.parquet(f"{root}/judged").collect()}
+    assert judged == {i: y for i, n, _, _, y in data if n in (1, 2, 3) and i % 10 != 7}
+    assert {r["batch_no"] for r in spark.read.parquet(f"{root}/scores").select("batch_no").distinct().collect()} == {1, 2, 3, 4}
+    assert spark.read.parquet(f"{root}/window").filter("id % 10 = 7").count() == 0
+
+
+def test_counts_stay_bounded(spark, tmp_path):
+    from foldwise.streaming import batches as T
+
+    state = T.RunningFrequencies(str(tmp_path), ["c"])
+    for b in range(12):
+        state.expire(spark, b)
+        state.push(spark.createDataFrame([(f"v{b}",), ("all",)], "c string"), b)
+        assert len(list((tmp_path / "counts").glob("batch_no=*"))) <= T.WINDOW + 1
+    live = {r["value"]: r["cnt"] for r in state.live(spark, 11).collect()}
+    assert live == {"all": 4, "v8": 1, "v9": 1, "v10": 1, "v11": 1}
+
+
+def test_presets_in_order(spark, tmp_path):
+    from pyspark.ml.regression import LinearRegression
+
+    line = LinearRegression(solver="normal")
+    a = S.Preset("a", ("x",), line, predictions=("b",))
+    b = S.Preset("b", ("x",), line, predictions=(["a"],))
+    rows = spark.createDataFrame([(i, float(i), 2.0 * i) for i in range(20)], "id long, x double, loss double")
+    with pytest.raises(ValueError, match="a -> b -> a"):
+        S.run_presets(rows, rows, {"a": a, "b": b}, ["a"], str(tmp_path), "20240101-0000")
+    assert S.prediction_names(("a", ["a", "b"], ("b", {"power": 1.5}), ["b"])) == ["a", "pred_1", "b^1_5", "pred_2"]
+    from foldwise.sources.predictions import find_run, save_predictions
+
+    for run in ("20240101-0000-a-1.00000", "20240102-0000-a-2.00000", "20240103-0000-a-b-1.00000"):
+        save_predictions(rows.select("id", "x"), str(tmp_path), run, "train")
+    assert find_run(spark, str(tmp_path), "a") == "20240102-0000-a-2.00000"
+    with pytest.raises(LookupError):
+        find_run(spark, str(tmp_path), "c")
+
+
+def test_approximate_neighbours(spark):
+    from foldwise.operators.knn import knn_join
+    from foldwise.operators.knn_lsh import lsh_knn_join
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")
+    )
+    some = rows.filter("id % 20 = 0")
+    pairs = lambda df: {(r["id"], r["base_id"]): round(r["dist"], 9) for r in df.collect()}
+    exact = pairs(knn_join(some, rows, "id", "vec", 5, others=True))
+    found = pairs(lsh_knn_join(some, rows, "id", "vec", 5, bucket_rows=20, others=True))
+    common = exact.keys() & found.keys()
+    assert len(common) >= 0.9 * len(exact) and all(exact[p] == found[p] for p in common)
+    assert not any(a == b for a, b in found)
+    assert knn_join(some, rows.limit(0), "id", "vec", 5).count() == lsh_knn_join(some, rows.limit(0), "id", "vec", 5).count() == 0
+    same = rows.limit(3).crossJoin(spark.range(40)).select(F.monotonically_increasing_id().alias("id"), "vec")
+    assert lsh_knn_join(same, same, "id", "vec", 4, bucket_rows=5).count() == 480
