@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -16,12 +17,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.functions.hashing import hash_unit
 from foldwise.operators.ordering import ordered_counts
 from foldwise.operators.rows import rank_features
+from foldwise.plans.boosting import Boosting
+from foldwise.session import settle
 
 
 class LinearFit:
@@ -162,12 +164,13 @@ def softmax_regression(reg: float = 0.0, **kw) -> LogisticRegression:
     return LogisticRegression(family="multinomial", regParam=reg, **kw)
 
 
-def boosted(loss: str = "squared", n_class: int | None = None, **kw) -> Estimator:
-    """Gradient-boosted trees: regression by loss, two classes, or one model per class."""
+def boosted(loss: str = "squared", n_class: int | None = None, **kw):
+    """Gradient-boosted trees: regression by loss, two classes, or one ensemble with a softmax gradient for more."""
     if n_class is None:
         return GBTRegressor(lossType=loss, **kw)
-    one = GBTClassifier(**kw)
-    return one if n_class == 2 else OneVsRest(classifier=one)
+    if n_class == 2:
+        return GBTClassifier(**kw)
+    return Boosting("softmax", n_class, **kw)
 
 
 def forest(n_class: int | None = None, **kw) -> Estimator:
@@ -205,31 +208,46 @@ def holdout_split(df: DataFrame, key: str, frac: float = 0.2, seed=42) -> tuple[
     return df.filter(~test), df.filter(test)
 
 
+# fits that run side by side; each is a chain of Spark jobs, so the driver only waits
+PARALLEL_FITS = 4
+
+
+def side_by_side(work, items: Sequence, parallel: int = PARALLEL_FITS) -> list:
+    """``work`` of every item, several at a time; results in the order of the items."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    from pyspark.sql import SparkSession
+
+    session = SparkSession.getActiveSession()
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        return list(pool.map(inheritable_thread_target(session)(work), items))
+
+
 def grid_search(
-    estimator: Estimator, grid: Mapping[str, Sequence], df: DataFrame, key: str, score, frac: float = 0.2, larger: bool = False, seed=42
+    estimator, grid: Mapping[str, Sequence], df: DataFrame, key: str, score, frac: float = 0.2, larger: bool = False, seed=42, parallel: int = PARALLEL_FITS
 ) -> tuple[DataFrame, dict]:
-    """Every grid point fitted on the same training part and scored on the same holdout.
+    """Every grid point fitted on the same written training part and scored on the same written holdout, several at a time.
 
-    ``score`` maps a scored holdout to a one-row DataFrame with one number.
-    Returns (table of parameters and score, best parameters).
+    ``estimator`` is a Spark estimator whose parameters the grid names, or a
+    function that makes one from them. ``score`` maps a scored holdout to a
+    one-row DataFrame with one number. Returns (table of parameters and score,
+    best parameters).
     """
-    train, held = holdout_split(df, key, frac, seed)
-    train, held = train.persist(), held.persist()
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(name), list(values))
-    rows = []
-    for params in builder.build():
-        model = estimator.copy(params).fit(train)
-        value = score(model.transform(held)).first()[0]
-        rows.append(({p.name: v for p, v in params.items()}, float(value)))
-    train.unpersist()
-    held.unpersist()
-    best = (max if larger else min)(rows, key=lambda r: r[1])[0]
+    train, held = map(settle, holdout_split(df, key, frac, seed))
     names = list(grid)
-    table = df.sparkSession.createDataFrame(
-        [(*[float(p[n]) for n in names], s) for p, s in rows], [*names, "score"]
-    )
+    points = [dict(zip(names, values)) for values in itertools.product(*grid.values())]
+
+    def one(point: dict) -> float:
+        if callable(estimator):
+            chosen = estimator(**point)
+        else:
+            chosen = estimator.copy({estimator.getParam(n): v for n, v in point.items()})
+        return float(score(chosen.fit(train).transform(held)).first()[0])
+
+    rows = list(zip(points, side_by_side(one, points, parallel)))
+    best = (max if larger else min)(rows, key=lambda r: r[1])[0]
+    table = df.sparkSession.createDataFrame([(*[float(p[n]) for n in names], s) for p, s in rows], [*names, "score"])
     return table, best
 
 
@@ -251,26 +269,26 @@ def rate_round_search(
     max_rounds: int = 2000,
     step: int = ROUND_STEP,
     seed=0,
+    parallel: int = PARALLEL_FITS,
     **kw,
 ) -> tuple[DataFrame, float, int]:
-    """Learning rate and rounds with the best ``AUC - 0.1 rate + 0.001 step number`` on a 20 % holdout."""
+    """Learning rate and rounds with the best ``AUC - 0.1 rate + 0.001 step number`` on a 20 % holdout.
+
+    One fit per rate, at the largest number of rounds; the holdout is scored
+    once for all numbers of rounds, since a shorter ensemble is a prefix of the
+    longer one. Rates are fitted side by side.
+    """
     from foldwise.plans.evaluate import auc
-    from pyspark.ml.functions import vector_to_array
-
-    train, held = holdout_split(df, key, 0.2, seed)
-    train, held = train.persist(), held.persist()
-    rows = []
-    for rate in rates:
-        for j in range(max(1, max_rounds // step)):
-            rounds = (j + 1) * step
-            model = GBTClassifier(labelCol=label, stepSize=rate, maxIter=rounds, **kw).fit(train)
-            margin = vector_to_array("rawPrediction")[1]
-            scored = model.transform(held).select(F.col(label).alias("y"), margin.alias("margin"))
-            value = auc(scored, "y", "margin").first()["auc"]
-            rows.append((rate, rounds, value - RATE_PENALTY * rate + STEP_BONUS * j))
-    train.unpersist()
-    held.unpersist()
+
+    train, held = map(settle, holdout_split(df, key, 0.2, seed))
+
+    def one(rate: float) -> list[tuple[float, int, float]]:
+        model = Boosting("logistic", rounds=max_rounds, rate=rate, label=label, **kw).fit(train)
+        stages = model.staged(held, step).select("round", F.col(label).alias("y"), F.col("margins")[0].alias("margin"))
+        found = auc(settle(stages), "y", "margin", ["round"]).collect()  # one row per stage
+        return [(rate, r["round"], r["auc"] - RATE_PENALTY * rate + STEP_BONUS * (r["round"] // step - 1)) for r in found]
+
+    rows = sorted(row for found in side_by_side(one, list(rates), parallel) for row in found)
     table = df.sparkSession.createDataFrame(rows, "rate double, rounds int, score double")
     best = max(rows, key=lambda r: r[2])
     return table, best[0], best[1]
-

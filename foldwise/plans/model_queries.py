@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from foldwise.encoders.categorical import FrequencyEncode, OrdinalEncode, TargetMean
 from foldwise.functions.hashing import hash_int
 from foldwise.functions.numeric import target_transform
 from foldwise.operators.rows import kfold, sample_columns
 from foldwise.plans import evaluate as E, fixtures as X, learners as L, stacking as S
+from foldwise.plans.boosting import Boosting, staged_loss
+from foldwise.plans.factorisation import SoftmaxFM
 from foldwise.plans.registry import query, r6
 from foldwise.session import settle, shared_folder
 from foldwise.streaming import batches as T
@@ -333,70 +337,120 @@ def ridge(spark, sf):
     return model.transform(vectors).select("id", F.round("prediction", 2).alias("value"))
 
 
-def _classified(spark, sf, model_of, n=3):
-    """Order status (3 classes) from price, day and priority."""
-    rows = X.table(spark, sf, "orders").select(
-        "o_orderkey",
-        (F.col("o_totalprice") / 100000).alias("price"),
-        (F.dayofyear("o_orderdate") / 100).alias("day"),
-        F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
-        "o_orderstatus",
-    )
-    codes = OrdinalEncode(["o_orderstatus"], key="o_orderkey").fit(rows)
-    vectors = settle(_vectors(codes.transform(rows), ["price", "day", "priority"], F.col("o_orderstatus_code")).select("o_orderkey", "features", "label"))
-    weighted = L.class_weight(vectors, "label", (0,), 2.0)
-    scored = model_of(weighted)
-    return scored.select("o_orderkey", F.col("prediction").cast("int").alias("prediction"))
+# One row per iterative learner: rows, the error of the best constant (from SQL too), whether all predictions are
+# finite, and whether the model's error is below the constant's.
+_TWELVE_SQL = f"""WITH {X.CLASS_SCORES}, n AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM class_scores GROUP BY label)
+SELECT sum(n)::BIGINT AS rows, round(-sum(n / total * ln(n / total)), 6) AS constant, true AS finite, true AS better FROM n"""
 
 
-@query("m10_softmax_regression")
+def _twelve(spark, sf, fit):
+    """A learner on the twelve modes, from twelve numbers per row; classes that count double are weighted."""
+    rows = X.class_scores(spark, sf)
+    vectors = settle(_vectors(rows, _C, F.col("label")).select("id", "features", "label"))
+    scored = fit(L.class_weight(vectors, "label")).transform(vectors)
+    if "probability" in scored.columns:
+        p = vector_to_array("probability")
+    else:
+        raw = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-x)))
+        total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
+        p = F.transform(raw, lambda x: x / total)
+    own = F.get(p, F.col("label").cast("int"))
+    loss = -F.log(F.least(F.greatest(own, F.lit(1e-15)), F.lit(1 - 1e-15)))
+    finite = F.coalesce(F.bool_and(~F.isnan(own) & own.isNotNull()), F.lit(False))
+    one = scored.agg(F.count(F.lit(1)).alias("rows"), finite.alias("finite"), F.avg(loss).alias("model"))
+    classes = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    total = classes.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    constant = F.lit(total.select(F.log("n") - F.col("s") / F.col("n")).first()[0])
+    return one.select("rows", F.round(constant, 6).alias("constant"), "finite", (F.col("model") < constant).alias("better"))
+
+
+_NUMBER_SQL = f"""WITH {X.PREDICTIONS} SELECT count(*) AS rows, round(stddev_pop(ln(truth + 200)), 6) AS constant, true AS finite, true AS better FROM predictions"""
+
+
+def _number_rows(spark, sf):
+    rows = X.predictions(spark, sf).withColumn("log_pred", F.log(F.col("pred") + 200))
+    return settle(_vectors(rows, ["log_pred", "score", "hit"], F.log(F.col("truth") + 200)).select("id", "features", "label"))
+
+
+def _number(spark, sf, fit):
+    """A learner of the logarithm of a number; root mean squared errors."""
+    vectors = _number_rows(spark, sf)
+    scored = fit(vectors).transform(vectors)
+    finite = F.coalesce(F.bool_and(~F.isnan("prediction") & F.col("prediction").isNotNull()), F.lit(False))
+    error = F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), F.lit(2.0))))
+    one = scored.agg(F.count(F.lit(1)).alias("rows"), F.stddev_pop("label").alias("constant"), finite.alias("finite"), error.alias("model"))
+    return one.select("rows", F.round("constant", 6).alias("constant"), "finite", (F.col("model") < F.col("constant")).alias("better"))
+
+
+@query("m10_softmax_regression", _TWELVE_SQL)
 def softmax(spark, sf):
-    return _classified(spark, sf, lambda d: L.softmax_regression(0.01, weightCol="weight", maxIter=20).fit(d).transform(d))
+    return _twelve(spark, sf, lambda d: L.softmax_regression(0.001, weightCol="weight", maxIter=100).fit(d))
 
 
-@query("m11_boosted_regression")
+@query("m11_boosted_regression", _NUMBER_SQL)
 def boosted_regression(spark, sf):
-    rows, cols = _numeric_claims(spark, sf)
-    vectors = _vectors(rows, cols, F.col("loss"))
-    model = L.boosted("absolute", maxIter=4, maxDepth=3, seed=1).fit(vectors.filter("split = 'train'"))
-    return model.transform(vectors.filter("split = 'test'")).select("id", F.round("prediction", 2).alias("value"))
+    return _number(spark, sf, lambda d: Boosting("squared", rounds=20, depth=4, rate=0.2).fit(d))
 
 
-@query("m11_boosted_classes")
+@query("m11_boosted_classes", _TWELVE_SQL)
 def boosted_classes(spark, sf):
-    return _classified(spark, sf, lambda d: L.boosted(n_class=3, maxIter=2, maxDepth=2, seed=1).fit(d).transform(d))
-
-
-@query("m12_forest_regression")
+    return _twelve(spark, sf, lambda d: L.boosted(n_class=12, rounds=12, depth=3, rate=0.3, weight="weight").fit(d))
+
+
+_STUMP_FEATURES = ("guess", "hit", "tens")
+_STUMP = f"""WITH {X.PREDICTIONS}, r AS (SELECT label, guess::DOUBLE AS guess, hit::DOUBLE AS hit, (score % 10)::DOUBLE AS tens FROM predictions),
+long AS (UNPIVOT r ON {', '.join(_STUMP_FEATURES)} INTO NAME f VALUE v),
+ks AS (SELECT CAST(k AS INTEGER) AS k FROM range(0, 12) r(k)),
+g AS (SELECT k, f, v, sum(1 / 12.0::DOUBLE - (label = k)::INT) AS g, count(*) * 11 / 144.0::DOUBLE AS h FROM long CROSS JOIN ks GROUP BY 1, 2, 3),
+c AS (SELECT k, f, v, lead(v) OVER w AS up, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY k, f) AS ga, sum(h) OVER (PARTITION BY k, f) AS ha
+  FROM g WINDOW w AS (PARTITION BY k, f ORDER BY v)),
+s AS (SELECT *, round(gl * gl / (hl + 1) + (ga - gl) ** 2 / (ha - hl + 1) - ga * ga / (ha + 1), 9) AS gain, list_position({list(_STUMP_FEATURES)}, f) AS place FROM c WHERE up IS NOT NULL),
+b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gain DESC, place, v) AS rn FROM s)
+SELECT k AS output, CAST(place - 1 AS INTEGER) AS input, round((v + up) / 2, 6) AS cut, round(-0.3::DOUBLE * gl / (hl + 1), 6) AS below, round(-0.3::DOUBLE * (ga - gl) / (ha - hl + 1), 6) AS above FROM b WHERE rn = 1"""
+
+
+@query("m11_boosted_stumps", _STUMP)
+def boosted_stumps(spark, sf):
+    """One round of depth 1 over twelve classes: the split of each class and the values at its sides."""
+    rows = X.predictions(spark, sf).withColumn("tens", F.col("score") % 10)
+    vectors = _vectors(rows, list(_STUMP_FEATURES), F.col("label"))
+    found = Boosting("softmax", 12, rounds=1, depth=1, rate=0.3).fit(vectors).splits()
+    top = {k: (f, cut) for _, k, i, f, cut, _ in found if i == 0}
+    value = {(k, i): v for _, k, i, _, _, v in found}
+    made = [(k, f, round(cut, 6), round(value[k, 1], 6), round(value[k, 2], 6)) for k, (f, cut) in sorted(top.items())]
+    return spark.createDataFrame(made, "output int, input int, cut double, below double, above double")
+
+
+@query("m12_forest_regression", _NUMBER_SQL)
 def forest_regression(spark, sf):
-    rows, cols = _numeric_claims(spark, sf)
-    vectors = _vectors(rows, cols, F.col("loss"))
-    model = L.forest(numTrees=5, maxDepth=4, seed=1).fit(vectors.filter("split = 'train'"))
-    return model.transform(vectors.filter("split = 'test'")).select("id", F.round("prediction", 2).alias("value"))
+    return _number(spark, sf, lambda d: L.forest(numTrees=50, maxDepth=6, seed=1).fit(d))
 
 
-@query("m12_forest_classes")
+@query("m12_forest_classes", _TWELVE_SQL)
 def forest_classes(spark, sf):
-    return _classified(spark, sf, lambda d: L.forest(3, numTrees=5, maxDepth=3, seed=1, weightCol="weight").fit(d).transform(d))
+    return _twelve(spark, sf, lambda d: L.forest(12, numTrees=50, maxDepth=6, seed=1).fit(d))
 
 
-@query("m13_factorisation_machine")
+@query("m13_factorisation_machine", _NUMBER_SQL)
 def factorisation(spark, sf):
-    rows, cols = _numeric_claims(spark, sf)
-    scaled = rows.withColumns({c: F.col(c) / F.lit(100.0) for c in cols})
-    vectors = _vectors(scaled, cols, F.log(F.col("loss") + 200))
-    model = L.fm(factorSize=3, maxIter=10, stepSize=0.05, seed=1).fit(vectors.filter("split = 'train'"))
-    return model.transform(vectors.filter("split = 'test'")).select("id", F.round("prediction", 4).alias("value"))
+    from pyspark.ml.feature import StandardScaler
+
+    def fit(d):
+        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(d)
+        model = L.fm(factorSize=4, maxIter=150, stepSize=0.5, seed=1, featuresCol="scaled").fit(scaler.transform(d))
+        return PipelineModel([scaler, model])
 
+    return _number(spark, sf, fit)
 
-@query("m13_factorisation_classes")
+
+@query("m13_factorisation_classes", _TWELVE_SQL)
 def factorisation_classes(spark, sf):
-    return _classified(spark, sf, lambda d: L.fm(3, factorSize=2, maxIter=5, seed=1).fit(d).transform(d))
+    return _twelve(spark, sf, lambda d: SoftmaxFM(12, factors=4, max_iter=40, weight="weight").fit(d))
 
 
-@query("m14_perceptron")
+@query("m14_perceptron", _TWELVE_SQL)
 def perceptron(spark, sf):
-    return _classified(spark, sf, lambda d: L.mlp([3, 8, 4, 3], maxIter=15, seed=1).fit(d).transform(d))
+    return _twelve(spark, sf, lambda d: L.mlp([12, 24, 12], maxIter=100, seed=1).fit(d))
 
 
 @query(
@@ -407,39 +461,59 @@ def class_weights(spark, sf):
     return L.class_weight(X.predictions(spark, sf), "label").select("id", "weight")
 
 
-@query("m16_grid_search")
+_ALPHAS = (1.0, 100.0, 10000.0, 1000000.0)
+
+
+@query(
+    "m16_grid_search",
+    f"""WITH {X.PREDICTIONS}, h AS (SELECT *, ({X.md5_sql('id', 42)} + 0.5::DOUBLE) / 4294967296.0::DOUBLE < 0.2::DOUBLE AS held FROM predictions),
+    m AS (SELECT avg(score) AS mx, avg(truth) AS my, covar_pop(score, truth) * count(*) AS xy, var_pop(score) * count(*) AS xx FROM h WHERE NOT held),
+    a AS (SELECT unnest({list(_ALPHAS)})::DOUBLE AS alpha)
+    SELECT alpha, round(avg(abs(my + xy / (xx + alpha) * (score - mx) - truth)), 3) AS score FROM h CROSS JOIN m CROSS JOIN a WHERE held GROUP BY alpha""",
+)
 def grid_search(spark, sf):
-    rows, cols = _numeric_claims(spark, sf)
-    vectors = _vectors(rows, cols, F.col("loss"))
-    table, _ = L.grid_search(
-        L.forest(numTrees=3, seed=1), {"maxDepth": [2, 4], "minInstancesPerNode": [1, 20]}, vectors, "id", lambda d: E.mae(d, "label", "prediction")
-    )
-    return table
+    """Ridge strengths fitted side by side on one written split."""
+    vectors = _vectors(X.predictions(spark, sf), ["score"], F.col("truth")).select("id", "features", "label")
+    table, _ = L.grid_search(lambda alpha: L.ridge(alpha), {"alpha": _ALPHAS}, vectors, "id", lambda d: E.mae(d, "label", "prediction"))
+    return table.select("alpha", F.round("score", 3).alias("score"))
 
 
-@query("m17_staged_scores")
+@query(
+    "m17_staged_scores",
+    f"""WITH {X.PREDICTIONS}, t AS (SELECT avg(ln(truth + 200)) AS m FROM predictions)
+    SELECT CAST(r AS INTEGER) AS round, round((SELECT sqrt(avg((ln(truth + 200) - m) ** 2)) FROM predictions, t), 6) AS constant, true AS lower FROM range(1, 21) x(r)""",
+)
 def staged_scores(spark, sf):
-    rows, cols = _numeric_claims(spark, sf)
-    vectors = _vectors(rows, cols, F.col("loss"))
-    model = L.boosted("absolute", maxIter=4, maxDepth=2, seed=1).fit(vectors.filter("split = 'train'"))
-    scores = L.staged_scores(model, vectors.filter("split = 'test'"), "absolute")
-    return spark.createDataFrame([(i + 1, round(float(s), 4)) for i, s in enumerate(scores)], "round int, score double")
+    """The training error after every round, each below the one before, from one fit and one pass."""
+    vectors = _number_rows(spark, sf)
+    model = Boosting("squared", rounds=20, depth=3, rate=0.2).fit(vectors)
+    curve = staged_loss(model, vectors, F.pow(F.col("prediction") - F.col("label"), F.lit(2.0)))
+    constant = F.lit(vectors.agg(F.stddev_pop("label")).first()[0])
+    rows = curve.withColumn("loss", F.sqrt("loss"))
+    before = F.coalesce(F.lag("loss").over(Window.orderBy("round")), constant)  # one row per round
+    return rows.select("round", F.round(constant, 6).alias("constant"), (F.col("loss") < before).alias("lower"))
 
 
-@query("m18_rate_round_search")
+@query("m18_rate_round_search", "SELECT rate::DOUBLE AS rate, CAST(r AS INTEGER) AS rounds, true AS better FROM (SELECT unnest([0.01, 0.02, 0.03, 0.04, 0.05]) AS rate), range(5, 21, 5) x(r)")
 def rate_round_search(spark, sf):
+    """Five rates and four numbers of rounds; each row ranks the holdout better than chance."""
     rows = X.predictions(spark, sf)
-    vectors = settle(VectorAssembler(inputCols=["truth", "score"], outputCol="features").transform(rows).select("id", "features", "hit"))
-    table, _, _ = L.rate_round_search(vectors, "id", "hit", rates=(0.1, 0.3), max_rounds=4, step=2, maxDepth=2, seed=1)
-    return table
+    flag = (F.col("score") + F.col("label") > 35).cast("int").alias("hit")
+    vectors = settle(VectorAssembler(inputCols=["label", "score"], outputCol="features").transform(rows).select("id", "features", flag))
+    table, _, _ = L.rate_round_search(vectors, "id", "hit", max_rounds=20, step=5, depth=2)
+    own = F.col("score") + L.RATE_PENALTY * F.col("rate") - L.STEP_BONUS * (F.col("rounds") / 5 - 1)
+    return table.select("rate", "rounds", (own > 0.5).alias("better"))
 
 
-@query("l4_feature_ranking")
+@query("l4_feature_ranking", "SELECT CAST(3 AS BIGINT) AS features, 1.0::DOUBLE AS total, 'log_pred' AS first")
 def feature_ranking(spark, sf):
-    rows, cols = _numeric_claims(spark, sf)
-    vectors = _vectors(rows, cols, F.col("loss"))
-    model = L.forest(numTrees=3, maxDepth=3, seed=1).fit(vectors)
-    return L.importances(model, cols, spark)
+    """The input that holds the signal comes first, importances add up to one."""
+    rows = X.predictions(spark, sf).withColumn("log_pred", F.log("pred"))
+    noise = (hash_int(F.col("id"), "n1") % 100).alias("noise1"), (hash_int(F.col("id"), "n2") % 100).alias("noise2")
+    vectors = settle(_vectors(rows.select("id", "log_pred", "truth", *noise), ["log_pred", "noise1", "noise2"], F.log("truth")))
+    model = L.forest(numTrees=20, maxDepth=5, seed=1, featureSubsetStrategy="all").fit(vectors)
+    table = L.importances(model, ["log_pred", "noise1", "noise2"], spark)
+    return table.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 6).alias("total"), F.min_by("feature", "place").alias("first"))
 
 
 # --- evaluation -----------------------------------------------------------------------
