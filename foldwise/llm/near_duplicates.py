@@ -181,6 +181,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                 ]
                 keep = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+        give_back()
 
     return rows.mapInArrow(run, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
 
@@ -195,6 +196,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             a, b, ra, rb = batch.columns
             keep = pa.array(_agreement(ra, rb) >= least)
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+        give_back()
 
     return two.select("a", "b", "ra", "rb").mapInArrow(run, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
 
@@ -265,6 +267,7 @@ def _across(mixed: DataFrame, nodes: DataFrame, least: float, best: bool) -> Dat
                         out_a.append(min(na[i], nb[j]))
                         out_b.append(max(na[i], nb[j]))
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
+        give_back()
 
     return met.mapInArrow(run, "a binary, b binary").distinct()
 

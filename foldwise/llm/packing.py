@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from foldwise.llm.words import BLANK_WORDS, LOWER, map_text, quoted, text_buffer, word_hashes, word_spans
+from foldwise.llm.words import BLANK_WORDS, LOWER, give_back, map_text, quoted, text_buffer, word_hashes, word_spans
 
 LENGTH = 2048
 END = 1
@@ -320,5 +320,6 @@ def pack(
         ready += close()
         if ready:
             yield emit(ready)
+        give_back()
 
     return ranges.select("d", "key", "ids", "part").mapInArrow(stream, piece_type)
