@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from foldwise.llm.components import components, merged
 from foldwise.llm.words import (
+    give_back,
     ALNUM_WORDS,
     LOWER,
     map_text,
