@@ -263,3 +263,47 @@ def test_approximate_neighbours(spark):
     assert knn_join(some, rows.limit(0), "id", "vec", 5).count() == lsh_knn_join(some, rows.limit(0), "id", "vec", 5).count() == 0
     same = rows.limit(3).crossJoin(spark.range(40)).select(F.monotonically_increasing_id().alias("id"), "vec")
     assert lsh_knn_join(same, same, "id", "vec", 4, bucket_rows=5).count() == 480
+
+
+def test_boosting_prefixes_and_missing_values(spark):
+    """Scores after n rounds are those of a fit with n rounds, and a class ensemble is better than the constant."""
+    from foldwise.plans.boosting import Boosting
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 0] > 0).astype(int) + (x[:, 1] > 0.5)
+    x[::17, 2] = np.nan
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, Vectors.dense(v), float(c)) for i, (v, c) in enumerate(zip(x.tolist(), y))]
+    df = spark.createDataFrame(rows, ["id", "features", "label"])
+    long = Boosting("softmax", 3, rounds=10, depth=2, rate=0.3).fit(df)
+    short = Boosting("softmax", 3, rounds=4, depth=2, rate=0.3).fit(df)
+    staged = {r["id"]: r["margins"] for r in long.staged(df, 2).filter("round = 4").collect()}
+    direct = {r["id"]: r["margins"] for r in short.transform(df).collect()}
+    assert all(np.allclose(staged[i], direct[i]) for i in direct)
+    hits = long.transform(df).filter("prediction = label").count()
+    assert hits > 360
+
+
+def test_joint_factorisation_machine(spark):
+    """The gradient is right, and small where the fit stops."""
+    from pyspark.ml.linalg import Vectors
+
+    from foldwise.plans.factorisation import SoftmaxFM, loss_and_gradient
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4))
+    y = np.where(x[:, 0] * x[:, 1] > 0, 0, np.where(x[:, 2] > 0, 1, 2))  # a product of two inputs, then a third
+    theta, w = rng.normal(0, 0.3, 3 * (1 + 4 + 8)), rng.uniform(1, 2, 300)
+    value, grad = loss_and_gradient(x, y, w, theta, 3, 2)
+    for k in range(0, len(theta), 5):
+        step = np.zeros(len(theta))
+        step[k] = 1e-6
+        up, down = (loss_and_gradient(x, y, w, theta + s * step, 3, 2)[0] for s in (1, -1))
+        assert abs((up - down) / 2e-6 - grad[k]) < 1e-3 * max(1, abs(grad[k]))
+    df = spark.createDataFrame([(Vectors.dense(v), float(c)) for v, c in zip(x.tolist(), y)], ["features", "label"]).coalesce(2)
+    model = SoftmaxFM(3, factors=2, max_iter=120, tol=1e-3, penalty=1e-2).fit(df)
+    assert model.converged and model.gradient < 1e-3
+    right = model.transform(df).filter("prediction = label").count()
+    assert right > max(np.bincount(y)) + 60
