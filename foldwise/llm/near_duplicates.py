@@ -11,10 +11,10 @@ Texts that agree on all registers of a band meet in a bucket. Equal texts are
 one node. The members of a bucket are compared with its smallest node first,
 then with members of the bucket's largest class, one for each bucket and
 round, which is linear and joins most of what belongs together. Where a bucket
-still holds several classes, members of different classes are compared by
-their registers, the best partner in each class first and then all, so that no pair of
-a bucket stays unseen unless one class holds both, and no group is expanded
-into all its pairs. A pair is linked if the exact probability Jaccard of its
+still holds several classes, members of different classes are compared inside
+the bucket, first by their registers, then exactly, and a task hands on only links
+that join two classes: no pair of a bucket stays unseen unless one class holds
+both, and no list of pairs is written. A pair is linked if the exact probability Jaccard of its
 texts is at least 0.8. With 30 bands of 5 registers a pair at 0.8 is met with
 a probability of 0.99999; one that 300 registers estimate four standard
 deviations below 0.8 is not verified.
@@ -57,8 +57,9 @@ REGISTERS = 300
 MARGIN = 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 # rounds in which the members of a bucket meet one member of its largest class
 ROUNDS = 2
-# members of one bucket that travel in one row
-CHUNK = 500
+# members of one bucket that travel in one row, and bytes of their shingles
+CHUNK = 1000
+PART_BYTES = 16 << 20
 
 SKETCH = T.StructType(
     [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("registers", T.BinaryType())]
@@ -232,42 +233,157 @@ def _met_major(mixed: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "chosen").alias("a"), F.greatest("node", "chosen").alias("b")).distinct()
 
 
-def _across(mixed: DataFrame, nodes: DataFrame, least: float, best: bool) -> DataFrame:
-    """Pairs of one bucket and different classes whose registers agree often enough.
+def _part_pairs(members: DataFrame, fields: list[str], parts) -> DataFrame:
+    """Rows (key, ma, mb): two parts of one bucket, at least one of them outside its largest class."""
+    part = F.pmod(F.xxhash64("node"), parts).alias("part")
+    rows = settle(
+        members.withColumn("part", part)
+        .groupBy("key", (F.col("label") == F.col("major")).alias("is_major"), "part")
+        .agg(F.collect_list(F.struct("node", "label", *fields)).alias("members"))
+    )
+    minor = rows.filter("not is_major").select("key", F.col("part").alias("pa"), F.col("members").alias("ma"))
+    other = rows.select("key", "is_major", F.col("part").alias("pb"), F.col("members").alias("mb"))
+    return minor.join(other, "key").filter("is_major or pa <= pb").select("key", "ma", "mb")
+
 
-    With ``best`` only the best partner of a member in each class and part of the bucket.
+def _to_compare(key: int, a, b, least: float):
+    """For two parts the names and classes of their members, and for each of the first the members of the second to compare.
+
+    Those are of another class, agree in enough registers, and share no earlier
+    band with it: a pair that shares one is compared in that bucket.
     """
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHUNK)).alias("chunk")
-    member = F.struct("node", "label", "registers")
-    rows = settle(
-        mixed.withColumn("chunk", part)
-        .join(nodes.select("node", "registers"), "node")
-        .groupBy("key", (F.col("label") == F.col("major")).alias("is_major"), "chunk")
-        .agg(F.collect_list(member).alias("members"))
+    x, y = _matrix(a.field("registers")), _matrix(b.field("registers"))
+    na, nb = a.field("node").to_pylist(), b.field("node").to_pylist()
+    _, kinds = np.unique(np.array(a.field("label").to_pylist() + b.field("label").to_pylist()), return_inverse=True)
+    la, lb = kinds[: len(na)], kinds[len(na) :]
+    bx, by = (m.field("bands").flatten().to_numpy().reshape(-1, BANDS) for m in (a, b))
+    band = int(np.flatnonzero(bx[0] == key)[0])
+    same = na == nb
+
+    def partners(i: int, root: np.ndarray | None = None) -> np.ndarray:
+        mine, theirs = (la, lb) if root is None else (root[la], root[lb])
+        found = np.flatnonzero(theirs != mine[i])
+        if same:
+            found = found[found > i]
+        found = found[~(by[found, :band] == bx[i, :band]).any(axis=1)]
+        return found[(y[found] == x[i]).mean(axis=1) >= least] if len(found) else found
+
+    return na, nb, la, lb, partners
+
+
+def _compared(mixed: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The members (key, node) that have a pair to compare in their bucket."""
+    described = mixed.join(nodes.select("node", "registers", "bands"), "node")
+    met = _part_pairs(described, ["registers", "bands"], F.ceil(F.col("members") / CHUNK))
+
+    def run(batches):
+        for batch in batches:
+            keys, names = [], []
+            for key, ma, mb in zip(*batch.columns):
+                na, nb, _, _, partners = _to_compare(key.as_py(), ma.values, mb.values, least)
+                open_a, open_b = [], np.zeros(len(nb), bool)
+                for i in range(len(na)):
+                    found = partners(i)
+                    if len(found):
+                        open_a.append(na[i])
+                        open_b[found] = True
+                some = {*open_a, *(nb[j] for j in np.flatnonzero(open_b))}
+                keys += [key.as_py()] * len(some)
+                names += some
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.binary())], names=["key", "node"])
+        give_back()
+
+    return met.mapInArrow(run, "key long, node binary").distinct()
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """Node, hashes and counts of its shingles; no counts where each is one."""
+
+    def run(batches):
+        from foldwise.llm.words import cut
+
+        for batch in batches:
+            for part in cut(batch, "text", 1 << 20):
+                node, text = part.columns
+                row, value, count, n = shingles(text)
+                bounds = np.searchsorted(row, np.arange(n + 1))
+                spans = list(zip(bounds[:-1], bounds[1:]))
+                values = [value[i:j].tobytes() for i, j in spans]
+                counts = [b"" if (count[i:j] == 1).all() else count[i:j].astype(np.uint32).tobytes() for i, j in spans]
+                columns = [node, pa.array(values, pa.binary()), pa.array(counts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "counts"])
+        give_back()
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, shingles binary, counts binary")
+
+
+def _read_sets(members) -> tuple[np.ndarray, np.ndarray, list]:
+    raw = [v.as_py() for v in members.field("shingles")]
+    bounds = np.append(0, np.cumsum([len(v) // 8 for v in raw]))
+    counts = [np.frombuffer(c.as_py(), np.uint32) if len(c.as_py()) else None for c in members.field("counts")]
+    return np.frombuffer(b"".join(raw), np.uint64), bounds, counts
+
+
+def _links(key: int, a, b, least: float, threshold: float):
+    """Verified pairs that join different classes of two parts: at most one for each class that is joined."""
+    na, nb, la, lb, partners = _to_compare(key, a, b, least)
+    (va, oa, ca), (vb, ob, cb) = _read_sets(a), _read_sets(b)
+    every, ids = np.unique(np.concatenate([va, vb]), return_inverse=True)
+    ia, ib = ids[: len(va)], ids[len(va) :]
+    own = np.zeros(len(every), bool)
+    root = np.arange(max(la.max(), lb.max()) + 1)
+    for i in range(len(na)):
+        found = partners(i, root)
+        if not len(found):
+            continue
+        mine = slice(oa[i], oa[i + 1])
+        own[ia[mine]] = True
+        sizes = ob[found + 1] - ob[found]
+        hits = np.concatenate([own[ib[ob[j] : ob[j + 1]]] for j in found])
+        common = np.add.reduceat(hits.astype(np.int64), np.append(0, np.cumsum(sizes)[:-1]))
+        own[ia[mine]] = False
+        likeness = common / (oa[i + 1] - oa[i] + sizes - common)
+        for j, like, size in zip(found.tolist(), likeness.tolist(), sizes.tolist()):
+            if root[la[i]] == root[lb[j]]:
+                continue
+            if ca[i] is not None or cb[j] is not None:
+                mass_a = np.ones(oa[i + 1] - oa[i]) if ca[i] is None else ca[i]
+                mass_b = np.ones(size) if cb[j] is None else cb[j]
+                like = probability_jaccard(va[mine], mass_a, vb[ob[j] : ob[j + 1]], mass_b)
+            if like >= threshold - 1e-12:
+                yield na[i], nb[j]
+                root[root == root[lb[j]]] = root[la[i]]
+
+
+def _across(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, least: float, threshold: float) -> DataFrame:
+    """Links (a, b) between the classes of each bucket, verified where its members meet.
+
+    A first pass over registers and bands finds the members that have a pair to
+    compare at all. Only those bring the hashes of their shingles into their
+    bucket, where each pair is compared once, in the first bucket it shares, and
+    only links that join two classes leave the task.
+    """
+    some = settle(_compared(mixed, nodes, least))
+    sets = settle(_sets(texts.join(settle(some.select("node").distinct()), "node", "left_semi")))
+    members = (
+        some.join(mixed.select("key", "node", "label", "major"), ["key", "node"])
+        .join(sets, "node")
+        .join(nodes.select("node", "registers", "bands"), "node")
+    )
+    sized = settle(
+        some.join(sets.select("node", F.length("shingles").alias("size")), "node")
+        .groupBy("key")
+        .agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("size") / PART_BYTES)).alias("parts"))
     )
-    minor = rows.filter("not is_major").select("key", F.col("chunk").alias("ca"), F.col("members").alias("ma"))
-    other = rows.select("key", "is_major", F.col("chunk").alias("cb"), F.col("members").alias("mb"))
-    met = minor.join(other, "key").filter("is_major or ca <= cb").select("ma", "mb")
+    met = _part_pairs(members.join(sized, "key"), ["registers", "bands", "shingles", "counts"], F.col("parts"))
 
     def run(batches):
         for batch in batches:
-            out_a, out_b = [], []
-            for ma, mb in zip(*batch.columns):
-                a, b = ma.values, mb.values
-                x, y = _matrix(a.field("registers")), _matrix(b.field("registers"))
-                na, nb = a.field("node").to_pylist(), b.field("node").to_pylist()
-                _, kinds = np.unique(np.array(a.field("label").to_pylist() + b.field("label").to_pylist()), return_inverse=True)
-                la, lb = kinds[: len(na)], kinds[len(na) :]
-                for i, own in enumerate(x):
-                    close = (y == own).mean(axis=1)
-                    found = np.flatnonzero((close >= least) & (lb != la[i]))
-                    if best and len(found) > 1:
-                        found = found[np.argsort(-close[found], kind="stable")]
-                        found = found[np.unique(lb[found], return_index=True)[1]]
-                    for j in found.tolist():
-                        out_a.append(min(na[i], nb[j]))
-                        out_b.append(max(na[i], nb[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
+            for key, ma, mb in zip(*batch.columns):
+                found = list(_links(key.as_py(), ma.values, mb.values, least, threshold))
+                left = pa.array([min(p) for p in found], pa.binary())
+                right = pa.array([max(p) for p in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([left, right], names=["a", "b"])
         give_back()
 
     return met.mapInArrow(run, "a binary, b binary").distinct()
@@ -304,14 +420,12 @@ def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: f
         copies.join(reps, ["node"]).filter(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"]).select("node", "text")
     )
     labels = components(settle(_verified(first, texts, threshold)))
-    for turn in range(ROUNDS + 2):
+    for turn in range(ROUNDS):
         mixed = _mixed(buckets, labels)
-        if turn < ROUNDS:
-            more = _estimated(_met_major(mixed, turn), registers, least)
-        else:
-            more = _across(mixed, registers, least, best=turn == ROUNDS)
-        found = settle(_verified(more, texts, threshold))
-        labels = merged(labels, found)
+        more = _estimated(_met_major(mixed, turn), registers, least)
+        labels = merged(labels, settle(_verified(more, texts, threshold)))
+        buckets = mixed.select("key", "node")  # a bucket of one class stays so
+    labels = merged(labels, settle(_across(_mixed(buckets, labels), nodes, texts, least, threshold)))
     named = settle(
         nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     )
@@ -323,7 +437,8 @@ def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: f
 def keep_one(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with its own columns: that with the smallest document id.
 
-    Of rows of a class that share this id the text with the smallest hash stays, and of equal rows one.
+    Of rows of a class that share this id the text with the smallest hash stays, and of rows equal in both
+    the one whose other columns come first as JSON.
     """
     found = classes(df, doc, text, threshold)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node"))
@@ -338,5 +453,8 @@ def keep_one(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold:
         settle(heads), F.col(quoted(doc)).eqNullSafe(F.col("__class__")) & (F.col("__node__") == F.col("__head__"))
     )
     rest = [c for c in df.columns if c != doc]
-    once = met.groupBy(F.col(quoted(doc)), "__node__").agg(F.first(F.struct(*[F.col(quoted(c)) for c in rest])).alias("__row__"))
+    others = [F.col(quoted(c)) for c in rest if c != text]
+    order = F.to_json(F.struct(*others)) if others else F.lit(0)
+    row = F.min_by(F.struct(*[F.col(quoted(c)) for c in rest]), order)
+    once = met.groupBy(F.col(quoted(doc)), "__node__").agg(row.alias("__row__"))
     return once.select(*[F.col(quoted(doc)) if c == doc else F.col("__row__").getField(c).alias(c) for c in df.columns])

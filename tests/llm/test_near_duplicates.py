@@ -117,6 +117,23 @@ def test_small_chunks_give_the_same(spark, docs, monkeypatch):
     assert sorted(map(str, nd.classes(table).collect())) == whole
 
 
+def test_crowd_around_the_threshold(spark, monkeypatch):
+    """All links found inside the buckets alone, in parts bounded by bytes: texts of repeated and of single shingles."""
+    rng = random.Random(9)
+    rows = []
+    for base in ([f"w{i}" for i in range(120)], [f"v{i % 40}" for i in range(120)]):
+        for _ in range(30):
+            words = base[:]
+            for _ in range(rng.randrange(1, 5)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    monkeypatch.setattr(nd, "ROUNDS", 0)
+    monkeypatch.setattr(nd, "PART_BYTES", 8000)
+    got = sorted((r["doc_id"], r["class_id"]) for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain_classes(rows)
+    assert 2 < len({c for _, c in got}) < 60
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(3)
     for _ in range(50):
