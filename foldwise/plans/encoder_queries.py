@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from foldwise.encoders import blocks, categorical as C, numeric as N, projection as V
+from foldwise.encoders.stages import EncoderStage
 from foldwise.plans import fixtures as X
 from foldwise.plans.history_queries import _BEST, _HAVERSINE, _SINCE, _STOPPED, erfinv_sql
 from foldwise.plans.registry import query, r6
+from foldwise.session import shared_folder
 from foldwise.sources.tables import roles
 
 CATS = X.CLAIM_CATS
@@ -49,6 +52,20 @@ def frequency(spark, sf):
     return model.transform(rows).select("id", *model.feature_names())
 
 
+@query(
+    "x3_encoder_pipeline",
+    _codes_sql("length({0}), {0}").replace('SELECT id, ', 'SELECT id, ' + ''.join(f'count(*) OVER (PARTITION BY {c}) AS {c}_count, ' for c in CATS)),
+)
+def encoder_pipeline(spark, sf):
+    rows = X.claims(spark, sf)
+    stages = [EncoderStage(C.OrdinalEncode(CATS, key="id")), EncoderStage(C.FrequencyEncode(CATS, key="id"))]
+    folder = shared_folder(spark, "pipeline")
+    Pipeline(stages=stages).fit(rows).save(folder)
+    loaded = PipelineModel.load(folder)
+    names = [name for stage in loaded.stages for name in stage.feature_names()]
+    return loaded.transform(rows).select("id", *names)
+
+
 @query(
     "e4_frequency_null_level",
     f"WITH {X.BATCHES} SELECT id, count(*) OVER (PARTITION BY coalesce(cat1, '-1')) AS cat1_count, count(*) OVER (PARTITION BY cat2) AS cat2_count FROM batches",
