@@ -5,15 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.encoders.base import Fitted
+from foldwise.encoders.sparse import per_row, row_products, singular_vectors, total_variance
 
 VECTOR = "_vector"
 
@@ -28,16 +25,6 @@ def as_vector(df: DataFrame, source: str | Sequence[str], out: str = VECTOR) ->
     )
 
 
-def matrix_columns(vector: Column, loadings: np.ndarray) -> Column:
-    """``x V`` per row as an array, in Arrow batches; the loadings are columns x components."""
-
-    @F.pandas_udf("array<double>")
-    def project(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.vstack(x.to_numpy()) @ loadings)) if len(x) else pd.Series([], dtype=object)
-
-    return project(vector_to_array(vector))
-
-
 class SvdModel(Fitted):
     @property
     def loadings(self) -> np.ndarray:
@@ -45,24 +32,28 @@ class SvdModel(Fitted):
 
     def transform(self, df: DataFrame) -> DataFrame:
         p = self.params
-        df = as_vector(df, p["source"]).withColumn("_scores", matrix_columns(F.col(VECTOR), self.loadings))
+        df = self._scored(df)
         return df.withColumns({o: F.col("_scores")[i] for i, o in enumerate(p["outs"])}).drop("_scores", VECTOR)
 
+    def _scored(self, df: DataFrame) -> DataFrame:
+        """Adds the vector and, as one array, its product with the loadings."""
+        loadings = self.loadings
+        df = as_vector(df, self.params["source"])
+        return df.withColumn("_scores", per_row(df, F.col(VECTOR), lambda at, value, n: row_products(at, value, n, loadings)))
+
     def explained_ratio(self, df: DataFrame) -> float:
         """Variance of the scores over the total variance of the input."""
-        p = self.params
-        scored = self.transform(df)
-        part = scored.agg(sum((F.var_pop(o) for o in p["outs"]), F.lit(0.0))).first()[0]
-        values = as_vector(df, p["source"]).select(vector_to_array(VECTOR).alias("x"))
-        width = self.loadings.shape[0]
-        whole = values.agg(sum((F.var_pop(F.col("x")[i]) for i in range(width)), F.lit(0.0))).first()[0]
-        return part / whole
+        scored = self._scored(df).select(F.posexplode("_scores").alias("place", "score"))
+        part = scored.groupBy("place").agg(F.var_pop("score").alias("v")).agg(F.sum("v")).first()[0]
+        return part / total_variance(as_vector(df, self.params["source"]), VECTOR)
 
 
 class TruncatedSvd:
     """The ``k`` leading right singular vectors without centring; scores are ``X V``.
 
-    The sign of each component makes its largest loading positive.
+    The sign of each component makes its largest loading positive. Rows stay sparse; there are always
+    ``min(k, width)`` components, and those beyond the rank score zero. ``params["residual"]`` is the largest
+    ``|G v - s^2 v|`` over the largest ``s^2``. A null vector is left out of the fit and gets null scores.
     """
 
     def __init__(self, source: str | Sequence[str], k: int, prefix: str = "svd"):
@@ -70,9 +61,7 @@ class TruncatedSvd:
 
     def fit(self, df: DataFrame) -> SvdModel:
         vectors = as_vector(df, self.source).select(VECTOR)
-        old = MLUtils.convertVectorColumnsFromML(vectors, VECTOR)
-        svd = RowMatrix(old).computeSVD(self.k, computeU=False)
-        v = svd.V.toArray()
+        v, singular, residual = singular_vectors(vectors, VECTOR, self.k)
         peak = v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])]
         v = v * np.where(peak < 0, -1.0, 1.0)
         outs = [f"{self.prefix}{i}" for i in range(v.shape[1])]
@@ -80,7 +69,8 @@ class TruncatedSvd:
             "source": self.source,
             "outs": outs,
             "loadings": v.tolist(),
-            "singular": svd.s.toArray().tolist(),
+            "singular": singular.tolist(),
+            "residual": residual,
         }
         return SvdModel(params)
 
@@ -148,23 +138,19 @@ class RbfModel(Fitted):
         p = self.params
         df = as_vector(df, p["source"])
         for k, centres in p["centres"].items():
-            df = df.withColumn(f"cluster_rbf_{k}", centre_similarity(F.col(VECTOR), np.array(centres), p["gamma"]))
+            df = df.withColumn(f"cluster_rbf_{k}", centre_similarity(df, np.array(centres), p["gamma"]))
         return df.drop(VECTOR)
 
 
-def centre_similarity(vector: Column, centres: np.ndarray, gamma: float) -> Column:
+def centre_similarity(df: DataFrame, centres: np.ndarray, gamma: float) -> Column:
     """``exp(-gamma * distance)`` to every centre, in Arrow batches."""
-    norms = (centres**2).sum(axis=1)
+    norms, flat = (centres**2).sum(axis=1), np.ascontiguousarray(centres.T)
 
-    @F.pandas_udf("array<double>")
-    def similarity(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        rows = np.vstack(x.to_numpy())
-        squares = (rows**2).sum(axis=1)[:, None] + norms[None, :] - 2 * rows @ centres.T
-        return pd.Series(list(np.exp(-gamma * np.sqrt(np.maximum(squares, 0.0)))))
+    def similarity(at: np.ndarray, value: np.ndarray, n: np.ndarray) -> np.ndarray:
+        own = row_products(np.zeros(len(at), np.int64), value**2, n, np.ones((1, 1)))
+        return np.exp(-gamma * np.sqrt(np.maximum(own + norms - 2 * row_products(at, value, n, flat), 0.0)))
 
-    return similarity(vector_to_array(vector))
+    return per_row(df, F.col(VECTOR), similarity)
 
 
 class ClusterRbf:

@@ -257,6 +257,33 @@ def svd_of_flags(spark, sf):
     return model.transform(wide).select("id", *r6(*model.feature_names()))
 
 
+_CELLS = """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS a, l_discount * 100 AS b, l_tax * 100 AS c FROM lineitem),
+g AS (SELECT sum(a * a) AS aa, sum(b * b) AS bb, sum(c * c) AS cc, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * c) AS bc FROM x)"""
+
+
+@query(
+    "e13_svd_keeps_lengths",
+    _CELLS
+    + """ SELECT l_orderkey, l_linenumber, round(sqrt(a * a + b * b + c * c), 6) AS length,
+    round(ln(aa + bb + cc), 6) AS log_energy, round(ln(aa * aa + bb * bb + cc * cc + 2 * (ab * ab + ac * ac + bc * bc)), 6) AS log_spread
+    FROM x CROSS JOIN g""",
+)
+def svd_keeps_lengths(spark, sf):
+    """All components: scores have the lengths of the rows, singular values the first two moments of the Gram matrix."""
+    percent = [(F.col(c) * 100).alias(n) for c, n in (("l_discount", "b"), ("l_tax", "c"))]
+    rows = X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), *percent)
+    model = V.TruncatedSvd(["a", "b", "c"], 3).fit(rows)
+    square = [s * s for s in model.params["singular"]]
+    length = F.sqrt(sum((F.col(c) * F.col(c) for c in model.feature_names()), F.lit(0.0)))
+    return model.transform(rows).select(
+        "l_orderkey",
+        "l_linenumber",
+        F.round(length, 6).alias("length"),
+        F.lit(round(math.log(sum(square)), 6)).alias("log_energy"),
+        F.lit(round(math.log(sum(s * s for s in square)), 6)).alias("log_spread"),
+    )
+
+
 _PAIR = """WITH x AS (SELECT l_quantity AS a, l_discount * 100 AS b FROM lineitem),
 g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM x),
 e AS (SELECT *, (aa + bb) / 2 + sqrt(pow((aa - bb) / 2, 2) + ab * ab) AS l1 FROM g),

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -59,6 +61,18 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     store.delete(place, True)
 
 
+@contextmanager
+def settled(df: DataFrame) -> Iterator[DataFrame]:
+    """``settle`` for work that ends inside the block: the table is deleted afterwards, also after a failure."""
+    spark = df.sparkSession
+    path = shared_folder(spark, "table")
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove_folder(spark, path)
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """True when a measured row count and text size are inside the broadcast bounds."""
     numeric_bytes = 16 * len(df.columns)
