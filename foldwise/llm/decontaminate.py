@@ -36,6 +36,7 @@ from foldwise.llm.words import (
     word_hashes,
     word_spans,
 )
+from foldwise.session import settle
 
 # words of benchmark items that are searched for in one pass, about 20 bytes a word in each task
 PART_CHARS = 8_000_000
@@ -222,19 +223,26 @@ def find_contamination(
     """Adds ``out``: number of words, hit words, hit stretches and sorted ids of the items found in each text.
 
     A column already named ``out`` is replaced; ``keep`` names the columns to return besides it.
+    A benchmark of several parts takes one pass for each, written in the shared folder before the next: a task
+    holds one part, the driver two.
     """
     context = documents.sparkSession.sparkContext
     keep = [c for c in (documents.columns if keep is None else keep) if c != out]
     done = documents.select(*[F.col(quoted(c)) for c in dict.fromkeys([*keep, text])])
-    parts = list(benchmark_parts(benchmark, item, item_text, width)) or [Part([], [], width)]
-    for k, part in enumerate(parts):
+    parts = benchmark_parts(benchmark, item, item_text, width)
+    part, later = next(parts, None) or Part([], [], width), False
+    while part is not None:
         sent = context.broadcast(part)
-        last = k == len(parts) - 1
-        carried = keep if last else list(dict.fromkeys([*keep, text]))
-        if k:  # what the parts before found rides along
+        part = next(parts, None)
+        carried = keep if part is None else list(dict.fromkeys([*keep, text]))
+        if later:  # what the parts before found rides along
             done = done.withColumnRenamed(out, BEFORE)
-        done = map_text(done, text, out, RESULT, _searcher(sent, width, k > 0), keep=[*carried, *[BEFORE] * (k > 0)])
+        done = map_text(done, text, out, RESULT, _searcher(sent, width, later), keep=[*carried, *[BEFORE] * later])
         done = done.drop(BEFORE)
+        if part is not None:
+            done = settle(done)
+            sent.destroy()
+        later = True
     return done
 
 
