@@ -39,6 +39,11 @@ def values(vector: Column) -> Column:
     return F.unwrap_udt(vector)["values"]
 
 
+def total(vector: Column) -> Column:
+    """The sum of the entries, whatever the width."""
+    return F.aggregate(values(vector), F.lit(0.0), lambda a, x: a + x)
+
+
 def width(vector: Column) -> Column:
     raw = F.unwrap_udt(vector)
     return F.coalesce(raw["size"], F.size(raw["values"]))

@@ -99,12 +99,11 @@ def one_hot(spark, sf):
 
 @query("e5_one_hot_vector", _LEVELS + ", hits AS (SELECT id FROM long JOIN flags USING (feature, value)) SELECT w.id, count(h.id) AS n_flags FROM wide w LEFT JOIN hits h ON w.id = h.id GROUP BY w.id")
 def one_hot_vector(spark, sf):
-    from pyspark.ml.functions import vector_to_array
+    from foldwise.encoders.sparse import total
 
     rows, model = _one_hot(spark, sf)
     done = model.assemble(rows)
-    total = F.aggregate(vector_to_array("flags"), F.lit(0.0), lambda a, x: a + x)
-    return done.select("id", total.cast("bigint").alias("n_flags"))
+    return done.select("id", total(F.col("flags")).cast("bigint").alias("n_flags"))
 
 
 _COMBINED = ["cat1", "cat3", "cat1_cat2"]

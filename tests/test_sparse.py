@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from foldwise.encoders import projection as V, sparse as S
 
@@ -133,3 +133,9 @@ def test_dense_form_is_the_same(wide):
     model = V.TruncatedSvd(["c7", "c0", "c1", "c4", "c9"], 2).fit(few)
     dense = few.orderBy("id").drop("id").toPandas().to_numpy()
     assert np.allclose(model.params["singular"], np.linalg.svd(dense, compute_uv=False)[:2])
+
+
+def test_total_of_a_vector_too_wide_for_a_dense_one(spark):
+    rows = [Vectors.sparse(2**31 - 1, [5, 2**31 - 2], [1.0, 2.0]), Vectors.sparse(9, [], []), Vectors.dense(1.0, 0.5), None]
+    found = _frame(spark, rows).select("id", S.total(F.col("v")).alias("t")).orderBy("id").collect()
+    assert [r["t"] for r in found] == [3.0, 0.0, 1.5, None]
