@@ -221,6 +221,41 @@ def test_knn_against_brute_force(spark, blocks):
     assert votes["c0"] + votes["c1"] + votes["c2"] == pytest.approx(1)
 
 
+@pytest.mark.parametrize("kind", ["plain", "ties", "far", "nan"])
+def test_nearest_in_a_block_is_exact(kind):
+    rnd = np.random.RandomState(3)
+    a, b = rnd.normal(size=(30, 6)), rnd.normal(size=(5000, 6))
+    if kind == "ties":
+        a, b = rnd.randint(0, 3, a.shape).astype(float), rnd.randint(0, 3, b.shape).astype(float)
+    elif kind == "far":
+        a, b = a + 1e6, b + 1e6
+    elif kind == "nan":
+        b[7, 2] = np.nan
+    d = knn._distances(a, b)
+    order = np.argsort(d, axis=1, kind="stable")[:, :9]
+    r, c, dist = knn._nearest(a, b, 9)
+    assert (r == np.repeat(np.arange(30), 9)).all() and (c == order.ravel()).all()
+    assert np.array_equal(dist, np.take_along_axis(d, order, axis=1).ravel())
+
+
+def test_small_cells_share_a_pack():
+    rnd = np.random.RandomState(4)
+    pivots, counts = rnd.normal(size=(64, 3)), rnd.randint(0, 40, 64)
+    counts[9] = 500
+    packs = knn._packs(pivots, counts, 100)
+    sizes = np.bincount(packs, weights=counts)
+    assert len(sizes) <= 2 * counts.sum() / 100 + 1 and sizes[sizes > 100].tolist() == [500]
+
+
+def test_a_query_reaches_a_block_once(spark, monkeypatch):
+    rnd = np.random.RandomState(5)
+    df = spark.createDataFrame([(i, rnd.normal(size=64).tolist()) for i in range(900)], "id int, v array<double>")
+    seen = []
+    monkeypatch.setattr(knn, "_packs", lambda *a, made=knn._packs: seen.append(made(*a)) or seen[-1])
+    got = knn.knn_join(df.filter("id % 5 = 0"), df, "id", "v", 3, others=True)
+    assert seen[0].max() == 0 and got.count() == 540
+
+
 def test_more_than_a_byte_of_levels(spark):
     df = spark.range(1000).select(F.col("id"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("a"))
     codes = C.OrdinalEncode(["a"], key="id").fit(df).transform(df)
