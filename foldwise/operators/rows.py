@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from foldwise.functions.hashing import hash_hex, hash_int, hash_unit
-from foldwise.session import settle
+from foldwise.session import fits_broadcast, settle
 
 
 def sort(df: DataFrame, keys: Sequence) -> DataFrame:
@@ -117,6 +117,9 @@ def stratified_kfold(df: DataFrame, key: str, label: str, k: int, seed=2016, out
         F.col("_range").alias("_range2"),
         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_before"),
     )
+    # at most 65 536 rows per label: measured, and broadcast if small, so that the rows move once
+    shift = settle(shift)
+    shift = F.broadcast(shift) if fits_broadcast(shift) else shift
     local = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_h", key)) - 1
     placed = tagged.withColumn("_place", local).join(
         shift, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_range2"))

@@ -184,6 +184,12 @@ def oof_predict(
     fold model, ``test-fulltrain`` the test rows of a refit on all rows, with
     the rounds scaled by k/(k-1).
     """
+    # every fold reads the training rows several times, and each of its models the test rows
+    return _oof_of_tables(settle(train), None if test is None else settle(test), preset, k, n_splits, n_bags, full, fold_of)
+
+
+def _oof_of_tables(train, test, preset: Preset, k: int, n_splits: int, n_bags: int, full: bool, fold_of) -> DataFrame:
+    """``oof_predict`` of tables that are computed already."""
     assign = fold_of or (lambda d, split: kfold(d, preset.key, k, 2016 + 17 * split))
     pieces = []
 
@@ -204,10 +210,11 @@ def oof_predict(
     def sampled(rows, cols, seed):
         return bag(rows, cols, preset.key, preset.sample, preset.feature_sample, preset.svd, seed)
 
-    # every fold reads the training rows several times
-    train = settle(train)
     for split in range(n_splits):
         folded = assign(train, split)
+        if fold_of is not None:
+            # folds that need a shuffle are dealt once; a hash of the key is computed again
+            folded = settle(folded)
         for fold in range(k):
             tables = {"train": folded.filter(F.col("fold") == fold).drop("fold")}
             if test is not None:
@@ -265,21 +272,25 @@ def train_run(
     fold_of = None
     if preset.classes is not None:
         fold_of = lambda d, split: stratified_kfold(d, preset.key, preset.target, k, 2019 + 17 * split)
-    raw = settle(oof_predict(train, test, preset, k, n_splits, n_bags, fold_of=fold_of))
+    # the folds and the truth of the scores read one table
+    train, test = settle(train), settle(test)
+    raw = settle(_oof_of_tables(train, test, preset, k, n_splits, n_bags, True, fold_of))
     _, back = preset.transforms()
     final = settle(aggregate_predictions(raw, preset.key, preset.agg, back, preset.order, value=values))
     own = aggregate_predictions(raw.filter("part = 'train'"), preset.key, preset.agg, back, preset.order, ("fold", "split"), values)
     truth = train.select(preset.key, preset.target)
-    scored = own.join(truth, preset.key)
-    overall = final.filter("part = 'train'").join(truth, preset.key)
+    # only what the score needs goes through the joins
+    guess = F.col("value") if preset.classes is None else argmax(values).alias("_guess")
+    scored = own.select("split", "fold", preset.key, guess).join(truth, preset.key)
+    overall = final.filter("part = 'train'").select(preset.key, guess).join(truth, preset.key)
     if preset.classes is None:
         name, error = "mae", F.abs(F.col("value") - F.col(preset.target))
         folds = scored.groupBy("split", "fold").agg(F.avg(error).alias("m"))
         score = overall.agg(F.avg(error)).first()[0]
     else:
-        name, best = "f1", argmax(values)
-        folds = f1_by(scored.withColumn("_guess", best), preset.target, "_guess", ("split", "fold")).withColumnRenamed("weighted_f1", "m")
-        score = f1_by(overall.withColumn("_guess", best), preset.target, "_guess", ()).first()[0]
+        name = "f1"
+        folds = f1_by(scored, preset.target, "_guess", ("split", "fold")).withColumnRenamed("weighted_f1", "m")
+        score = f1_by(overall, preset.target, "_guess", ()).first()[0]
     spread = folds.agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std")).first()
     run = run_name(preset, score, moment)
     for part in PARTS:
@@ -355,7 +366,15 @@ def level_inputs(train: DataFrame, test: DataFrame, preset: Preset, root: str) -
 
     rows, inputs = made(train, "train")
     others, _ = made(test, "test")
-    return settle(rows), settle(others), inputs
+    return rows, others, inputs
+
+
+def _median(value: Column) -> Column:
+    """Of the few values of one key: a sorted list, which takes far less memory per key than a table of counts."""
+    found = F.array_sort(F.collect_list(value))
+    n = F.size(found)
+    low, high = F.get(found, F.floor((n - 1) / 2).cast("int")), F.get(found, F.floor(n / 2).cast("int"))
+    return F.when(low == high, low).otherwise(0.5 * low + 0.5 * high)
 
 
 def aggregate_predictions(
@@ -372,7 +391,7 @@ def aggregate_predictions(
     ``inverse_first`` is transform-mean and transform-median, ``agg_first`` is mean-transform.
     """
     back = inverse or (lambda c: c)
-    combine = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5))}[agg]
+    combine = {"mean": F.avg, "median": _median}[agg]
     values = [value] if isinstance(value, str) else list(value)
     if order == "inverse_first":
         return p.groupBy(*by, key).agg(*[combine(back(F.col(v))).alias(v) for v in values])

@@ -307,3 +307,29 @@ def test_joint_factorisation_machine(spark):
     assert model.converged and model.gradient < 1e-3
     right = model.transform(df).filter("prediction = label").count()
     assert right > max(np.bincount(y)) + 60
+
+
+def test_out_of_fold_reads_computed_tables(spark):
+    """The folds and the test rows are computed once, not again by every model and every reader of the predictions."""
+    from foldwise.operators.rows import stratified_kfold
+    from foldwise.plans import stacking as S
+
+    rows = spark.range(60).selectExpr("id", "cast(id % 7 as double) as x", "id % 2 as y")
+    other = rows.withColumn("id", F.col("id") + 100).join(rows.select("x").distinct(), "x")
+    preset = S.Preset("line", ("x",), LinearRegression(solver="normal"), target="y")
+    found = S.oof_predict(rows, other, preset, k=2, fold_of=lambda d, s: stratified_kfold(d, "id", "y", 2, s))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    assert {(r["part"], r["count"]) for r in found.groupBy("part").count().collect()} == {("train", 60), ("test-foldavg", 120), ("test-fulltrain", 60)}
+
+
+def test_median_of_predictions_is_the_percentile(spark):
+    from foldwise.plans import stacking as S
+
+    values = [(1, 3.0), (1, 0.1), (1, 0.2), (2, 0.1), (2, 0.7), (3, None), (4, None), (4, 5.0), (5, float("nan")), (5, 1.0), (5, 2.0), (None, 4.0), (6, float("inf")), (6, float("inf"))]
+    p = spark.createDataFrame(values, "id int, value double").withColumn("part", F.lit("train"))
+    got = S.aggregate_predictions(p, "id", "median").select("id", "value").collect()
+    want = p.groupBy("id").agg(F.percentile("value", F.lit(0.5)).alias("value")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    plan = S.aggregate_predictions(p, "id", "median")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan  # its table of counts per key
