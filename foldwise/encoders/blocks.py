@@ -199,14 +199,26 @@ def session_features(
     Blocks are joined by the session id. A session without a click has label 0;
     ends without an address keep their session with null attributes.
     """
-    rows = join_sessions(queries, clicks, plans, "sid", "left")
+    # counted, cut and read by the history: joined once
+    rows = settle(join_sessions(queries, clicks, plans, "sid", "left"))
     rows = settle(history_features(rows, "pid", "req_time", "sid", "click_mode"))
     rows = od_features(rows, addresses, dim_key, how="left", ellipsoid=ellipsoid)
     rows = profile_features(rows, profiles, "pid", components, raw_cols)
     rows = time_features(plan_features(rows, "plans"), "req_time", "plan_time")
-    text = settle(rows)
-    done = text.join(plan_text_components(text.select("sid", "mode_text"), components), "sid")
-    return done.drop("plans", "mode_text", "req_time", "plan_time", "last_time", "o", "d")
+    # the lists are described, so they are not written again
+    text = settle(rows.drop("plans").filter("sid is not null"))
+    scored = plan_text_components(text, components)
+    found = [c for c in scored.columns if c not in text.columns]
+    # sessions that come more than once meet the components of each other; all others stay where they are
+    repeated = settle(text.groupBy("sid").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("sid"))
+    if repeated.isEmpty():
+        done = scored
+    else:
+        many = scored.join(repeated, "sid", "left_semi")
+        met = many.drop(*found).join(many.select("sid", *found), "sid")
+        done = scored.join(repeated, "sid", "left_anti").unionByName(met)
+    done = done.drop("mode_text", "req_time", "plan_time", "last_time", "o", "d")
+    return done.select("sid", *[c for c in done.columns if c != "sid"])
 
 
 def session_plan_features(items: DataFrame, keys: Sequence[str], position: Sequence[str], ties: str = "first") -> DataFrame:

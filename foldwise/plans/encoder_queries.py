@@ -433,9 +433,11 @@ def session_table(spark, sf):
     """All blocks together, split into roles by the column prefix."""
     sessions = X.sessions(spark, sf)
     # one plan list per session: the list of the line whose number is smallest
-    lists = X.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sid"), F.col("l_linenumber"), X.line_key().alias("line"))
-    first = lists.groupBy("sid").agg(F.min_by("line", F.struct("l_linenumber", "line")).alias("line"))
-    plans = first.join(X.plan_lists(spark, sf).select(F.col("sid").alias("line"), "plans"), "line").select("sid", "plans")
+    # a line without an order has no session; the text of a list is made for the chosen lines only
+    lines = X.table(spark, sf, "lineitem").filter("l_orderkey is not null").withColumn("line", X.line_key())
+    first = lines.groupBy("l_orderkey").agg(F.min_by("line", F.struct("l_linenumber", "line")).alias("line"))
+    chosen = X.plan_lists_of(lines.join(first, ["l_orderkey", "line"]), ["l_orderkey"])
+    plans = chosen.select(F.col("l_orderkey").alias("sid"), "plans")
     done = blocks.session_features(sessions, plans, X.clicks(spark, sf), X.profiles(spark, sf), X.addresses(spark, sf), ellipsoid=False)
     found = roles(done)
     return done.select("sid", "click_mode", *found["cat"], *found["num"], *[F.round(c, 6).alias(c) for c in found["svd"]])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from foldwise.encoders import categorical as C, numeric as N, projection as V
+from foldwise.encoders import blocks, categorical as C, numeric as N, projection as V
 from foldwise.operators import knn
 from foldwise.plans import stacking as S
 
@@ -270,3 +270,18 @@ def test_null_and_repeated_ids_keep_their_own_values(spark, small):
     model.small = small
     got = [(r["id"], r["a"], r["a_count"]) for r in model.transform(df).collect()]
     assert sorted(got, key=str) == sorted([(None, "x", 2), (None, "y", 1), (7, "x", 2), (7, "z", 1), (8, None, 0)], key=str)
+
+
+def test_repeated_sessions_meet_each_other_in_the_session_table(spark):
+    base = spark.range(12).selectExpr("id as sid", "id % 3 as pid", "timestamp_ntz'2024-01-01' + make_dt_interval(0, int(id)) as req_time", "timestamp_ntz'2024-01-02' as plan_time", "'1.00,2.00' as o", "'2.00,1.00' as d")
+    text = F.format_string('[{"distance":"%d","price":"5","eta":"3","transport_mode":"%d"}]', F.col("sid"), F.col("sid") % 4 + 1)
+    plans = base.select("sid", text.alias("plans"))
+    # session 3 has two lists
+    plans = plans.union(plans.filter("sid = 3").withColumn("plans", F.lit("[]")))
+    clicks = base.select("sid", F.lit(2).alias("click_mode")).filter("sid > 1")
+    profiles = spark.range(3).select(F.col("id").alias("pid"), *[(F.col("id") * (i + 1) % 5).cast("double").alias(f"p{i}") for i in range(4)])
+    ends = spark.createDataFrame([("1.00,2.00", "a", 1, "s"), ("2.00,1.00", "b", 2, "t")], "lntlat string, district string, adcode int, street_number string")
+    done = blocks.session_features(base, plans, clicks, profiles, ends, components=2, raw_cols=("p0",), ellipsoid=False)
+    found = {r["sid"]: r["count"] for r in done.groupBy("sid").count().collect()}
+    assert found == {i: 4 if i == 3 else 1 for i in range(12)}
+    assert done.columns[0] == "sid" and "plans" not in done.columns

@@ -333,3 +333,14 @@ def test_median_of_predictions_is_the_percentile(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
     plan = S.aggregate_predictions(p, "id", "median")._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile" not in plan  # its table of counts per key
+
+
+@pytest.mark.parametrize("name", ["m3_bagging", "e17_e21_session_table"])
+def test_results_join_nothing_again(spark, name):
+    """What is read more than once is computed first: the result is row-wise work on written tables."""
+    from compare import ROOT
+
+    from foldwise.plans.catalogue import QUERIES
+
+    plan = QUERIES[name](spark, f"{ROOT}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
