@@ -4,7 +4,8 @@ Each class has a constant, a weight per input and a short vector per input;
 the score of a class is its linear form plus the products of the vectors of
 all pairs of inputs. The softmax loss of all classes together is minimised by
 a limited-memory quasi-Newton method: a step asks for loss and gradient, which
-every task sums over its rows in numpy and Spark sums over the tasks.
+every task sums over its rows in numpy and Spark sums over the tasks. The rows
+are written once as blocks of numbers, which all steps read.
 """
 
 from __future__ import annotations
@@ -13,21 +14,19 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from foldwise.plans.blocks import Blocks, matrix, stretches
 from foldwise.plans.boosting import softmax
-from foldwise.session import settle
 
 
 def scores(x: np.ndarray, theta: np.ndarray, n_class: int, factors: int) -> tuple[np.ndarray, np.ndarray]:
     """Scores (rows, classes) and the sums of the factors (rows, classes, factors)."""
     width = x.shape[1]
     b, w, v = _parts(theta, n_class, width, factors)
-    s = np.einsum("nw,cwf->ncf", x, v)
-    squares = np.einsum("nw,cwf->ncf", x**2, v**2)
-    return b + x @ w.T + 0.5 * (s**2 - squares).sum(2), s
+    s = (x @ v.transpose(1, 0, 2).reshape(width, -1)).reshape(len(x), n_class, factors)
+    return b + x @ w.T + 0.5 * ((s**2).sum(2) - x**2 @ (v**2).sum(2).T), s
 
 
 def _parts(theta: np.ndarray, n_class: int, width: int, factors: int):
@@ -44,8 +43,10 @@ def loss_and_gradient(x, y, weight, theta, n_class, factors) -> tuple[float, np.
     d = p
     d[rows, y] -= 1
     d = d * weight[:, None]
-    _, _, v = _parts(theta, n_class, x.shape[1], factors)
-    gv = np.einsum("nw,nc,ncf->cwf", x, d, s) - np.einsum("nw,nc->cw", x**2, d)[:, :, None] * v
+    width = x.shape[1]
+    _, _, v = _parts(theta, n_class, width, factors)
+    pairs = x.T @ (d[:, :, None] * s).reshape(len(x), -1)
+    gv = pairs.reshape(width, n_class, factors).transpose(1, 0, 2) - (d.T @ x**2)[:, :, None] * v
     return loss, np.concatenate([d.sum(0), (d.T @ x).ravel(), gv.ravel()])
 
 
@@ -106,32 +107,39 @@ class SoftmaxFM:
         mean = np.array([f[0] for f in facts])
         scale = np.array([f[1] or 1.0 for f in facts])
         weight = F.lit(1.0) if self.weight is None else F.col(self.weight).cast("double")
-        rows = settle(df.select(values.alias("x"), F.col(self.label).cast("int").alias("y"), weight.alias("w")))
-        total = rows.agg(F.sum("w")).first()[0]
+        rows = df.select(values.alias("x"), F.col(self.label).cast("int").alias("y"), weight.alias("w"))
         n_class, factors, penalty = self.n_class, self.factors, self.penalty
         size = n_class * (1 + width + width * factors)
 
-        def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray]:
-            def run(batches):
-                out = np.zeros(size + 1)
-                for batch in batches:
-                    if batch.num_rows:
-                        x = (batch.column(0).flatten().to_numpy().reshape(-1, width) - mean) / scale
-                        loss, grad = loss_and_gradient(x, batch.column(1).to_numpy(), batch.column(2).to_numpy(), theta, n_class, factors)
-                        out += np.append(loss, grad)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(out)], names=["slot", "v"])
-
-            sums = rows.mapInArrow(run, "slot long, v double").groupBy("slot").agg(F.sum("v").alias("v")).toPandas()
-            out = np.zeros(size + 1)
-            out[sums["slot"].to_numpy()] = sums["v"].to_numpy()
-            out /= total
-            # the constants are free
-            free = np.append(np.zeros(n_class), theta[n_class:])
-            return out[0] + penalty / 2 * (free @ free), out[1:] + penalty * free
-
-        start = np.random.default_rng(self.seed).normal(0, 0.05, size)
-        start[: n_class * (1 + width)] = 0
-        theta, norm, reached = minimise(evaluate, start, self.max_iter, self.tol)
+        def packed(batch):
+            x = (matrix(batch.column(0), width) - mean) / scale
+            y, w = (batch.column(k).to_numpy() for k in (1, 2))
+            return ([x[at], y[at], w[at]] for at in stretches(len(x), width))
+
+        def read(block):
+            return np.frombuffer(block[0]).reshape(-1, width), np.frombuffer(block[1], np.int32), np.frombuffer(block[2])
+
+        with Blocks(["x", "y", "w"]) as table:
+            table.write(rows, packed, deal=True)
+            total = table.sums(lambda blocks: np.array([sum(read(b)[2].sum() for b in blocks)], float), 1)[0]
+
+            def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray]:
+                def work(blocks):
+                    out = np.zeros(size + 1)
+                    for block in blocks:
+                        loss, grad = loss_and_gradient(*read(block), theta, n_class, factors)
+                        out[0] += loss
+                        out[1:] += grad
+                    return out
+
+                out = table.sums(work, size + 1) / total
+                # the constants are free
+                free = np.append(np.zeros(n_class), theta[n_class:])
+                return out[0] + penalty / 2 * (free @ free), out[1:] + penalty * free
+
+            start = np.random.default_rng(self.seed).normal(0, 0.05, size)
+            start[: n_class * (1 + width)] = 0
+            theta, norm, reached = minimise(evaluate, start, self.max_iter, self.tol)
         return SoftmaxFMModel(theta, mean, scale, n_class, factors, self.features, norm, reached)
 
 
