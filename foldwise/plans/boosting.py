@@ -5,8 +5,9 @@ number or two classes, one per class for more), all of them level by level: a
 level is one pass in which every task adds up gradients and curvatures per
 output, node, input and bin in numpy, Spark sums these tables over the tasks,
 and the driver picks the splits. What the driver receives has the size of the
-model, not of the data. Margins of the rows are written anew every few rounds;
-in between they follow from the trees grown since.
+model, not of the data. The bins are written once as blocks of bytes. Margins of
+the rows are written anew every few rounds; in between they follow from the
+trees grown since.
 """
 
 from __future__ import annotations
@@ -16,16 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foldwise.session import settle
+from foldwise.plans.blocks import Blocks, blocks_of, matrix, stretches
 
 # rounds whose trees are walked again before the margins are written
 ROUNDS_TOGETHER = 8
 # distinct values of an input that are all cut points; beyond, quantiles
 ALL_VALUES = 64
+# nodes of a tree up to which rows descend as masks of whole blocks
+MASKED_NODES = 127
 
 
 @dataclass(frozen=True)
@@ -42,14 +44,29 @@ class Tree:
         return Tree(np.full(n, -1), np.zeros(n, int), np.zeros(n))
 
     def nodes(self, bins: np.ndarray) -> np.ndarray:
-        """The deepest node each row reaches."""
-        at, rows = np.zeros(len(bins), int), np.arange(len(bins))
+        """The deepest node each row reaches; ``bins`` has one line per input."""
+        n = bins.shape[1]
+        if len(self.feature) <= MASKED_NODES:
+            at = np.zeros(n, np.uint8)
+            self._mark(0, bins, np.ones(n, bool), at)
+            return at
+        at, rows = np.zeros(n, int), np.arange(n)
         for _ in range(int(np.log2(len(self.feature) + 1))):
             inner = self.feature[at] >= 0
-            right = bins[rows, np.maximum(self.feature[at], 0)] > self.bin[at]
+            right = bins[np.maximum(self.feature[at], 0), rows] > self.bin[at]
             at = np.where(inner, 2 * at + 1 + right, at)
         return at
 
+    def _mark(self, i: int, bins: np.ndarray, here: np.ndarray, at: np.ndarray) -> None:
+        """Enters the nodes below node i for the rows that are ``here``."""
+        f = self.feature[i]
+        if f < 0:
+            at |= here.view(np.uint8) * np.uint8(i)
+            return
+        right = bins[f] > self.bin[i]
+        self._mark(2 * i + 1, bins, here & ~right, at)
+        self._mark(2 * i + 2, bins, here & right, at)
+
     def values(self, bins: np.ndarray) -> np.ndarray:
         return self.value[self.nodes(bins)]
 
@@ -94,10 +111,6 @@ def fair_steps(c: float):
 OBJECTIVES = {"softmax": _softmax_steps, "logistic": _logistic_steps, "squared": _squared_steps}
 
 
-def _matrix(column: pa.Array, width: int, kind) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
-
-
 def _bin_values(values: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
     """Number of cut points below each value; a missing value lies above all."""
     return np.stack([np.searchsorted(c, values[:, j], "left") for j, c in enumerate(cuts)], axis=1)
@@ -176,31 +189,37 @@ class Boosting:
         start = 0.0
         if outputs == 1 and self.objective != "logistic":
             start = float(df.agg(F.avg(F.col(self.label).cast("double"))).first()[0])
-        rows = settle(
-            df.select(
-                _binned(cuts)(vector_to_array(self.features)).alias("bins"),
-                F.col(self.label).cast("double").alias("y"),
-                weight.alias("w"),
-                F.array(*[F.lit(start)] * outputs).alias("m"),
-            )
-        )
+        rows = df.select(vector_to_array(self.features).alias("x"), F.col(self.label).cast("double").alias("y"), weight.alias("w"))
+        n_bins = max(len(c) for c in cuts) + 1
+        kind = np.min_scalar_type(n_bins)
+
+        def packed(batch):
+            values = matrix(batch.column(0), width)
+            y, w = (batch.column(k).to_numpy() for k in (1, 2))
+            for at in stretches(len(y), max(width, outputs)):
+                bins = _bin_values(values[at], cuts).T.astype(kind)
+                yield bins, y[at], w[at], np.full((len(y[at]), outputs), start)
+
         done, recent = [], []
-        for _ in range(self.rounds):
-            trees = self._grow(rows, recent, outputs, width, max(len(c) for c in cuts) + 1, steps)
-            done.append(trees)
-            recent.append(trees)
-            if len(recent) == ROUNDS_TOGETHER:
-                rows, recent = settle(rows.select("bins", "y", "w", _moved(recent, width, outputs)("bins", "m").alias("m"))), []
+        with Blocks(["bins", "y", "w", "m"]) as table:
+            table.write(rows, packed, deal=True)
+            for k in range(self.rounds):
+                trees = self._grow(table, kind, recent, outputs, width, n_bins, steps)
+                done.append(trees)
+                recent.append(trees)
+                if len(recent) == ROUNDS_TOGETHER and k + 1 < self.rounds:
+                    table.write(table.rows, _moved(recent, kind, width, outputs))
+                    recent = []
         return BoostingModel(done, cuts, outputs, start, self.objective, self.features)
 
-    def _grow(self, rows, recent, outputs, width, n_bins, steps) -> list[Tree]:
+    def _grow(self, table, kind, recent, outputs, width, n_bins, steps) -> list[Tree]:
         trees = [Tree.empty(self.depth) for _ in range(outputs)]
         for level in range(self.depth):
             first, n_nodes = 2**level - 1, 2**level
             open_ = {(k, i) for k in range(outputs) for i in range(first, first + n_nodes) if self._reached(trees[k], i)}
             if not open_:
                 break
-            found = _histograms(rows, recent, trees, outputs, width, n_bins, first, n_nodes, steps)
+            found = _histograms(table, kind, recent, trees, outputs, width, n_bins, first, n_nodes, steps)
             for k, i in sorted(open_):
                 g, h = found[k, i - first]
                 gain, f, b, left, right = best_split(g, h, self.penalty, self.least)
@@ -217,54 +236,42 @@ class Boosting:
         return i == 0 or tree.feature[(i - 1) // 2] >= 0
 
 
-def _binned(cuts):
-    @F.pandas_udf("array<int>")
-    def fn(values: pd.Series) -> pd.Series:
-        return pd.Series(list(_bin_values(np.vstack(values.to_numpy()), cuts).astype("int32"))) if len(values) else pd.Series([], dtype=object)
-
-    return fn
+def _read(block, kind, width: int, outputs: int):
+    bins = np.frombuffer(block[0], kind).reshape(width, -1)
+    return bins, np.frombuffer(block[1]), np.frombuffer(block[2]), np.frombuffer(block[3]).reshape(-1, outputs)
 
 
-def _moved(rounds, width, outputs):
-    @F.pandas_udf("array<double>")
-    def fn(bins: pd.Series, m: pd.Series) -> pd.Series:
-        if not len(bins):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(margins(rounds, np.vstack(bins.to_numpy()), np.vstack(m.to_numpy()))))
+def _moved(rounds, kind, width, outputs):
+    def work(batch):
+        for block in blocks_of([batch]):
+            bins, y, w, m = _read(block, kind, width, outputs)
+            yield bins, y, w, margins(rounds, bins, m)
 
-    return fn
+    return work
 
 
-def _histograms(rows, recent, trees, outputs, width, n_bins, first, n_nodes, steps) -> np.ndarray:
+def _histograms(table, kind, recent, trees, outputs, width, n_bins, first, n_nodes, steps) -> np.ndarray:
     """Sums of gradients and curvatures (output, node, [gradient, curvature], input, bin) of one level."""
     shape = (outputs, n_nodes, 2, width, n_bins)
 
-    def run(batches):
+    def work(blocks):
         total = np.zeros(shape)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins = _matrix(batch.column(0), width, int)
-            m = margins(recent, bins, _matrix(batch.column(3), outputs, float))
-            g, h = steps(m, batch.column(1).to_numpy())
-            w = batch.column(2).to_numpy()[:, None]
-            g, h = g * w, h * w
+        for block in blocks:
+            bins, y, w, m = _read(block, kind, width, outputs)
+            g, h = (np.ascontiguousarray((s * w[:, None]).T) for s in steps(margins(recent, bins, m), y))
             for k, tree in enumerate(trees):
-                node = tree.nodes(bins) - first
-                here = np.flatnonzero((node >= 0) & (node < n_nodes))
+                node, here, gk, hk = tree.nodes(bins), bins, g[k], h[k]
+                inside = (node >= first) & (node < first + n_nodes)
+                if not inside.all():
+                    node, here, gk, hk = node[inside], bins[:, inside], gk[inside], hk[inside]
+                base = (node.astype(np.intp) - first) * n_bins
                 for j in range(width):
-                    slot = node[here] * n_bins + bins[here, j]
-                    for s, v in enumerate((g, h)):
-                        total[k, :, s, j] += np.bincount(slot, v[here, k], n_nodes * n_bins).reshape(n_nodes, n_bins)
-        flat = total.reshape(-1)
-        used = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], names=["slot", "v"])
+                    slot = base + here[j]
+                    for s, v in enumerate((gk, hk)):
+                        total[k, :, s, j] += np.bincount(slot, v, n_nodes * n_bins).reshape(n_nodes, n_bins)
+        return total.reshape(-1)
 
-    parts = rows.select("bins", "y", "w", "m").mapInArrow(run, "slot long, v double")
-    sums = parts.groupBy("slot").agg(F.sum("v").alias("v")).toPandas()  # as many rows as the level has bins
-    out = np.zeros(int(np.prod(shape)))
-    out[sums["slot"].to_numpy()] = sums["v"].to_numpy()
-    return out.reshape(shape)
+    return table.sums(work, int(np.prod(shape))).reshape(shape)  # as many rows reach the driver as the level has bins
 
 
 class BoostingModel:
@@ -282,8 +289,8 @@ class BoostingModel:
         def fn(values: pd.Series) -> pd.Series:
             if not len(values):
                 return pd.Series([], dtype=object)
-            bins = _bin_values(np.vstack(values.to_numpy()), cuts)
-            m, before, stages = np.full((len(bins), outputs), start), 0, []
+            bins = np.ascontiguousarray(_bin_values(np.vstack(values.to_numpy()), cuts).T)
+            m, before, stages = np.full((len(values), outputs), start), 0, []
             for stop in at:
                 m = margins(rounds[before:stop], bins, m)
                 stages.append(m)

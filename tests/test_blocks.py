@@ -39,3 +39,33 @@ def test_joint_fit_leaves_nothing(spark):
     before = _kept(spark)
     SoftmaxFM(2, factors=2, max_iter=5).fit(df)
     assert _kept(spark) == before
+
+
+def test_trees_by_masks_and_by_steps():
+    """Both ways down a tree end at the same nodes, also above early leaves."""
+    from foldwise.plans import boosting as G
+
+    rng = np.random.default_rng(4)
+    bins = rng.integers(0, 9, (3, 500)).astype(np.uint8)
+    tree = G.Tree.empty(4)
+    for i in range(15):
+        if i == 0 or (tree.feature[(i - 1) // 2] >= 0 and i % 5):
+            tree.feature[i], tree.bin[i] = i % 3, int(rng.integers(1, 8))
+    deep = G.Tree(*(np.append(a, np.full(2**9 - 1 - len(a), -1)) for a in (tree.feature, tree.bin, tree.value)))
+    assert len(tree.feature) <= G.MASKED_NODES < len(deep.feature)
+    assert len(set(tree.nodes(bins).tolist())) > 4
+    assert tree.nodes(bins).tolist() == deep.nodes(bins).tolist()
+
+
+def test_boosting_leaves_nothing_and_deals_its_rows(spark, monkeypatch):
+    from foldwise.plans import boosting as G
+
+    seen = []
+    close = B.Blocks.close
+    monkeypatch.setattr(B.Blocks, "close", lambda self: (seen.append(self.rows.columns), close(self)))
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(Vectors.dense(v), float(v[0] > 0)) for v in rng.normal(size=(80, 2)).tolist()], ["features", "label"]).coalesce(1)
+    before = _kept(spark)
+    model = G.Boosting("logistic", rounds=9, depth=1).fit(df)
+    assert seen == [["bins", "y", "w", "m"]] and _kept(spark) == before
+    assert model.transform(df).filter("prediction = label").count() >= 76
