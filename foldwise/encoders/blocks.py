@@ -63,7 +63,9 @@ def plan_features(df: DataFrame, plans: str, n_modes: int = N_MODES, ties: str =
 
 def plan_text_components(features: DataFrame, k: int = 10, prefix: str = "svd_plan_mode_") -> DataFrame:
     """Components of the TF-IDF of mode words and word pairs."""
-    weights = TfidfNgrams("mode_text", (1, 2)).fit(features).transform(features, "_tfidf")
+    # each read by several passes of a fit and by the result: computed once
+    features = settle(features)
+    weights = settle(TfidfNgrams("mode_text", (1, 2)).fit(features).transform(features, "_tfidf"))
     return TruncatedSvd("_tfidf", k, prefix).fit(weights).transform(weights).drop("_tfidf")
 
 

@@ -139,3 +139,26 @@ def test_total_of_a_vector_too_wide_for_a_dense_one(spark):
     rows = [Vectors.sparse(2**31 - 1, [5, 2**31 - 2], [1.0, 2.0]), Vectors.sparse(9, [], []), Vectors.dense(1.0, 0.5), None]
     found = _frame(spark, rows).select("id", S.total(F.col("v")).alias("t")).orderBy("id").collect()
     assert [r["t"] for r in found] == [3.0, 0.0, 1.5, None]
+
+
+def test_narrow_sums_are_those_of_sorted_entries():
+    from foldwise.encoders import sparse as S
+
+    rng = np.random.default_rng(6)
+    full = rng.normal(size=(50, 7)) * (rng.random((50, 7)) < 0.4)
+    lengths, at = (full != 0).sum(1), np.nonzero(full)[1]
+    value, block = full[full != 0], rng.normal(size=(7, 3))
+    one, two = np.zeros((7, 3)), np.zeros((7, 3))
+    S.add_narrow(one, at, value, lengths, block)
+    S.add_products(two, at, value, lengths, S.row_products(at, value, lengths, block))
+    assert np.allclose(one, two) and np.allclose(one, full.T @ full @ block)
+
+
+def test_text_components_parse_no_list_again(spark):
+    """The components are row-wise work on a written table: no list is parsed and no text cut for them again."""
+    from foldwise.encoders.blocks import plan_text_components
+
+    rows = spark.createDataFrame([(i, f"word_{i % 3} word_{i % 4}") for i in range(24)], "id long, t string").coalesce(2)
+    made = plan_text_components(rows.selectExpr("id", "reverse(reverse(t)) as mode_text"), 2)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "reverse" not in plan and made.count() == 24
