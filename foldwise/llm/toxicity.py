@@ -390,7 +390,8 @@ def score_documents(documents: DataFrame, labels: DataFrame, doc: str = "doc_id"
     known = labels.select(F.col(quoted(doc)).alias("doc_id"), F.col(quoted(label)).cast("double").alias("y")).filter(
         F.col("y").isNotNull() & ~held_out("doc_id")
     )
-    train = settle(slim.filter(~held_out("doc_id")).join(known, "doc_id").select("text", "y"))
+    # merged at every size: a broadcast of labels below some size would make the shuffle jump when they outgrow it
+    train = settle(slim.filter(~held_out("doc_id")).join(known.hint("merge"), "doc_id").select("text", "y"))
     n_toxic, n_clean = (float(x or 0) for x in train.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
     names = FEATURES.names
     if not n_toxic or not n_clean:

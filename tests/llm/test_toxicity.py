@@ -130,3 +130,14 @@ def test_lexicon_beyond_a_broadcast(spark, docs, monkeypatch):
     assert len({x for _, x in sent}) > 1
     monkeypatch.setattr(toxicity, "fits_broadcast", lambda df: False)
     assert scores() == sent
+
+
+def test_labels_are_never_broadcast(spark, monkeypatch):
+    """The rows that are learned from come from one kind of join at every size."""
+    from foldwise.llm import toxicity
+
+    plans, settle = [], toxicity.settle
+    monkeypatch.setattr(toxicity, "settle", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), settle(df))[1])
+    docs = spark.createDataFrame([(i, "you are a fool" if i % 2 else "a fine day") for i in range(40)], "doc_id long, text string")
+    toxicity.score_documents(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")).collect()
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
