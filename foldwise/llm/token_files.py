@@ -20,7 +20,7 @@ Documents are cut into shards by a range shuffle of (id, hash of the text,
 place of the row), so a single id or a row repeated any number of times may
 fill several shards.
 
-Only pieces that a task has not met are given to the tokenizer: the text is
+Only pieces that a worker has not met are given to the tokenizer: the text is
 cut where its pre-tokenizer always cuts (before white space, and behind a
 Latin letter that an ASCII sign or digit follows), and the ids of a piece do
 not depend on its neighbours. Texts that hold a special token are encoded
@@ -37,8 +37,10 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -50,7 +52,7 @@ from foldwise.llm.words import cut, quoted, text_buffer, word_hashes
 END = 0
 # characters of text in one shard
 SHARD_CHARS = 16_000_000
-# bytes of ids and hashes of met pieces that a task remembers
+# bytes of ids and hashes of met pieces that a worker remembers
 MEMORY_BYTES = 48 << 20
 # bytes of text that are cut into pieces at a time
 BLOCK_BYTES = 4 << 20
@@ -82,6 +84,18 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.append(starts[1:], n), np.searchsorted(starts, offsets)
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in ascending order, the first place of each, and for each hash its number among them; only distinct ones are sorted."""
+    codes, found = pd.factorize(hashes)
+    order = np.argsort(found)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    which = rank[codes]
+    place = np.empty(len(found), np.int64)
+    place[which[::-1]] = np.arange(len(which))[::-1]
+    return found[order], place, which
+
+
 class Encoder:
     """Ids of the texts of Arrow columns, put together from met pieces."""
 
@@ -118,7 +132,7 @@ class Encoder:
         data, offsets = text_buffer(texts)
         starts, ends, first = pieces_of(data, offsets)
         hashes = word_hashes(data, starts, ends)
-        keys, place, which = np.unique(hashes, return_index=True, return_inverse=True)
+        keys, place, which = distinct(hashes)
         if self.ids.nbytes + self.keys.nbytes + self.where.nbytes + self.size.nbytes > MEMORY_BYTES:
             self._forget()
         new = ~np.isin(keys, self.keys, assume_unique=True)
@@ -141,6 +155,12 @@ class Encoder:
         return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> Encoder:
+    """The encoder of a worker, with the pieces that its earlier tasks met."""
+    return Encoder(path)
+
+
 def _store(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root)
 
@@ -178,7 +198,7 @@ def write_files(
 
     def write(batches):
         store, folder = _store(root)
-        encoder, name = Encoder(tokenizer), None
+        encoder, name = shared_encoder(tokenizer), None
         n_docs = n_tokens = 0
         for batch in batches:
             for part in cut(batch, "t", BLOCK_BYTES):

@@ -102,3 +102,11 @@ def test_prefix_sums_over_groups_of_shards(spark):
     shards = spark.createDataFrame(sizes, "part long, n_tokens long")
     got = {r["part"]: r["base"] for r in token_files.with_bases(shards, 7).collect()}
     assert got == {p: sum(s for _, s in sizes[:p]) for p, _ in sizes}
+
+
+def test_distinct_hashes_are_those_of_a_sort():
+    from foldwise.llm.token_files import distinct
+
+    for hashes in (np.random.default_rng(7).integers(0, 40, 300).astype(np.uint64) << np.uint64(58), np.zeros(0, np.uint64)):
+        want = np.unique(hashes, return_index=True, return_inverse=True)
+        assert all(a.tolist() == b.tolist() for a, b in zip(distinct(hashes), want))
