@@ -10,7 +10,8 @@ by the hash of their anchor:
 * contexts that share their anchor and differ are sorted together: their
   suffixes are brought into order by the linear grouping construction, and
   windows that begin neighbouring suffixes and are equal form a class, of which all but
-  the first are repeats;
+  the first are repeats; a context that agrees with no other of its anchor in 100 bytes
+  around it has no window in common with them and is not sorted;
 * an anchor with so many different contexts that one task should not sort them
   (a short line that very many texts share) has its windows compared one by one, by a 128-bit hash.
 
@@ -59,7 +60,7 @@ _CONTEXT = np.dtype([("anchor", "<u4"), ("low", "<u8"), ("high", "<u8"), ("n", "
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, allowed: np.ndarray | None = None):
-    """Starts, numbers of windows and anchor hashes of the contexts of all rows, in order.
+    """Starts, numbers of windows, anchor hashes and anchor places of the contexts of all rows, in order.
 
     ``allowed`` marks the windows (by their start) to look at; a context has only neighbouring ones.
     """
@@ -71,7 +72,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, allowed: np.ndarray | None =
     if allowed is not None:
         good &= allowed
     power, inverse = words._powers()
-    starts, sizes, anchors = [], [], []
+    starts, sizes, anchors, places = [], [], [], []
     for base in range(0, n, STEP - WINDOW):
         stop = min(base + STEP, n)
         own = good[base : min(base + STEP - WINDOW, n)]
@@ -100,9 +101,10 @@ def contexts(data: np.ndarray, offsets: np.ndarray, allowed: np.ndarray | None =
         starts.append(at[heads] + base)
         sizes.append(np.diff(np.append(heads, len(at))))
         anchors.append(gram[anchor[heads]])
+        places.append(anchor[heads] + base)
     if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(sizes), np.concatenate(anchors)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(starts), np.concatenate(sizes), np.concatenate(anchors), np.concatenate(places)
 
 
 def _digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -133,7 +135,7 @@ def _pairs(places, sizes):
 
 def _anchored(part: pa.RecordBatch):
     data, offsets = text_buffer(part.column(2))
-    starts, sizes, anchors = contexts(data, offsets)
+    starts, sizes, anchors, _ = contexts(data, offsets)
     found = _digests(data.tobytes(), starts, starts + sizes + WINDOW - 1)
     row = np.searchsorted(offsets, starts, "right") - 1
     ids = part.column(0).to_numpy()[row]
@@ -218,7 +220,7 @@ def _single_answer(got):
         i += len(r)
 
 
-_TEXT = np.dtype([("anchor", "<u8"), ("n", "u1"), ("text", f"V{REACH + WINDOW}")])
+_TEXT = np.dtype([("anchor", "<u8"), ("n", "u1"), ("place", "u1"), ("text", f"V{REACH + WINDOW}")])
 
 
 def _to_sort(part: pa.RecordBatch):
@@ -226,9 +228,9 @@ def _to_sort(part: pa.RecordBatch):
     data, offsets = text_buffer(part.column(2))
     spans = shifted(spans_of(part.column(3)), offsets)
     allowed = cover(spans[:, 0], spans[:, 1], len(data))
-    starts, sizes, anchors = contexts(data, offsets, allowed)
+    starts, sizes, anchors, places = contexts(data, offsets, allowed)
     records = np.zeros(len(starts), _TEXT)
-    records["anchor"], records["n"] = anchors, sizes
+    records["anchor"], records["n"], records["place"] = anchors, sizes, places - starts
     padded = np.append(data, np.zeros(REACH + WINDOW, np.uint8))
     grid = padded[starts[:, None] + np.arange(REACH + WINDOW)]
     grid[np.arange(REACH + WINDOW) >= (sizes + WINDOW - 1)[:, None]] = 0
@@ -236,6 +238,32 @@ def _to_sort(part: pa.RecordBatch):
     return anchors, records, starts, {}, offsets
 
 
+def _may_share(records: np.ndarray) -> np.ndarray:
+    """Which contexts agree with others of their anchor in 100 bytes around it; without that no window is equal.
+
+    Equal windows have their anchor at the same place. What a context has in common with any other, to the left
+    and to the right of the anchor, it has in common with a neighbour in the order of that side.
+    """
+    n = len(records)
+    text = np.frombuffer(records["text"].tobytes(), np.uint8).reshape(n, REACH + WINDOW)
+    place = records["place"].astype(np.int64)[:, None]
+    size = records["n"].astype(np.int64)[:, None] + WINDOW - 1
+    anchor = records["anchor"].astype(">u8").view(np.uint8).reshape(n, 8)
+    common = np.full(n, GRAM)
+    for at in (place - 1 - np.arange(REACH), place + GRAM + np.arange(REACH)):
+        inside = (at >= 0) & (at < size)
+        side = np.where(inside, np.take_along_axis(text, np.where(inside, at, 0), 1), np.uint8(0xFF))
+        key = np.concatenate([anchor, side], axis=1)
+        order = np.argsort(key.view(f"S{key.shape[1]}").ravel(), kind="stable")
+        differ = key[order[1:]] != key[order[:-1]]
+        equal = np.where(differ.any(axis=1), differ.argmax(axis=1), key.shape[1]) - 8
+        longest = np.zeros(n, np.int64)
+        longest[order[1:]] = np.maximum(equal, 0)
+        longest[order[:-1]] = np.maximum(longest[order[:-1]], equal)
+        common += np.minimum(longest, inside.sum(axis=1))
+    return common >= WINDOW
+
+
 def equal_windows(texts: list[bytes]) -> list[list[tuple[int, int]]]:
     """Classes of equal windows of several texts, as (text, start), by one suffix array."""
     raw = b"\0".join(texts)
@@ -272,6 +300,8 @@ def _sort_answer(got):
             first = min(keys)
             repeats.extend((numbers[k], s) for (k, s), key in zip(same, keys) if key > first)
 
+    shares = _may_share(records)[order]
+    order, group = order[shares], group[shares]
     bounds = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(order)).tolist()
     held, size = [], 0
     for a, b in zip(bounds, bounds[1:]):  # whole anchors, several to a suffix array

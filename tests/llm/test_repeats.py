@@ -153,3 +153,33 @@ def test_suffix_array():
     for _ in range(500):
         text = [rng.randrange(rng.choice([1, 2, 3, 5])) for _ in range(rng.randrange(0, 40))]
         assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_contexts_without_a_common_window_are_not_sorted(monkeypatch):
+    """op6: only the contexts that agree in 100 bytes around their anchor go into suffix arrays; all repeats are found."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz \0"
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    short, long = text(60), text(130)
+    texts = [f"{text(90)}{short}{text(90)}" for _ in range(20)] + [f"{text(40)}{long}{text(n)}" for n in (0, 50, 200)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+    starts, sizes, anchors, places = repeated_bytes.contexts(data, offsets)
+    records = np.zeros(len(starts), repeated_bytes._TEXT)
+    records["anchor"], records["n"], records["place"] = anchors, sizes, places - starts
+    raw = data.tobytes()
+    for i, (a, n) in enumerate(zip(starts.tolist(), sizes.tolist())):
+        records["text"][i] = raw[a : a + n + repeated_bytes.WINDOW - 1].ljust(168, b"\0")
+    row = np.searchsorted(offsets, starts, "right") - 1
+    seen = {}
+    sort = repeated_bytes.equal_windows
+    monkeypatch.setattr(repeated_bytes, "equal_windows", lambda some: seen.setdefault("texts", some) and sort(some))
+    got = [("b", records.view("u1").reshape(len(records), -1), starts, row, starts - offsets[row])]
+    found = {int(a) for *_, spans in repeated_bytes._sort_answer(got) for a, _ in spans}
+    windows, later = {}, set()
+    for r, (a, b) in enumerate(zip(offsets, offsets[1:])):
+        for s in range(a, b - 99):
+            if windows.setdefault(raw[s : s + 100], r) < r:
+                later.add(int(s))
+    assert found == later and len(later) == 62
+    assert all(long.encode()[15:115] in t or long.encode()[:100] in t or long.encode()[30:] in t for t in seen["texts"])
