@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldwise.operators.aggregates import unpivot
-from foldwise.operators.skew import HEAVY_ROWS, fair_share, join_null_safe, lookup
-from foldwise.session import fits_broadcast, settle
+from foldwise.operators.skew import HEAVY_ROWS, fair_share, lookup
+from foldwise import session
+from foldwise.session import fits_broadcast, row_width, settle
 
 
 class Fitted:
@@ -44,6 +45,8 @@ class Fitted:
 
 # more broadcast joins than this in one plan cost more than one shuffle
 WIDE_COLUMNS = 64
+# up to this many columns with a large dictionary, one join each costs less than one join of the unpivoted rows
+LARGE_COLUMNS = 3
 
 
 def _counted(table: DataFrame, on: Sequence[str]) -> list | None:
@@ -55,6 +58,19 @@ def _counted(table: DataFrame, on: Sequence[str]) -> list | None:
     return table.filter(F.col("cnt") > floor).select(*on).collect() if total > floor else []
 
 
+def _large_columns(table: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Columns whose part of the table is not broadcast: the smallest parts are, while they keep inside the bounds together."""
+    sized = table.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum(row_width(table)).alias("size")).collect()
+    found = {r["feature"]: (r["n"], r["size"]) for r in sized}  # one row per column
+    rows = size = 0
+    large = []
+    for c in sorted(cols, key=lambda c: found.get(c, (0, 0))):
+        rows, size = rows + found.get(c, (0, 0))[0], size + found.get(c, (0, 0))[1]
+        if rows > session.BROADCAST_ROWS or size > session.BROADCAST_BYTES:
+            large.append(c)
+    return large
+
+
 def map_columns(
     df: DataFrame,
     table: DataFrame,
@@ -67,18 +83,24 @@ def map_columns(
     """Adds ``<value>|<col>`` for every column from a table ``(extra, feature, value, values...)``.
 
     With a small table and not too many columns, it is broadcast once per column
-    and the rows are not moved. Otherwise the rows are numbered in a written
+    and the rows are not moved. If the parts of only a few columns are large, the
+    rows are joined once with each of these parts; heavy keys are known from its
+    counts. Otherwise the rows are numbered in a written
     table, the columns are unpivoted, joined once, and put back by that number:
-    a fixed number of shuffles however many columns there are. Both ways give
+    a fixed number of shuffles however many columns there are. All ways give
     each row its own values, whatever null or repeated ids the rows have.
     """
-    if small and len(cols) <= WIDE_COLUMNS:
+    large = []
+    if not small and len(cols) <= WIDE_COLUMNS and "cnt" in table.columns:
+        large = _large_columns(table, cols)
+    if len(cols) <= WIDE_COLUMNS and (small or ("cnt" in table.columns and len(large) <= LARGE_COLUMNS)):
         for c in cols:
-            part = table.filter(F.col("feature") == c).select(
-                *extra, F.col("value").alias("_lookup"), *[F.col(v).alias(f"{v}|{c}") for v in values]
-            )
+            own = table.filter(F.col("feature") == c).withColumnRenamed("value", "_lookup")
+            part = own.select(*extra, "_lookup", *[F.col(v).alias(f"{v}|{c}") for v in values])
             keyed = df.withColumn("_lookup", F.col(c).cast(as_type))
-            df = join_null_safe(keyed, F.broadcast(part), [*extra, "_lookup"]).drop("_lookup")
+            on = [*extra, "_lookup"]
+            heavy = _counted(own, on) if c in large else []
+            df = lookup(keyed, part, on, small=c not in large, heavy=heavy).drop("_lookup")
         return df
     # written, so that a row keeps its number if a task runs again
     numbered = settle(df.withColumn("_row", F.monotonically_increasing_id()))
