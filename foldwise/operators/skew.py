@@ -15,6 +15,8 @@ from foldwise.session import fits_broadcast, settle, task_count
 
 # A group below this many rows is ordinary work for one task.
 HEAVY_ROWS = 1_000_000
+# rows of a group that share one copy of its past
+BLOCK_ROWS = 2048
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HEAVY_ROWS, pieces: int | None = None) -> list:
@@ -179,31 +181,59 @@ class OrderedGroups:
         self.df = self.df.withColumns(out).drop(*[f"_c_{n}" for n in columns])
         return self
 
-    def last_values(self, out: str, col: str, max_len: int | None = None) -> "OrderedGroups":
-        """Adds the list of the values in all earlier rows, or the last ``max_len`` of them, oldest first."""
+    def last_values(self, out: str, col: str, max_len: int) -> "OrderedGroups":
+        """Adds the list of the values in the last ``max_len`` earlier rows, oldest first."""
         boxed = F.struct(F.col(col).alias("v"))  # collect_list would drop a bare null
-        first = Window.unboundedPreceding if max_len is None else -max_len
-        local = F.collect_list(boxed).over(self.window.rowsBetween(first, -1))
+        local = F.collect_list(boxed).over(self.window.rowsBetween(-max_len, -1))
         if self.split:
             backwards = Window.partitionBy(*self.keys, "_seg").orderBy(*[F.desc(c) for c in self.order])
             placed = self.base.filter("_heavy").withColumn("_place", F.row_number().over(backwards))
             tail = (
-                (placed if max_len is None else placed.filter(F.col("_place") <= max_len))
+                placed.filter(F.col("_place") <= max_len)
                 .groupBy(*self.keys, "_seg")
                 .agg(F.array_sort(F.collect_list(F.struct((-F.col("_place")).alias("p"), boxed.alias("b")))).alias("_tail"))
             )
             before = Window.partitionBy(*self.keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
             lists = F.flatten(F.collect_list("_tail").over(before))
             table = tail.select(*self.keys, "_seg", F.transform(lists, lambda t: t["b"]).alias("_tails"))
-            # whole histories of a segment are as long as the lists asked for, too long to broadcast
-            handed = table if max_len is None else F.broadcast(table)
-            self.df = join_null_safe(self.df, handed, [*self.keys, "_seg"])
+            self.df = join_null_safe(self.df, F.broadcast(table), [*self.keys, "_seg"])
             local = F.when(F.col("_tails").isNull(), local).otherwise(F.concat("_tails", local))
-            if max_len is not None:
-                local = F.slice(local, F.greatest(F.size(local) - max_len + 1, F.lit(1)), max_len)
+            local = F.slice(local, F.greatest(F.size(local) - max_len + 1, F.lit(1)), max_len)
         self.df = self.df.withColumn(out, F.transform(local, lambda b: b["v"])).drop("_tails")
         return self
 
+    def whole_past(self, out: str, col: str, sep: str | None = None) -> "OrderedGroups":
+        """Adds the list of the values in all earlier rows, oldest first; or with ``sep`` their text, joined, without nulls.
+
+        A row's past is the front of what its group holds, so no list is built row by row: the rows of a group are
+        dealt in blocks, a block gets the values up to its own last row once, and each of its rows copies the front
+        that it needs, one row at a time. What is sent grows with the rows of a group times its blocks;
+        the result itself is quadratic in a group.
+        """
+        piece = F.col(col) if sep is None else F.concat(F.col(col).cast("string"), F.lit(sep))
+        size = F.lit(1) if sep is None else F.octet_length(piece)
+        self.running_sum({"_place": F.lit(1)} if sep is None else {"_place": F.lit(1), "_size": size})
+        at = F.struct(*self.keys, F.floor(F.col("_place") / BLOCK_ROWS).alias("block"))
+        rows = settle(self.df.withColumn("_at", at))
+        named = F.struct("_place", piece.alias("v"))
+        own = F.transform(F.array_sort(F.collect_list(named)), lambda x: x["v"])
+        blocks = rows.groupBy("_at").agg((own if sep is None else F.array_join(own, "")).alias("_own"))
+        until = Window.partitionBy(*[F.col("_at")[k] for k in self.keys]).orderBy(F.col("_at")["block"])
+        parts = F.collect_list("_own").over(until.rowsBetween(Window.unboundedPreceding, 0))
+        front = F.flatten(parts) if sep is None else F.array_join(parts, "").cast("binary")
+        blocks = settle(blocks)
+        tasks = max(1, min(blocks.count(), 4 * task_count(rows.sparkSession)))
+        fronts = blocks.select("_at", front.alias("_front")).repartition(tasks, "_at")
+        # merged, so that a task holds one front and streams the rows of its block
+        met = rows.repartition(tasks, "_at").join(fronts.hint("merge"), "_at")
+        if sep is None:
+            past = F.slice("_front", F.lit(1), F.col("_place").cast("int"))
+        else:  # cut as bytes, which copies; in text the place of a character would be counted from the start
+            length = F.greatest(F.col("_size") - len(sep.encode()), F.lit(0)).cast("int")
+            past = F.substring("_front", F.lit(1), length).cast("string")
+        self.df = met.withColumn(out, past).drop("_at", "_front", "_place", "_size")
+        return self
+
     def result(self) -> DataFrame:
         return self.df.drop("_seg", "_heavy")
 

@@ -17,13 +17,17 @@ def lag_by(df, keys, order, col, out, default=None, min_rows=HEAVY_ROWS, pieces=
     return done if default is None else done.withColumn(out, F.coalesce(F.col(out), F.lit(default)))
 
 
-def history_list(df, keys, order, col, out="history", max_len=None, min_rows=HEAVY_ROWS, pieces=None) -> DataFrame:
+def history_list(df, keys, order, col, out="history", max_len=None, min_rows=HEAVY_ROWS, pieces=None, sep=None) -> DataFrame:
     """Values of all earlier rows, oldest first; only the last ``max_len`` where a length is given.
 
-    A list of the whole past in every row is quadratic in the group; shares and counts
+    With ``sep`` the values come as one text, joined by it, without nulls. A list of the whole past in every row is quadratic in the group; shares and counts
     over the whole history come from ``history_share`` without building lists.
     """
-    return OrderedGroups(df, keys, order, min_rows, pieces).last_values(out, col, max_len).result()
+    groups = OrderedGroups(df, keys, order, min_rows, pieces)
+    if max_len is None:
+        return groups.whole_past(out, col, sep).result()
+    done = groups.last_values(out, col, max_len).result()
+    return done if sep is None else done.withColumn(out, F.array_join(F.transform(out, lambda v: v.cast("string")), sep))
 
 
 def class_names(prefix: str, n: int) -> list[str]:

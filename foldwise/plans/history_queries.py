@@ -36,8 +36,8 @@ def lag(spark, sf):
     + ")",
 )
 def history_list(spark, sf):
-    done = W.history_list(X.history_filled(spark, sf), ["pid"], ["req_time", "sid"], "mode", "history")
-    return done.select("sid", F.array_join(F.transform("history", lambda m: m.cast("string")), ",").alias("history"))
+    done = W.history_list(X.history_filled(spark, sf), ["pid"], ["req_time", "sid"], "mode", "history", sep=",")
+    return done.select("sid", "history")
 
 
 _STOPPED = f"""{_H}, stopped AS (SELECT *, max((mode = -1)::INTEGER) OVER (PARTITION BY pid ORDER BY req_time, sid) AS stop FROM hist),

@@ -76,6 +76,29 @@ def test_whole_history(events):
         assert [None if pd.isna(v) else int(v) for v in hot["h"].iloc[place]] == values[:place]
 
 
+def test_whole_history_as_text(events, monkeypatch):
+    """Blocks of every kind: smaller than a group, of one row, larger than all groups; null keys, null and empty values."""
+    rows = [(0, None, "a"), (1, None, None), (2, None, "\u00fc"), (3, None, ""), (4, 1, None), (5, 1, "b"), (6, None, "c"), (7, None, "d")]
+    table = events.sparkSession.createDataFrame(rows, "sid int, pid int, t string")
+    want = {0: "", 1: "a", 2: "a", 3: "a; \u00fc", 6: "a; \u00fc; ", 7: "a; \u00fc; ; c", 4: "", 5: ""}
+    lists = {0: [], 1: ["a"], 4: [], 5: [None], 7: ["a", None, "\u00fc", "", "c"]}
+    for block in (1, 3, 100):
+        monkeypatch.setattr(S, "BLOCK_ROWS", block)
+        got = W.history_list(table, ["pid"], ["sid"], "t", "h", sep="; ").collect()
+        assert {r["sid"]: r["h"] for r in got} == want
+        got = {r["sid"]: r["h"] for r in W.history_list(table, ["pid"], ["sid"], "t", "h").collect()}
+        assert len(got) == 8 and {k: got[k] for k in lists} == lists
+    both(events, lambda o: W.history_list(events, ["pid"], ["ts", "sid"], "extra", "h", sep=",", **o))
+
+
+def test_whole_history_of_a_group_is_dealt(events, monkeypatch):
+    """The rows of one group are written by several tasks, each with its front alone."""
+    monkeypatch.setattr(S, "BLOCK_ROWS", 100)
+    out = W.history_list(events.filter("pid = -1"), ["pid"], ["ts", "sid"], "extra", "h", sep=",")
+    sizes = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 1000
+
+
 def test_numbered(events):
     rows = R.numbered(R.sort(events, ["ts", "sid"])).orderBy("place").select("place", "ts", "sid").collect()
     assert [r["place"] for r in rows] == list(range(1, 3001))
