@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from foldwise.llm.components import components, merged
+from foldwise.llm.likely import likely_among
 from foldwise.llm.words import (
     give_back,
     ALNUM_WORDS,
@@ -157,7 +158,9 @@ def probability_jaccard(value_a, count_a, value_b, count_b) -> float:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
+    """The pairs (a, b) of a written table whose texts are similar enough."""
+    ends = settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    texts = likely_among(texts, ends, ["node"])
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     rows = two.select("a", "b", "ta", "tb")
@@ -405,27 +408,26 @@ def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: f
     )
     banded = nodes.select("node", F.explode("bands").alias("key"))
     keys = settle(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    buckets = settle(banded.join(keys, "key"))
+    buckets = settle(likely_among(banded, keys, ["key"]).join(keys, "key"))
     leaders = settle(buckets.groupBy("key").agg(F.min("node").alias("leader")))
     pairs = buckets.join(leaders, "key").filter("node <> leader")
     pairs = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     least = threshold - MARGIN
-    registers = nodes.select("node", "registers")
-    first = _estimated(pairs, registers, least)
-    # texts of nodes that may have a partner at all, one row for each
-    wanted = buckets.select("node").distinct()
-    copies = slim.join(settle(wanted), "node", "left_semi")
-    reps = nodes.select("node", "rep")
-    texts = settle(
-        copies.join(reps, ["node"]).filter(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"]).select("node", "text")
-    )
+    # nodes that may have a partner at all; only their registers, bands and texts are sent again
+    met = settle(buckets.select("node").distinct())
+    known = settle(likely_among(nodes, met, ["node"]).join(met, "node"))
+    registers = known.select("node", "registers")
+    first = settle(_estimated(pairs, registers, least))
+    # the text of the copy with the smallest id, before anything is sent; equal rows and chance finds leave with the rest
+    copies = likely_among(slim, known.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"])
+    texts = settle(copies.select("node", "text").join(met, "node").dropDuplicates(["node"]))
     labels = components(settle(_verified(first, texts, threshold)))
     for turn in range(ROUNDS):
         mixed = _mixed(buckets, labels)
-        more = _estimated(_met_major(mixed, turn), registers, least)
+        more = settle(_estimated(_met_major(mixed, turn), registers, least))
         labels = merged(labels, settle(_verified(more, texts, threshold)))
         buckets = mixed.select("key", "node")  # a bucket of one class stays so
-    labels = merged(labels, settle(_across(_mixed(buckets, labels), nodes, texts, least, threshold)))
+    labels = merged(labels, settle(_across(_mixed(buckets, labels), known, texts, least, threshold)))
     named = settle(
         nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     )

@@ -172,3 +172,18 @@ def test_merged_components(spark):
     for part in (edges[40:60], [], edges[:10], edges[60:]):
         labels = merged(labels, table(part))
     assert read(labels) == read(components(table(edges)))
+
+
+def test_only_what_may_have_a_partner_is_sent(spark, docs, monkeypatch):
+    """Texts, registers and bands pass the bitmap before they are sent to a join."""
+    plans, real = [], nd.settle
+
+    def seen(df):
+        plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString()))
+        return real(df)
+
+    monkeypatch.setattr(nd, "settle", seen)
+    nd.classes(docs.limit(50))
+    for columns in (["node", "text"], ["node", "rep", "bands", "registers"]):
+        plan = [p for c, p in plans if c == columns][-1]
+        assert "_bitmap" in plan and "LeftSemi" not in plan
