@@ -224,8 +224,8 @@ class OrderedGroups:
         blocks = settle(blocks)
         tasks = max(1, min(blocks.count(), 4 * task_count(rows.sparkSession)))
         fronts = blocks.select("_at", front.alias("_front")).repartition(tasks, "_at")
-        # merged, so that a task holds one front and streams the rows of its block
-        met = rows.repartition(tasks, "_at").join(fronts.hint("merge"), "_at")
+        # merged, so that a task holds one front and streams the rows of its block, in their order: each begins with the one before
+        met = rows.repartition(tasks, "_at").sortWithinPartitions("_at", "_place").join(fronts.hint("merge"), "_at")
         if sep is None:
             past = F.slice("_front", F.lit(1), F.col("_place").cast("int"))
         else:  # cut as bytes, which copies; in text the place of a character would be counted from the start

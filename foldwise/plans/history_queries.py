@@ -8,6 +8,7 @@ from foldwise.functions import calendar, geo, numeric, plans_json
 from foldwise.operators import rows as R, windows as W
 from foldwise.plans import fixtures as X
 from foldwise.plans.registry import query, r6
+from foldwise.session import own_session
 
 # --- windows ----------------------------------------------------------------------
 
@@ -28,6 +29,15 @@ def lag(spark, sf):
     return done.select("sid", "last_mode", F.unix_micros(F.col("last_time").cast("timestamp")).alias("last_time"))
 
 
+# Every history begins with the one before it. These pages of Parquet keep the length of that common front and the rest
+# only, so what is written grows with the rows and not with their square. Dictionary and bounds of such texts help no reader.
+_FRONT_CODED = {
+    "parquet.writer.version": "PARQUET_2_0",
+    "parquet.enable.dictionary#history": "false",
+    "parquet.column.statistics.enabled#history": "false",
+}
+
+
 @query(
     "w2_history_list",
     f"""{_H} SELECT sid, list(mode) OVER (PARTITION BY pid ORDER BY req_time, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h, row_number() OVER {_OVER} AS n FROM hist""".replace(
@@ -36,7 +46,8 @@ def lag(spark, sf):
     + ")",
 )
 def history_list(spark, sf):
-    done = W.history_list(X.history_filled(spark, sf), ["pid"], ["req_time", "sid"], "mode", "history", sep=",")
+    rows = X.history_filled(own_session(spark, _FRONT_CODED), sf)
+    done = W.history_list(rows, ["pid"], ["req_time", "sid"], "mode", "history", sep=",")
     return done.select("sid", "history")
 
 
