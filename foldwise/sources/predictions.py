@@ -19,7 +19,7 @@ def run_path(root: str, run: str, part: str) -> str:
 
 def save_predictions(df: DataFrame, root: str, run: str, part: str) -> None:
     """(key, value) or (key, class columns) of one part of a run; the run name carries the score."""
-    df.write.mode("overwrite").parquet(run_path(root, run, part))
+    df.write.mode("overwrite").parquet(run_path(root, run, part), compression="zstd")
 
 
 def _one(spark: SparkSession, root: str, run: str, part: str, mode: str) -> DataFrame:
